@@ -3,8 +3,22 @@
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "STRING": T.StringType(),
+    "INT": T.IntegerType(),
+    "BIGINT": T.LongType(),
+    "DOUBLE": T.DoubleType(),
+    "TIMESTAMP": T.TimestampType(),
+    "ARRAY<STRING>": T.ArrayType(T.StringType()),
+    "ARRAY<INT>": T.ArrayType(T.IntegerType()),
+    "ARRAY<BIGINT>": T.ArrayType(T.LongType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """Schema from `name TYPE` pairs; unlike DDL parsing it needs no running session."""
+    pairs = (column.split() for column in columns.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 FRAME = _struct(
