@@ -42,16 +42,30 @@ def strip_all(text: Column) -> Column:
     return F.regexp_replace(text, SPACES, "")
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate `value` once and hand it to `use`; inside lambdas a plain column is evaluated per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def grams(text: Column, n: int) -> Column:
+    """Distinct character n-grams; empty when the text is shorter than n."""
+
+    def from_chars(chars: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(chars) - n)
+        joined = F.transform(places, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+        return F.when(F.size(chars) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(joined))
+
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), from_chars)
+
+
 def shingles(text: Column, n: int = SHINGLE) -> Column:
     """Distinct character n-grams of the text without whitespace; short text is its own gram."""
-    s = strip_all(F.coalesce(text, F.lit("")))
-    size = F.length(s)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: s.substr(i, F.lit(n)))
-    return (
-        F.when(size == 0, F.array().cast("array<string>"))
-        .when(size < n, F.array(s))
-        .otherwise(F.array_distinct(grams))
-    )
+
+    def of(s: Column) -> Column:
+        short = F.when(s == "", F.array().cast("array<string>")).otherwise(F.array(s))
+        return F.when(F.length(s) < n, short).otherwise(grams(s, n))
+
+    return let(strip_all(F.coalesce(text, F.lit(""))), of)
 
 
 def jaccard(a: Column, b: Column, both_empty: float) -> Column:

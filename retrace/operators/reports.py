@@ -230,17 +230,12 @@ def compare_versions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 
 def character_coverage(pairs: DataFrame) -> DataFrame:
     """Share of the non-space characters of `text_a` whose character occurs anywhere in `text_b`."""
-    chars_a = F.split(strip_all(F.col("text_a")), "")
-    set_b = F.array_distinct(F.split(strip_all(F.col("text_b")), ""))
-    # count a character once per frame and weigh it by its number of occurrences
-    kept = F.aggregate(
-        F.array_intersect(F.array_distinct(chars_a), set_b),
-        F.lit(0),
-        lambda n, c: n + F.when(c == "", 0).otherwise(F.length(strip_all(F.col("text_a"))) - F.length(F.replace(strip_all(F.col("text_a")), c, F.lit("")))),
+    chars = lambda c: F.filter(F.split(strip_all(F.col(c)), ""), lambda ch: ch != "")
+    slim = pairs.select(chars("text_a").alias("a"), F.array_distinct(chars("text_b")).alias("b"))
+    kept = F.size(F.filter("a", lambda ch: F.array_contains("b", ch)))
+    return slim.agg(F.sum(kept).cast("bigint").alias("kept"), F.sum(F.size("a")).cast("bigint").alias("total")).withColumn(
+        "coverage", F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.col("kept") / F.col("total"))
     )
-    return pairs.agg(
-        F.sum(kept).cast("bigint").alias("kept"), F.sum(F.length(strip_all(F.col("text_a")))).cast("bigint").alias("total")
-    ).withColumn("coverage", F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.col("kept") / F.col("total")))
 
 
 def layout_effect(pairs: DataFrame) -> DataFrame:

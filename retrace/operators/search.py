@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrace.functions.captures import WINDOW_SECONDS, window_id
-from retrace.functions.text import contains_term, split_terms
+from retrace.functions.text import contains_term, grams, split_terms
 from retrace.operators import dictionary
 from retrace.operators.ordered import Ordered
 
@@ -139,20 +139,17 @@ def search(
 
 def trigrams(lines: DataFrame) -> DataFrame:
     """(gram, line_id) of every dictionary line, case folded; write it bucketed or partitioned by gram hash."""
-    low = F.lower("text")
-    spots = F.sequence(F.lit(1), F.length(low) - 2)
-    grams = F.array_distinct(F.transform(spots, lambda i: low.substr(i, F.lit(3))))
-    return lines.where(F.length(low) >= 3).select(F.explode(grams).alias("gram"), "line_id")
+    return lines.where(F.length("text") >= 3).select(F.explode(grams(F.lower("text"), 3)).alias("gram"), "line_id")
 
 
-def search_with_trigrams(lines: DataFrame, grams: DataFrame, term: str) -> DataFrame:
+def search_with_trigrams(lines: DataFrame, table: DataFrame, term: str) -> DataFrame:
     """Lines holding the term: all its trigrams first, then the substring test itself."""
     low = term.lower()
     wanted = sorted({low[i : i + 3] for i in range(len(low) - 2)})
     if not wanted:
         return lines.where(contains_term(F.col("text"), term))
     candidates = (
-        grams.where(F.col("gram").isin(wanted))
+        table.where(F.col("gram").isin(wanted))
         .groupBy("line_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") == len(wanted))
