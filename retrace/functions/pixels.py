@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from retrace.functions.text import let
+
 CELL = 8
 BLACK_LUMA = 16
 BLACK_SHARE = 0.85
@@ -46,19 +48,21 @@ def uninformative(pixels: Column, width: Column, height: Column) -> Column:
     tops = F.sequence(F.lit(0), height - 1, F.lit(CELL))
     lefts = F.sequence(F.lit(0), width - 1, F.lit(CELL))
 
-    def lit_cell(top, left):
+    def lit_cell(px, top, left):
         rows = F.sequence(top, F.least(top + CELL, height) - 1)
         wide = F.least(left + CELL, width) - left
         return F.exists(
             rows,
-            lambda y: F.exists(F.slice(pixels, y * width + left + 1, wide), lambda p: luma(p) > BLACK_LUMA),
+            lambda y: F.exists(F.slice(px, y * width + left + 1, wide), lambda p: luma(p) > BLACK_LUMA),
         )
 
-    black = F.aggregate(
-        tops,
-        F.lit(0),
-        lambda n, top: n + F.size(F.filter(lefts, lambda left: ~lit_cell(top, left))),
-    )
-    cells = F.size(tops) * F.size(lefts)
-    valid = (width > 0) & (height > 0) & (F.size(pixels) >= width * height)
-    return F.when(valid, black / cells >= BLACK_SHARE).otherwise(F.lit(False))
+    def black_share(px):
+        black = F.aggregate(
+            tops,
+            F.lit(0),
+            lambda n, top: n + F.size(F.filter(lefts, lambda left: ~lit_cell(px, top, left))),
+        )
+        valid = (width > 0) & (height > 0) & (F.size(px) >= width * height)
+        return F.when(valid, black / (F.size(tops) * F.size(lefts)) >= BLACK_SHARE).otherwise(F.lit(False))
+
+    return let(pixels, black_share)

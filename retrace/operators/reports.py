@@ -104,10 +104,9 @@ def order_statistics(df: DataFrame, value: str, points: list[float], keys: list[
     if keys:
         totals = grouped.groupBy(*keys).agg(F.sum("_w").alias("_n"))
         placed = o.done().join(totals, keys)
-        n = F.col("_n")
     else:
-        placed = o.done()
-        n = grouped.agg(F.sum("_w").alias("_n")).scalar()
+        placed = o.done().withColumn("_n", grouped.agg(F.sum("_w").alias("_n")).scalar())
+    n = F.col("_n")
     hits = F.filter(wanted(n), lambda t: (t["k"] >= F.col("_cum") - F.col("_w")) & (t["k"] < F.col("_cum")))
     return placed.select(*keys, F.explode(hits).alias("t"), value).select(*keys, F.col("t.p").alias("p"), value)
 

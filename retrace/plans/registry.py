@@ -107,7 +107,7 @@ EVENTS = """ev AS (
          event_id, event_type, value, props
   FROM events)"""
 SIGNATURES = """sigs AS (
-  SELECT label AS device, '2024-01-01' AS day, vec_id AS base,
+  SELECT CAST(label AS BIGINT) AS device, '2024-01-01' AS day, vec_id AS base,
          list_transform(embedding, lambda v: CAST(least(greatest(floor((CAST(v AS DOUBLE) + 1.0) * 128.0), 0), 255) AS INTEGER)) AS sig
   FROM embeddings)"""
 LINES = """lines_all AS (

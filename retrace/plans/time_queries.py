@@ -1,0 +1,467 @@
+"""Queries over change points, sessions, intervals and app attribution."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from retrace.functions import captures as C
+from retrace.operators import activity as A
+from retrace.operators import attribution as At
+from retrace.operators import folds, intervals, retention, triggers
+from retrace.plans.registry import EVENTS, FRAMES, JITTERED, Tables, query
+
+APP = "CASE WHEN event_type IN ('signup', 'purchase') THEN event_type || '-' || CAST(CAST(floor(value) AS BIGINT) % 7 AS VARCHAR) END"
+
+
+def rows_and_changes(t: Tables):
+    """Views, clicks and errors are frames; sign-ups and purchases change the app in front."""
+    ev = t.events()
+    app = F.concat("event_type", F.lit("-"), (F.floor("value").cast("bigint") % 7).cast("string"))
+    changing = F.col("event_type").isin("signup", "purchase")
+    rows = ev.where(~changing).select("device", "day", "base", "ts", "event_id")
+    return rows, ev.where(changing).select("device", "day", "ts", app.alias("pkg"), "event_id")
+
+
+ASOF = f"""WITH {EVENTS}, ch AS (SELECT *, {APP} AS pkg FROM ev WHERE event_type IN ('signup', 'purchase'))
+SELECT e.device, e.day, e.base, e.event_id, ch.pkg FROM (SELECT * FROM ev WHERE event_type NOT IN ('signup', 'purchase')) e
+ASOF LEFT JOIN ch ON e.device = ch.device AND e.ts >= ch.ts"""
+
+
+@query("asof_app", ASOF)
+def asof_app(t: Tables):
+    rows, changes = rows_and_changes(t)
+    return At.as_of(rows, changes, "pkg", tie=["event_id"]).drop("ts")
+
+
+@query("asof_app_daily", ASOF.replace("e.device = ch.device AND", "e.device = ch.device AND e.day = ch.day AND"))
+def asof_app_daily(t: Tables):
+    rows, changes = rows_and_changes(t)
+    return At.as_of(rows, changes, "pkg", ["device", "day"], tie=["event_id"]).drop("ts")
+
+
+@query("frame_at_key", f"""WITH {EVENTS}, fr AS (SELECT device, ts, base AS frame FROM ev WHERE event_type = 'view')
+SELECT e.event_id, fr.frame FROM (SELECT * FROM ev WHERE event_type = 'click') e
+ASOF LEFT JOIN fr ON e.device = fr.device AND e.ts >= fr.ts""")
+def frame_at_key(t: Tables):
+    """Clicks as key presses, views as frames: the frame on screen at each key press."""
+    ev = t.events()
+    keys = ev.where(F.col("event_type") == "click").select("device", "ts", "event_id")
+    frames = ev.where(F.col("event_type") == "view").select("device", "ts", F.col("base").alias("frame"))
+    return At.as_of(keys, frames, "frame", tie=["event_id"]).select("event_id", "frame")
+
+
+@query("effective_app", f"""WITH {EVENTS} SELECT event_id, last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS)
+  OVER (PARTITION BY device ORDER BY ts, base ROWS UNBOUNDED PRECEDING) AS pkg_eff FROM ev""")
+def effective_app(t: Tables):
+    """Errors play the overlay: their rows take the last real app."""
+    ev = t.events().withColumnRenamed("event_type", "pkg")
+    return At.effective_app(ev, F.col("pkg") == "error").select("event_id", "pkg_eff")
+
+
+@query("overlay_flags", """SELECT n_name AS pkg, n_name IN ('JAPAN', 'FRANCE') OR n_name IN
+  (SELECT 'com.android.systemui' UNION ALL SELECT 'com.android.pixeldisplayservice') AS overlay FROM nation""")
+def overlay_flags(t: Tables):
+    return t.table("nation").select(F.col("n_name").alias("pkg"), At.is_overlay(F.col("n_name"), ["JAPAN", "FRANCE"]).alias("overlay"))
+
+
+SESSIONS = f"""WITH {EVENTS}, fl AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS s
+  FROM ev WINDOW w AS (PARTITION BY device ORDER BY ts, base)),
+ses AS (SELECT *, CAST(sum(s) OVER (PARTITION BY device ORDER BY ts, base ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM fl)"""
+GAP = 6 * 3600
+
+
+@query("event_sessions", SESSIONS + """ SELECT device, session, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS "end",
+  count(*) AS frames, CAST(0 AS BIGINT) AS chars FROM ses GROUP BY device, session""")
+def event_sessions(t: Tables):
+    return intervals.session_summary(intervals.sessions(t.events(), GAP))
+
+
+RUNS = SESSIONS + """, rf AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS c
+  FROM ses WINDOW w AS (PARTITION BY device, session ORDER BY ts, base)),
+rn AS (SELECT *, CAST(sum(c) OVER (PARTITION BY device, session ORDER BY ts, base ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM rf),
+runs AS (SELECT device, session, run, min(event_type) AS pkg, min(ts) AS start, max(ts) AS last, count(*) AS rows FROM rn GROUP BY ALL),
+ar AS (SELECT *, coalesce(lead(start) OVER w, last) AS "end", lead(start) OVER w IS NOT NULL AS switched FROM runs
+  WINDOW w AS (PARTITION BY device, session ORDER BY run))"""
+
+
+def sessioned(t: Tables):
+    return intervals.sessions(t.events().withColumnRenamed("event_type", "pkg"), GAP)
+
+
+@query("app_runs", RUNS + """ SELECT device, session, run, pkg, epoch_us(start) AS start, epoch_us(last) AS last, rows,
+  epoch_us("end") AS "end", switched, (epoch_us("end") - epoch_us(start)) / 1000000.0::DOUBLE AS span_s FROM ar""")
+def app_runs(t: Tables):
+    return intervals.app_runs(sessioned(t))
+
+
+@query("change_log", f"""WITH {EVENTS}, p AS (SELECT *, lag(event_type) OVER w AS b, lag(day) OVER w AS d FROM ev WHERE event_type <> 'error'
+  WINDOW w AS (PARTITION BY device ORDER BY ts, base))
+SELECT device, epoch_us(ts) AS ts, day, event_type AS pkg FROM p WHERE b IS DISTINCT FROM event_type OR d IS DISTINCT FROM day""")
+def change_log(t: Tables):
+    """Apps in front, errors being overlays that change nothing."""
+    ev = t.events().withColumnRenamed("event_type", "pkg").where(F.col("pkg") != "error")
+    return intervals.changes_only(ev, "pkg", ["device"]).select("device", "ts", "day", "pkg")
+
+
+BLACKOUT = f"""WITH {EVENTS}, b AS (SELECT *, event_type IN ('error', 'view') AS dark FROM ev),
+p AS (SELECT *, coalesce(lag(dark) OVER w, false) AS was, lag(day) OVER w AS d FROM b WINDOW w AS (PARTITION BY device ORDER BY ts, base)),
+bl AS (SELECT device, ts, day, CASE WHEN dark AND (NOT was OR (d IS NOT NULL AND d <> day)) THEN 'start' WHEN NOT dark AND was THEN 'end' END AS state FROM p)"""
+
+
+def dark_events(t: Tables):
+    return t.events().withColumn("dark", F.col("event_type").isin("error", "view"))
+
+
+@query("blackout_log", BLACKOUT + " SELECT device, epoch_us(ts) AS ts, day, state FROM bl WHERE state IS NOT NULL")
+def blackout_log(t: Tables):
+    return intervals.blackout_log(dark_events(t), "dark").select("device", "ts", "day", "state")
+
+
+@query("state_intervals", BLACKOUT + """, pt AS (SELECT * FROM bl WHERE state IS NOT NULL),
+st AS (SELECT *, lag(state) OVER (PARTITION BY device ORDER BY ts) AS b FROM pt),
+iv AS (SELECT device, state, ts, lead(ts) OVER (PARTITION BY device ORDER BY ts) AS e FROM st WHERE b IS DISTINCT FROM state)
+SELECT device, state, epoch_us(ts) AS start, epoch_us(e) AS "end" FROM iv""")
+def state_intervals(t: Tables):
+    return intervals.state_intervals(intervals.blackout_log(dark_events(t), "dark"), "state")
+
+
+GAPS = f"""WITH {EVENTS}, pt AS (SELECT device, ts, day, event_id, CASE event_type WHEN 'view' THEN 'sleep' WHEN 'click' THEN 'wake' WHEN 'purchase' THEN 'locked'
+  WHEN 'signup' THEN 'unlocked' ELSE 'app_start' END AS state FROM ev),
+g AS (SELECT *, CASE WHEN state IN ('sleep', 'wake') THEN 'sleep' WHEN state IN ('locked', 'unlocked') THEN 'locked' END AS gap,
+  state IN ('sleep', 'locked') AS open FROM pt),
+e AS (SELECT *, lag(open) OVER (PARTITION BY device, gap ORDER BY ts, event_id) AS b FROM g WHERE gap IS NOT NULL)"""
+
+
+def gap_points(t: Tables):
+    names = {"view": "sleep", "click": "wake", "purchase": "locked", "signup": "unlocked"}
+    state = F.lit("app_start")
+    for kind, name in names.items():
+        state = F.when(F.col("event_type") == kind, name).otherwise(state)
+    return t.events().select("device", "ts", "day", "event_id", state.alias("state"))
+
+
+@query("gap_intervals", GAPS + """, s AS (SELECT device, gap, open, ts, lead(ts) OVER (PARTITION BY device, gap ORDER BY ts, event_id) AS n FROM e WHERE b IS DISTINCT FROM open)
+SELECT device, gap, epoch_us(ts) AS start, epoch_us(n) AS "end" FROM s WHERE open""")
+def gap_intervals(t: Tables):
+    return intervals.gap_intervals(gap_points(t), order=["event_id"])
+
+
+@query("gap_log", GAPS + """ SELECT device, epoch_us(ts) AS ts, state FROM e WHERE open <> coalesce(b, false)
+UNION ALL SELECT device, epoch_us(ts), state FROM g WHERE gap IS NULL""")
+def gap_log(t: Tables):
+    return intervals.gap_log(gap_points(t), order=["event_id"]).select("device", "ts", "state")
+
+
+@query("blackout_by_app", f"""WITH {EVENTS}, pts AS (SELECT device, ts, event_id,
+    CASE WHEN event_type IN ('signup', 'purchase', 'click') THEN event_type END AS v,
+    CASE event_type WHEN 'error' THEN 'start' WHEN 'view' THEN 'end' END AS s FROM ev),
+f AS (SELECT *, last_value(v IGNORE NULLS) OVER w AS pkg, last_value(s IGNORE NULLS) OVER w AS st, lead(ts) OVER (PARTITION BY device ORDER BY ts) AS n
+  FROM pts WINDOW w AS (PARTITION BY device ORDER BY ts ROWS UNBOUNDED PRECEDING))
+SELECT device, pkg, CAST(sum(epoch_us(n) - epoch_us(ts)) AS BIGINT) / 1000000.0::DOUBLE AS seconds FROM f
+WHERE st = 'start' AND pkg IS NOT NULL AND n IS NOT NULL GROUP BY device, pkg HAVING sum(epoch_us(n) - epoch_us(ts)) > 0""")
+def blackout_by_app(t: Tables):
+    """How long each app was in front while nothing could be recorded."""
+    ev = t.events()
+    apps = ev.where(F.col("event_type").isin("signup", "purchase", "click")).withColumnRenamed("event_type", "pkg")
+    dark = ev.where(F.col("event_type").isin("error", "view")).withColumn(
+        "state", F.when(F.col("event_type") == "error", "start").otherwise("end")
+    )
+    return At.overlap_seconds(apps, "pkg", dark)
+
+
+@query("attribution_audit", f"""WITH {EVENTS}, c AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS c,
+  lead(ts) OVER w AS n FROM ev WINDOW w AS (PARTITION BY device ORDER BY ts, base)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY device ORDER BY ts, base ROWS UNBOUNDED PRECEDING) AS run FROM c),
+sp AS (SELECT device, run, event_type AS pkg, count(*) AS frames, epoch_us(max(coalesce(n, ts))) - epoch_us(min(ts)) AS us FROM r GROUP BY ALL)
+SELECT pkg, CAST(sum(frames) AS BIGINT) AS frames, count(*) AS intervals, CAST(sum(us) AS BIGINT) / 1000000.0::DOUBLE AS total_s,
+  max(us) / 1000000.0::DOUBLE AS longest_s, CAST(sum(frames) AS DOUBLE) / (SELECT count(*) FROM ev) AS share FROM sp GROUP BY pkg""")
+def attribution_audit(t: Tables):
+    return At.audit(t.events().withColumnRenamed("event_type", "pkg"))
+
+
+@query("failure_streak", f"""WITH {EVENTS}, c AS (SELECT *, event_type = 'error' AS f,
+  CASE WHEN lag(event_type = 'error') OVER w = (event_type = 'error') THEN 0 ELSE 1 END AS c FROM ev WINDOW w AS (PARTITION BY device ORDER BY ts, event_id)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY device ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY device, run ORDER BY ts, event_id) AS streak FROM r)
+SELECT device, event_id, streak FROM n WHERE f AND streak % 2 = 0""")
+def failure_streak(t: Tables):
+    out = intervals.failure_streak(t.events(), F.col("event_type") == "error", ["device"], ["event_id"], threshold=2)
+    return out.select("device", "event_id", "streak")
+
+
+@query("stride_sample", f"""WITH {EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY device) AS n FROM ev)
+SELECT device, event_id FROM n WHERE i % greatest(1, n // 10) = 0 AND i // greatest(1, n // 10) < 10""")
+def stride_sample(t: Tables):
+    return intervals.stride_sample(t.events(), 10, ["device"], ["ts", "event_id"]).select("device", "event_id")
+
+
+def thin_sql(source: str, keys: str, order: str, micros: int, select: str) -> str:
+    """Greedy thinning as a recursion from one kept row to the next."""
+    ks = [k.strip() for k in keys.split(",")]
+    return f"""WITH RECURSIVE {source},
+o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn FROM src),
+keep AS (
+  SELECT {keys}, rn, ts FROM o WHERE rn = 1
+  UNION ALL
+  SELECT {', '.join('k.' + k for k in ks)}, min(o.rn), min_by(o.ts, o.rn) FROM keep k JOIN o ON {' AND '.join(f'o.{k} = k.{k}' for k in ks)}
+    AND o.rn > k.rn AND epoch_us(o.ts) - epoch_us(k.ts) >= {micros} GROUP BY {', '.join('k.' + k for k in ks)}, k.rn)
+{select}"""
+
+
+@query("thin_sample", thin_sql(f"{EVENTS}, src AS (SELECT * FROM ev)", "device, day", "ts, event_id", 7200_000_000,
+                               "SELECT device, event_id FROM keep JOIN o USING (device, day, rn)"))
+def thin_sample(t: Tables):
+    kept = folds.thin(t.events(), 7200, ["device", "day"], ["event_id"]).where(F.col("kept"))
+    return kept.select("device", "event_id")
+
+
+# -- retention ----------------------------------------------------------------------------------
+
+ORDERS = """cap AS (SELECT o_orderpriority AS device, o_orderdate AS ts, o_orderkey AS base,
+  CAST(floor(o_totalprice) AS BIGINT) AS bytes, o_orderstatus <> 'F' AS secured FROM orders)"""
+
+
+def order_captures(t: Tables):
+    """Orders as captures: price as size, open and partial orders as frames whose text is secured."""
+    return t.table("orders").select(
+        F.col("o_orderpriority").alias("device"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("base"),
+        F.floor("o_totalprice").cast("bigint").alias("bytes"), (F.col("o_orderstatus") != "F").alias("secured"),
+    )
+
+
+def retention_sql(days: int, share: str, tenths: int) -> str:
+    return f"""WITH {ORDERS}, tot AS (SELECT device, CAST(sum(bytes) AS BIGINT) AS total FROM cap GROUP BY device),
+r AS (SELECT cap.*, total, coalesce(sum(CASE WHEN secured THEN bytes ELSE 0 END) OVER (PARTITION BY device ORDER BY ts, base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed
+  FROM cap JOIN tot USING (device)),
+d AS (SELECT *, ts < TIMESTAMP '2001-08-01' - INTERVAL {days} DAY OR total - freed > CASE WHEN total > {share} THEN {share} // 10 * {tenths} ELSE {share} END AS due FROM r)
+SELECT device, base, CASE WHEN due AND secured THEN 'delete' WHEN due THEN 'blocked' ELSE 'keep' END AS decision FROM d"""
+
+
+@query("retention_phone", retention_sql(1500, "300000000", 9))
+def retention_phone(t: Tables):
+    out = retention.decide(order_captures(t), dt.datetime(2001, 8, 1), 300_000_000, 1500, 9)
+    return out.select("device", "base", "decision")
+
+
+@query("retention_laptop", f"""SELECT device, CAST(count(*) FILTER (WHERE decision = 'delete') AS BIGINT) AS deleted,
+  CAST(sum(CASE WHEN decision = 'delete' THEN bytes ELSE 0 END) AS BIGINT) AS freed_bytes,
+  CAST(count(*) FILTER (WHERE decision = 'blocked') AS BIGINT) AS blocked
+FROM ({retention_sql(400, '600000000', 10)}) JOIN (SELECT o_orderkey AS base, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders) USING (base) GROUP BY device""")
+def retention_laptop(t: Tables):
+    return retention.summary(retention.decide(order_captures(t), dt.datetime(2001, 8, 1), 600_000_000, 400))
+
+
+# -- activities ---------------------------------------------------------------------------------
+
+TYPES = {"signup": "RESUMED", "purchase": "RESUMED", "click": "PAUSED", "view": "STOPPED", "error": "PAUSED"}
+
+
+def activities(t: Tables):
+    """Events as activity events: the amount names package, class and instance."""
+    kind = F.lit(None).cast("string")
+    for name, value in TYPES.items():
+        kind = F.when(F.col("event_type") == name, value).otherwise(kind)
+    amount = F.floor("value").cast("bigint")
+    return t.events().select(
+        "device",
+        F.floor(F.unix_micros("ts") / 1000).cast("bigint").alias("time"),
+        F.col("event_id").alias("seq"),
+        kind.alias("type"),
+        F.concat(F.lit("p"), (amount % 3).cast("string")).alias("pkg"),
+        F.concat(F.lit("c"), (amount % 2).cast("string")).alias("cls"),
+        F.concat_ws("-", (amount % 3).cast("string"), (amount % 2).cast("string"), (amount % 5).cast("string")).alias("instance_id"),
+    )
+
+
+ACT = f"""{EVENTS}, act AS (SELECT device, epoch_us(ts) // 1000 AS time, event_id AS seq,
+  CASE event_type WHEN 'signup' THEN 'RESUMED' WHEN 'purchase' THEN 'RESUMED' WHEN 'view' THEN 'STOPPED' ELSE 'PAUSED' END AS type,
+  'p' || CAST(floor(value) AS BIGINT) % 3 AS pkg, 'c' || CAST(floor(value) AS BIGINT) % 2 AS cls,
+  CAST(floor(value) AS BIGINT) % 3 || '-' || CAST(floor(value) AS BIGINT) % 2 || '-' || CAST(floor(value) AS BIGINT) % 5 AS instance_id FROM ev)"""
+
+SLOTS = f"""WITH RECURSIVE {ACT},
+o AS (SELECT *, row_number() OVER (PARTITION BY device, pkg, cls ORDER BY time, seq) AS rn FROM act),
+st AS (
+  SELECT device, pkg, cls, rn, time, seq, type, CASE WHEN type = 'RESUMED' THEN 1 ELSE 0 END AS resumed,
+         CASE WHEN type = 'PAUSED' THEN [time] ELSE CAST([] AS BIGINT[]) END AS pend FROM o WHERE rn = 1
+  UNION ALL
+  SELECT s.device, s.pkg, s.cls, s.rn, s.time, s.seq, s.type,
+    CASE WHEN s.type = 'RESUMED' THEN s.resumed + 1 WHEN s.type = 'PAUSED' OR len(s.live) = 0 THEN greatest(s.resumed - 1, 0) ELSE s.resumed END,
+    CASE WHEN s.type = 'PAUSED' THEN list_append(s.live, s.time) WHEN s.type = 'STOPPED' THEN s.live[2:] ELSE s.live END
+  FROM (SELECT n.device, n.pkg, n.cls, n.rn, n.time, n.seq, n.type, st.resumed, list_filter(st.pend, lambda p: n.time - p <= 36000000) AS live
+        FROM st JOIN o n ON n.device = st.device AND n.pkg = st.pkg AND n.cls = st.cls AND n.rn = st.rn + 1) s)"""
+
+
+@query("resumed_counts", SLOTS + " SELECT device, pkg, cls, seq, CAST(resumed AS BIGINT) AS resumed FROM st")
+def resumed_counts(t: Tables):
+    return A.counted(activities(t), 36_000_000).select("device", "pkg", "cls", "seq", "resumed")
+
+
+@query("foreground_evaluation", SLOTS + """,
+got AS (SELECT device, seq, list_distinct(list(pkg)) AS pk FROM (
+   SELECT a.device, a.seq, s.pkg FROM act a JOIN st s ON s.device = a.device AND (s.time, s.seq) <= (a.time, a.seq)
+   QUALIFY row_number() OVER (PARTITION BY a.device, a.seq, s.pkg, s.cls ORDER BY s.rn DESC) = 1 AND s.resumed > 0) GROUP BY ALL),
+want AS (SELECT device, seq, list_distinct(list(pkg)) AS pk FROM (
+   SELECT a.device, a.seq, s.pkg FROM act a JOIN act s ON s.device = a.device AND (s.time, s.seq) <= (a.time, a.seq)
+   QUALIFY row_number() OVER (PARTITION BY a.device, a.seq, s.instance_id ORDER BY s.time DESC, s.seq DESC) = 1 AND s.type = 'RESUMED') GROUP BY ALL),
+j AS (SELECT act.device, act.seq, coalesce(got.pk, []) AS g, coalesce(want.pk, []) AS w FROM act LEFT JOIN got USING (device, seq) LEFT JOIN want USING (device, seq)),
+ps AS (SELECT DISTINCT pkg FROM act)
+SELECT CAST(36000000 AS BIGINT) AS window_ms, pkg, count(*) FILTER (WHERE list_contains(g, pkg) AND NOT list_contains(w, pkg)) AS extra,
+  count(*) FILTER (WHERE NOT list_contains(g, pkg) AND list_contains(w, pkg)) AS missed FROM j, ps GROUP BY pkg""")
+def foreground_evaluation(t: Tables):
+    return A.evaluate(numbered(activities(t)), [36_000_000])
+
+
+def numbered(acts):
+    """Event numbers per device in time order, so that step lengths count events."""
+    from retrace.operators.ordered import Ordered
+
+    o = Ordered.of(acts.withColumnRenamed("seq", "_id"), ["device"], ["time", "_id"], by="time").row_number("seq")
+    return o.done().drop("_id")
+
+
+@query("foreground_worst")
+def foreground_worst(t: Tables):
+    """All pause windows with their worst packages."""
+    return A.worst_packages(A.evaluate(numbered(activities(t)), [None, 3_600_000, 36_000_000, 360_000_000]))
+
+
+@query("sensitive_changes")
+def sensitive_changes(t: Tables):
+    acts = numbered(activities(t))
+    sensitive = acts.where(F.col("pkg").isin("p1", "p2")).select("pkg").distinct()
+    return A.sensitive_changes(acts, sensitive)
+
+
+# -- triggers -----------------------------------------------------------------------------------
+
+TRIG = SESSIONS + """, sm AS (SELECT device, session, min(ts) AS start, max(ts) AS "end", count(*) AS frames FROM ses GROUP BY ALL)"""
+MIN = "CAST(CAST(round_even({0} / 60.0::DOUBLE, 0) AS BIGINT) AS VARCHAR)"
+LEN = """((epoch_us("end") - epoch_us(start)) / 1000000.0::DOUBLE)"""
+
+
+def trigger_input(t: Tables):
+    return sessioned(t).withColumn("text", F.concat(F.col("pkg"), F.lit(" "), F.col("props")))
+
+
+@query("trigger_return", TRIG + f""", aw AS (SELECT *, (epoch_us(start) - epoch_us(lag("end") OVER (PARTITION BY device ORDER BY start))) / 1000000.0::DOUBLE AS away FROM sm),
+nth AS (SELECT *, row_number() OVER (PARTITION BY device, session ORDER BY ts, base) AS n FROM ses)
+SELECT device, 'return' AS kind, epoch_us(ts) AS ts, session, {MIN.format('away')} || ' 分ぶりに画面を点けた' AS detail, CAST(2 AS BIGINT) AS score
+FROM nth JOIN aw USING (device, session) WHERE n = 3 AND away >= 30000 AND frames >= 3""")
+def trigger_return(t: Tables):
+    rows = trigger_input(t)
+    return triggers.returns(rows, intervals.session_summary(rows), 30000, 3)
+
+
+@query("trigger_session_end", TRIG + f""" SELECT device, 'session_end' AS kind, epoch_us("end") AS ts, session,
+  {MIN.format(LEN)} || ' 分のセッションが終わる直前' AS detail, CAST(1 AS BIGINT) AS score FROM sm WHERE {LEN} >= 900""")
+def trigger_session_end(t: Tables):
+    return triggers.session_ends(intervals.session_summary(trigger_input(t)))
+
+
+@query("trigger_late_night", TRIG + f""" SELECT device, 'late_night' AS kind, epoch_us("end") AS ts, session,
+  '深夜 ' || hour("end") || ' 時台に ' || {MIN.format(LEN)} || ' 分連続' AS detail, CAST(3 AS BIGINT) AS score
+FROM sm WHERE {LEN} >= 1800 AND hour("end") BETWEEN 1 AND 5""")
+def trigger_late_night(t: Tables):
+    return triggers.late_nights(intervals.session_summary(trigger_input(t)))
+
+
+@query("trigger_app_done", RUNS + f""" SELECT device, 'app_done' AS kind, epoch_us("end") AS ts, session,
+  pkg || ' を ' || {MIN.format(LEN)} || ' 分見て切り替えた' AS detail, CAST(2 AS BIGINT) AS score FROM ar WHERE {LEN} >= 600""")
+def trigger_app_done(t: Tables):
+    return triggers.apps_done(intervals.app_runs(sessioned(t)))
+
+
+@query("trigger_signal", SESSIONS + """, h AS (SELECT *, event_type || ' ' || props AS text FROM ses),
+k AS (SELECT device, session, 'buy' AS n, ts FROM h WHERE contains(text, 'purchase') OR contains(text, '99')
+  UNION ALL SELECT device, session, 'trouble', ts FROM h WHERE contains(text, 'error'))
+SELECT device, 'signal:' || n AS kind, epoch_us(min(ts)) AS ts, session, '「' || n || '」の画面' AS detail, CAST(4 AS BIGINT) AS score FROM k GROUP BY device, session, n""")
+def trigger_signal(t: Tables):
+    return triggers.first_signals(trigger_input(t), {"buy": ["purchase", "99"], "trouble": ["error"]})
+
+
+ELIGIBLE = RUNS.replace("WITH ", "", 1) + """, src AS (SELECT rn.device, rn.session, rn.ts, rn.base, rn.event_type AS pkg, (epoch_us(rn.ts) - epoch_us(runs.start)) / 1000000.0::DOUBLE AS age
+  FROM rn JOIN runs USING (device, session, run) WHERE epoch_us(rn.ts) - epoch_us(runs.start) >= 3600000000)"""
+
+
+@query("trigger_long_dwell", thin_sql(ELIGIBLE, "device", "ts, base", 3600_000_000, f"""
+SELECT device, 'long_dwell' AS kind, epoch_us(keep.ts) AS ts, session, pkg || ' に ' || {MIN.format('age')} || ' 分' AS detail, CAST(3 AS BIGINT) AS score
+FROM keep JOIN o USING (device, rn)"""))
+def trigger_long_dwell(t: Tables):
+    return triggers.long_dwells(sessioned(t), 3600)
+
+
+CANDS = TRIG.replace("WITH ", "", 1) + f""", src AS (
+  SELECT device, 'session_end' AS kind, "end" AS ts, session, 1 AS score FROM sm WHERE {LEN} >= 900
+  UNION ALL SELECT device, 'late_night', "end", session, 3 FROM sm WHERE {LEN} >= 1800 AND hour("end") BETWEEN 1 AND 5
+  UNION ALL SELECT device, 'signal:trouble', min(ts), session, 4 FROM ses WHERE event_type = 'error' GROUP BY device, session)"""
+
+
+def some_candidates(t: Tables):
+    rows = trigger_input(t)
+    summary = intervals.session_summary(rows)
+    out = triggers.session_ends(summary).unionByName(triggers.late_nights(summary))
+    return out.unionByName(triggers.first_signals(rows, {"trouble": ["error"]}))
+
+
+@query("cooldown", thin_sql(CANDS, "device", "ts, -score, kind, session", 43200_000_000,
+    "SELECT device, kind, epoch_us(o.ts) AS ts, session, keep.rn IS NOT NULL AS kept FROM o LEFT JOIN keep USING (device, rn)"))
+def cooldown(t: Tables):
+    out = triggers.cooldown(some_candidates(t), 43200)
+    return out.select("device", "kind", "ts", "session", "kept")
+
+
+@query("candidate_report", thin_sql(CANDS, "device", "ts, -score, kind, session", 43200_000_000, """
+SELECT kind AS name, count(*) AS n, 'kind' AS by FROM keep JOIN o USING (device, rn) GROUP BY kind
+UNION ALL SELECT strftime(o.ts, '%Y-%m-%d'), count(*), 'day' FROM keep JOIN o USING (device, rn) GROUP BY 1"""))
+def candidate_report(t: Tables):
+    return triggers.report(triggers.cooldown(some_candidates(t), 43200).where("kept"))
+
+
+def stuck_frames(t: Tables):
+    """Turns of a conversation with the same role repeated as screens."""
+    ev = t.events()
+    return intervals.sessions(ev.withColumn("text", F.concat(F.col("event_type"), F.lit("-screen"))), 48 * 3600)
+
+
+@query("trigger_stuck", SESSIONS.replace("21600000000", "172800000000") + """,
+c AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS c FROM ses WINDOW w AS (PARTITION BY device, session ORDER BY ts, base)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY device, session ORDER BY ts, base ROWS UNBOUNDED PRECEDING) AS run FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY device, session, run ORDER BY ts, base) - 1 AS k FROM r)
+SELECT device, 'stuck' AS kind, epoch_us(ts) AS ts, session, '同じ画面のまま 20 秒' AS detail, CAST(2 AS BIGINT) AS score FROM n WHERE k = 2""")
+def trigger_stuck(t: Tables):
+    """Screens that repeat the event type: equal texts are near, different types are not."""
+    return triggers.stuck(stuck_frames(t), repeats=2)
+
+
+@query("all_candidates")
+def all_candidates(t: Tables):
+    rows = t.events().withColumnRenamed("event_type", "pkg").withColumn("text", F.concat(F.col("pkg"), F.lit(" "), F.col("props")))
+    return triggers.candidates(rows, GAP, {"buy": ["purchase", "99"], "trouble": ["error"]})
+
+
+def context_rows(t: Tables, limit: int):
+    rows = t.events().withColumnRenamed("event_type", "pkg").withColumn("text", F.concat(F.lit("frame "), F.col("event_id").cast("string")))
+    kept = some_candidates(t).where(F.col("kind") == "late_night")
+    return kept, triggers.context(kept, rows, back=7200, limit=limit, similarity=1.01)
+
+
+@query("candidate_context", TRIG + f""", k AS (SELECT device, 'late_night' AS kind, "end" AS "at", session FROM sm WHERE {LEN} >= 1800 AND hour("end") BETWEEN 1 AND 5),
+c AS (SELECT k.*, ev.ts, ev.base, event_type AS pkg, 'frame ' || event_id AS text, row_number() OVER (PARTITION BY device, k."at", kind, session ORDER BY ev.ts DESC, base DESC) AS back_no
+  FROM k JOIN ev USING (device) WHERE ev.ts <= k."at" AND ev.ts >= k."at" - INTERVAL 2 HOUR)
+SELECT device, epoch_us("at") AS "at", kind, session, epoch_us(ts) AS ts, base, pkg, back_no, text FROM c WHERE back_no <= 4""")
+def candidate_context(t: Tables):
+    return context_rows(t, 4)[1]
+
+
+@query("candidate_export", TRIG + f""", k AS (SELECT device, 'late_night' AS kind, "end" AS "at", session FROM sm WHERE {LEN} >= 1800 AND hour("end") BETWEEN 1 AND 5),
+c AS (SELECT k.*, ev.ts, ev.base, 'frame ' || event_id AS text, row_number() OVER (PARTITION BY device, k."at", kind, session ORDER BY ev.ts DESC, base DESC) AS back_no
+  FROM k JOIN ev USING (device) WHERE ev.ts <= k."at" AND ev.ts >= k."at" - INTERVAL 2 HOUR)
+SELECT device, epoch_us("at") AS "at", kind, session, strftime("at", '%Y-%m-%d') AS day, strftime("at", '%H:%M') AS time,
+  string_agg(strftime(ts, '%H:%M') || ' ' || text, '|' ORDER BY ts) AS context FROM c WHERE back_no <= 4 GROUP BY ALL""")
+def candidate_export(t: Tables):
+    kept, contexts = context_rows(t, 4)
+    out = triggers.export(kept, contexts)
+    line = F.transform("context", lambda c: F.concat(c["t"], F.lit(" "), c["text"]))
+    return out.select("device", "at", "kind", "session", "day", "time", F.array_join(line, "|").alias("context"))
