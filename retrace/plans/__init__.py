@@ -1 +1 @@
-
+"""Registered queries over the test tables, each with its SQL counterpart where there is one."""

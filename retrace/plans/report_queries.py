@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from retrace.functions import captures as C
@@ -307,9 +308,12 @@ c AS (SELECT base, cell, max(g[i + 1]) AS m FROM (SELECT base, g, unnest(range(0
 SELECT base, CAST(count(*) FILTER (WHERE m <= 16) AS DOUBLE) / count(*) >= 0.85 AS uninformative FROM c GROUP BY base""")
 def uninformative_frames(t: Tables):
     """Signatures drawn as 32x32 gray frames: a value above 140 lights sixteen pixels just enough to count."""
-    gray = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.when(F.get(F.col("sig"), F.floor(i / 16).cast("int")) > 140, 17).otherwise(16))
-    argb = F.transform(gray, lambda g: g * 65536 + g * 256 + g)
-    framed = t.signatures().select("base", argb.alias("px"))
+
+    def draw(sig):
+        lit = lambda i: F.when(F.get(sig, F.floor(i / 16).cast("int")) > 140, 17).otherwise(16)
+        return F.transform(F.transform(F.sequence(F.lit(0), F.lit(1023)), lit), lambda g: g * 65536 + g * 256 + g)
+
+    framed = t.signatures().select("base", X.let(F.col("sig"), draw).alias("px"))
     return framed.select("base", P.uninformative(F.col("px"), F.lit(32), F.lit(32)).alias("uninformative"))
 
 
@@ -389,36 +393,32 @@ def stratified_sample(t: Tables):
     return reports.stratified_sample(t.frames().withColumn("lines", lines), 5, 12).select("device", "base", "lines", "stratum")
 
 
-@query("retrieval_metrics", """WITH q AS (SELECT item_id AS query, text FROM benchmark),
-m AS (SELECT query, doc_id AS item, lang AS class, row_number() OVER (PARTITION BY query ORDER BY n_chars, doc_id) AS rank FROM q JOIN documents d ON contains(lower(d.text), lower(q.text))),
-best AS (SELECT class, query, min(rank) AS b FROM m GROUP BY ALL)
-SELECT class, count(*) AS queries, avg(CASE WHEN b <= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS hit,
-  round(avg(CASE WHEN b <= 10 THEN 1.0::DOUBLE / b ELSE 0.0::DOUBLE END), 9) AS mrr FROM best GROUP BY class""")
+@query("retrieval_metrics", f"""WITH {FRAMES}, {LINES},
+m AS (SELECT line AS query, device || '/' || (epoch_us(ts) // 600000000) AS item, max(ts) AS seen, min(pkg) AS pkg FROM lines_all GROUP BY 1, 2),
+r AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY seen DESC, item) AS rank FROM m),
+c AS (SELECT query, min(pkg) AS class FROM m GROUP BY query),
+rel AS (SELECT DISTINCT line AS query, device || '/' || (epoch_us(ts) // 600000000) AS item FROM lines_all JOIN labels USING (doc_id) WHERE quality = 1),
+best AS (SELECT query, min(rank) AS b FROM r JOIN rel USING (query, item) GROUP BY query)
+SELECT class, count(*) AS queries, CAST(count(*) FILTER (WHERE b <= 5) AS DOUBLE) / count(*) AS hit,
+  round(sum(CASE WHEN b <= 10 THEN 1.0::DOUBLE / b ELSE 0.0::DOUBLE END) / count(*), 9) AS mrr FROM c LEFT JOIN best USING (query) GROUP BY class""")
 def retrieval_metrics(t: Tables):
-    """Benchmark passages as queries against documents, ranked by document length."""
-    from pyspark.sql import Window
-
-    # the passage list is read as one small table and its size is checked before it is sent to every task
-    passages = t.table("benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("needle"))
-    hits = passage_hits(t.table("documents").select("doc_id", "text", "lang", "n_chars"), passages)
-    w = Window.partitionBy("query").orderBy("n_chars", "doc_id")
-    ranked = hits.select("query", F.col("doc_id").alias("item"), F.col("lang").alias("class"), F.row_number().over(w).alias("rank"))
-    out = reports.retrieval_metrics(ranked, ranked.select("query", "item"))
+    """Every line as an exact query; windows ranked by its latest sight; windows of good documents are relevant."""
+    frames = t.frames()
+    item = F.concat_ws("/", "device", C.window_id(F.col("ts")).cast("string")).alias("item")
+    lines = frames.where(F.col("text") != "").select(
+        F.explode(D.split_lines("text")).alias("query"), item, "ts", F.col("pkg").alias("class"), "doc_id"
+    )
+    per_item = lines.groupBy("query", "item").agg(F.max("ts").alias("seen"), F.min("class").alias("class"))
+    w = Window.partitionBy("query").orderBy(F.desc("seen"), "item")
+    # ranks beyond the tenth never count, so a line seen everywhere sends ten rows per task at most
+    ranked = per_item.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 10)
+    classes = per_item.groupBy("query").agg(F.min("class").alias("class"))
+    good = t.table("labels").where(F.col("quality") == 1).select("doc_id")
+    relevant = lines.join(good, "doc_id", "left_semi").select("query", "item")
+    out = reports.retrieval_metrics(ranked.drop("class").join(classes, "query"), relevant)
     return out.withColumn("mrr", F.round("mrr", 9))
 
 
-def passage_hits(docs, passages, gram: int = 12):
-    """Documents holding a passage: an equi-join on the rarest fixed-length gram of the passage, then the test.
-
-    Every occurrence of a passage holds all its grams, so joining on any one of them loses nothing.
-    """
-    low = F.lower("needle")
-    keyed = passages.where(F.length("needle") >= gram).select("query", "needle", F.substring(low, 1, gram).alias("gram"))
-    pieces = docs.select("doc_id", F.explode(X.grams(F.lower("text"), gram)).alias("gram"))
-    pairs = pieces.join(keyed, "gram").select("doc_id", "query", "needle")
-    return pairs.join(docs, "doc_id").where(F.contains(F.lower("text"), low))
-
-
 # -- layout --------------------------------------------------------------------------------------
 
 
