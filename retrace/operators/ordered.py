@@ -5,7 +5,7 @@ A plain `Window.partitionBy(device)` puts a whole device into one task. Here a k
 each (key, slice), and what has to cross a slice border (previous row, running total, last known value)
 comes from a table with one row per slice. At most SHARE keys can pass the threshold and each is cut into
 at most SLICES slices, so that border table is bounded whatever the input size, and it is broadcast.
-Keys below the threshold, and inputs whose planned size is small, use one plain window.
+Keys below the threshold, and plans that read little, use one plain window.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retrace.session import planned_bytes
+from retrace.session import input_bytes
 
 SHARE = 256  # a key is hot above 1/SHARE of all rows, so at most SHARE keys are hot
 COARSE = 16
 SLICES = COARSE * COARSE
 FLOOR_ROWS = 2_000_000  # a key below this never needs splitting
-SMALL_BYTES = 256 << 20  # inputs planned below this never need the count
+SMALL_BYTES = 64 << 20  # plans that read less than this never need the count
 
 SLICE = "_slice"
 HOT = "_hot"
@@ -89,7 +89,7 @@ class Ordered:
         small_bytes: int = SMALL_BYTES,
     ) -> "Ordered":
         by = by or order[0]
-        rows = [] if planned_bytes(df) <= small_bytes else hot_bounds(df, keys, by, floor_rows)
+        rows = [] if input_bytes(df) <= small_bytes else hot_bounds(df, keys, by, floor_rows)
         if not rows:
             return Ordered(df.withColumn(SLICE, F.lit(0)).withColumn(HOT, F.lit(False)), keys, order, False)
         fields = [df.schema[k] for k in keys]

@@ -101,13 +101,13 @@ def order_statistics(df: DataFrame, value: str, points: list[float], keys: list[
     level = lambda p: min(p, cap) if cap is not None else p
     place = lambda n, p: F.least(n - 1, F.floor(n * F.lit(float(level(p)))).cast("bigint"))
     wanted = lambda n: F.array(*[F.struct(F.lit(float(p)).alias("p"), place(n, p).alias("k")) for p in points])
+    total = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(wanted(_rows()).alias("_targets"))
     if keys:
-        totals = grouped.groupBy(*keys).agg(F.sum("_w").alias("_n"))
-        placed = o.done().join(totals, keys)
+        placed = o.done().join(total, keys)
     else:
-        placed = o.done().withColumn("_n", grouped.agg(F.sum("_w").alias("_n")).scalar())
-    n = F.col("_n")
-    hits = F.filter(wanted(n), lambda t: (t["k"] >= F.col("_cum") - F.col("_w")) & (t["k"] < F.col("_cum")))
+        placed = o.done().withColumn("_targets", total.scalar())
+    inside = lambda t: (t["k"] >= F.col("_cum") - F.col("_w")) & (t["k"] < F.col("_cum"))
+    hits = F.filter("_targets", inside)
     return placed.select(*keys, F.explode(hits).alias("t"), value).select(*keys, F.col("t.p").alias("p"), value)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retrace.session import prepare
+from retrace.session import prepare, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,7 +57,7 @@ class Tables:
         """One document per five-second tick."""
         micros = (F.lit(1704067200) + F.col("doc_id") * 5) * 1_000_000
         ts = F.timestamp_micros(micros if late is None else micros + late * 1000)
-        docs = self.table("documents").withColumn("ts", ts)
+        docs = spread(self.table("documents")).withColumn("ts", ts)
         return docs.select(
             F.col(device).alias("device"),
             F.date_format("ts", "yyyy-MM-dd").alias("day"),

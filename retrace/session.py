@@ -47,10 +47,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate for a plan; unknown counts as huge."""
+def input_bytes(df: DataFrame) -> int:
+    """Size of the relations a plan reads, from catalog or file metadata; unknown counts as huge.
+
+    Uses the analysed plan, so nothing is optimised or run.
+    """
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        return sum(sizes)
     except Exception:
         return 1 << 62
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a table is stored in fewer files than there are cores; else leave it alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
