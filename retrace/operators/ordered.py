@@ -4,7 +4,8 @@ A plain `Window.partitionBy(device)` puts a whole device into one task. Here a k
 `1 / SHARE` of all rows is cut into slices of about equal size along its order, the window runs inside
 each (key, slice), and what has to cross a slice border (previous row, running total, last known value)
 comes from a table with one row per slice. At most SHARE keys can pass the threshold and each is cut into
-at most SLICES slices, so that border table is bounded whatever the input size, and it is broadcast.
+at most SLICES slices, so that border table is bounded whatever the input size, and it is broadcast. It is
+checkpointed as well, so a chain of operators stays a chain and does not double with every step.
 Keys below the threshold, and plans that read little, use one plain window.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retrace.session import input_bytes
+from retrace.session import input_bytes, materialise
 
 SHARE = 256  # a key is hot above 1/SHARE of all rows, so at most SHARE keys are hot
 COARSE = 16
@@ -51,7 +52,9 @@ def hot_bounds(df: DataFrame, keys: list[str], by: str, floor_rows: int = FLOOR_
     limit = max(floor_rows, (total or 0) // SHARE)
     if not total or largest <= limit:
         return []
-    steps = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    # slices of a quarter of the threshold, but never more than SLICES
+    slices = max(2, min(SLICES, -(-4 * largest // limit)))
+    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     borders = F.percentile_approx(_rank_value(df, by), steps, 2000).alias("_bounds")
     if keys:
         hot = counts.where(F.col("_n") > limit).select(*keys)
@@ -62,11 +65,10 @@ def hot_bounds(df: DataFrame, keys: list[str], by: str, floor_rows: int = FLOOR_
     return source.groupBy(*keys).agg(borders).collect()
 
 
-def _slice_number(value: Column, bounds: Column) -> Column:
-    """How many borders lie at or below the value; a two-step search over the sorted borders."""
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.element_at(bounds, i * COARSE))
-    block = F.size(F.filter(coarse, lambda b: b <= value))
-    inside = F.slice(bounds, block * COARSE + 1, COARSE)
+def _slice_number(value: Column) -> Column:
+    """How many borders lie at or below the value; every COARSE-th border is tested first, then one block."""
+    block = F.size(F.filter("_coarse", lambda b: b <= value))
+    inside = F.slice(F.col("_bounds"), block * COARSE + 1, COARSE)
     return block * COARSE + F.size(F.filter(inside, lambda b: b <= value))
 
 
@@ -92,17 +94,17 @@ class Ordered:
         rows = [] if input_bytes(df) <= small_bytes else hot_bounds(df, keys, by, floor_rows)
         if not rows:
             return Ordered(df.withColumn(SLICE, F.lit(0)).withColumn(HOT, F.lit(False)), keys, order, False)
-        fields = [df.schema[k] for k in keys]
-        schema = T.StructType(fields + [T.StructField("_bounds", T.ArrayType(T.DoubleType()))])
-        bounds = df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+        numbers = T.ArrayType(T.DoubleType())
+        fields = [df.schema[k] for k in keys] + [T.StructField("_bounds", numbers), T.StructField("_coarse", numbers)]
+        packed = [(*r, r["_bounds"][COARSE - 1 :: COARSE]) for r in rows]
+        bounds = df.sparkSession.createDataFrame(packed, T.StructType(fields))
         if keys:
             joined = join_same(df, F.broadcast(bounds), keys, "left")
         else:
-            joined = df.withColumn("_bounds", F.array(*[F.lit(b) for b in rows[0]["_bounds"]]))
-        number = F.when(F.col("_bounds").isNull(), 0).otherwise(
-            F.coalesce(_slice_number(_rank_value(df, by), F.col("_bounds")), F.lit(0))
-        )
-        out = joined.withColumn(SLICE, number).withColumn(HOT, F.col("_bounds").isNotNull()).drop("_bounds")
+            literal = lambda values: F.array(*[F.lit(b) for b in values]).cast(numbers)
+            joined = df.withColumn("_bounds", literal(packed[0][0])).withColumn("_coarse", literal(packed[0][1]))
+        number = F.when(F.col("_bounds").isNull(), 0).otherwise(F.coalesce(_slice_number(_rank_value(df, by)), F.lit(0)))
+        out = joined.withColumn(SLICE, number).withColumn(HOT, F.col("_bounds").isNotNull()).drop("_bounds", "_coarse")
         return Ordered(out, keys, order, True)
 
     # -- plumbing -------------------------------------------------------------------------------
@@ -128,7 +130,7 @@ class Ordered:
         return parts.select(*self.keys, SLICE, *[c.alias(n) for n, c in carried.items()])
 
     def _attach(self, borders: DataFrame) -> DataFrame:
-        return join_same(self.df, F.broadcast(borders), self.keys + [SLICE], "left")
+        return join_same(self.df, F.broadcast(materialise(borders)), self.keys + [SLICE], "left")
 
     def _slices(self):
         return Window.partitionBy(*self.keys).orderBy(SLICE)
