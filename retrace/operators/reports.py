@@ -20,6 +20,11 @@ def _count(condition: Column) -> Column:
     return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0))
 
 
+def _shuffled(seed: int, *columns: str) -> Column:
+    """Repeatable random order: a digest of seed and identity."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
 # -- archive ------------------------------------------------------------------------------------
 
 
@@ -270,7 +275,7 @@ def stratified_sample(frames: DataFrame, strata: int, per_stratum: int, seed: in
     o = Ordered.of(frames, [], ["lines", "device", "base"], by="lines", **layout).row_number("_n")
     total = frames.agg(_rows().alias("n")).scalar()
     banded = o.done().withColumn("stratum", F.floor((F.col("_n") - 1) * strata / total).cast("bigint"))
-    w = Window.partitionBy("stratum").orderBy(F.xxhash64("device", "base", F.lit(seed)), "device", "base")
+    w = Window.partitionBy("stratum").orderBy(_shuffled(seed, "device", "base"), "device", "base")
     return banded.withColumn("_pick", F.row_number().over(w)).where(F.col("_pick") <= per_stratum).drop("_n", "_pick")
 
 
@@ -282,7 +287,7 @@ def rare_lines(frames: DataFrame, max_windows: int = 2, min_chars: int = 3000, s
     rare = lines.groupBy("device", "day", "line").agg(_rows().alias("windows")).where(F.col("windows") <= max_windows)
     size = lines.groupBy("device", "win").agg(F.sum(F.length("line") + 1).cast("bigint").alias("chars"))
     large = size.where(F.col("chars") >= min_chars)
-    picked = large.orderBy(F.xxhash64("device", "win", F.lit(seed)), "device", "win").limit(sample)
+    picked = large.orderBy(_shuffled(seed, "device", "win"), "device", "win").limit(sample)
     return rare, picked
 
 

@@ -382,12 +382,15 @@ def rare_lines(t: Tables):
     return reports.rare_lines(t.frames())[0]
 
 
-@query("evaluation_windows")
+@query("evaluation_windows", RARE + """, w AS (SELECT device, win, CAST(sum(length(line) + 1) AS BIGINT) AS chars FROM l GROUP BY ALL HAVING sum(length(line) + 1) >= 3000)
+SELECT * FROM w ORDER BY md5('7|' || device || '|' || win), device, win LIMIT 25""")
 def evaluation_windows(t: Tables):
     return reports.rare_lines(t.frames())[1]
 
 
-@query("stratified_sample")
+@query("stratified_sample", f"""WITH {FRAMES}, n AS (SELECT device, base, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines FROM frames),
+b AS (SELECT *, (row_number() OVER (ORDER BY lines, device, base) - 1) * 5 // count(*) OVER () AS stratum FROM n)
+SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5('7|' || device || '|' || base), device, base) <= 12""")
 def stratified_sample(t: Tables):
     lines = F.size(D.split_lines("text"))
     return reports.stratified_sample(t.frames().withColumn("lines", lines), 5, 12).select("device", "base", "lines", "stratum")

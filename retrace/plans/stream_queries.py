@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from retrace.plans.registry import EVENTS, JITTERED, Tables, query
 from retrace.plans.text_queries import near_dup_sql
-from retrace.plans.time_queries import BLACKOUT, thin_sql
+from retrace.plans.time_queries import BLACKOUT, GAPS, thin_sql
 from retrace.streaming import machines, stateful, windows
 
 
@@ -33,7 +33,14 @@ def stream_blackout_log(t: Tables):
     return stateful.to_files(stateful.run_machine(rows, machines.BlackoutLog(), tie="event_id"), "blackouts")
 
 
-@query("stream_gap_log")
+@query("stream_gap_log", GAPS + """, em AS (SELECT device, ts, day, event_id, state, gap, open FROM e WHERE open <> coalesce(b, false)
+  UNION ALL SELECT device, ts, day, event_id, state, NULL, NULL FROM g WHERE gap IS NULL),
+w AS (SELECT *, lag(day) OVER (PARTITION BY device ORDER BY ts, event_id) AS before,
+  last_value(CASE WHEN gap = 'sleep' THEN open END IGNORE NULLS) OVER o AS sleeping, last_value(CASE WHEN gap = 'locked' THEN open END IGNORE NULLS) OVER o AS lock
+  FROM em WINDOW o AS (PARTITION BY device ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT device, epoch_us(ts) AS us, day, state, CAST(NULL AS VARCHAR) AS reason FROM w
+UNION ALL SELECT device, epoch_us(ts), day, 'sleep', 'carried over' FROM w WHERE before <> day AND sleeping AND state <> 'sleep'
+UNION ALL SELECT device, epoch_us(ts), day, 'locked', 'carried over' FROM w WHERE before <> day AND lock AND state <> 'locked'""")
 def stream_gap_log(t: Tables):
     names = {"view": "sleep", "click": "wake", "purchase": "locked", "signup": "unlocked"}
     state = F.lit("app_start")

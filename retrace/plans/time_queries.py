@@ -327,7 +327,14 @@ def foreground_worst(t: Tables):
     return A.worst_packages(A.evaluate(numbered(activities(t)), [None, 3_600_000, 36_000_000, 360_000_000]))
 
 
-@query("sensitive_changes")
+@query("sensitive_changes", SLOTS.replace("36000000", "10000") + """,
+num AS (SELECT device, seq AS id, row_number() OVER (PARTITION BY device ORDER BY time, seq) AS n FROM act),
+own AS (SELECT * FROM act WHERE pkg IN ('p1', 'p2')),
+snap AS (SELECT a.device, a.seq, a.time, s.resumed FROM own a JOIN st s ON s.device = a.device AND s.pkg IN ('p1', 'p2') AND (s.time, s.seq) <= (a.time, a.seq)
+  QUALIFY row_number() OVER (PARTITION BY a.device, a.seq, s.pkg, s.cls ORDER BY s.rn DESC) = 1),
+f AS (SELECT device, seq, time, bool_or(resumed > 0) AS sensitive FROM snap GROUP BY ALL),
+c AS (SELECT *, lag(sensitive) OVER (PARTITION BY device ORDER BY time, seq) AS b FROM f)
+SELECT c.device, n AS seq, sensitive FROM c JOIN num ON num.device = c.device AND num.id = c.seq WHERE sensitive <> coalesce(b, false)""")
 def sensitive_changes(t: Tables):
     acts = numbered(activities(t))
     sensitive = acts.where(F.col("pkg").isin("p1", "p2")).select("pkg").distinct()
