@@ -9,12 +9,15 @@ NAMES = ["asof_app", "app_runs", "state_intervals", "attribution_audit", "retent
          "percentiles", "timeline_windows", "resumed_counts"]
 
 
+ROWS = {"near_dup_collapse": 6, "timeline_windows": 6, "resumed_counts": 4}  # keys above this count as hot
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_sliced_query(spark, duck, monkeypatch, name):  # noqa: F811
     plain, cuts = ordered.Ordered.of, []
 
     def forced(df, keys, order, by=None, floor_rows=0, small_bytes=0):
-        out = plain(df, keys, order, by, 30, 0)
+        out = plain(df, keys, order, by, ROWS.get(name, 30), 0)
         cuts.append(out.sliced)
         return out
 
