@@ -56,15 +56,24 @@ def first_lines(frames: DataFrame, rank: list[str]) -> DataFrame:
     return lines.groupBy("line").agg(F.min(F.struct(*rank, "pos")).alias("first"), F.count(F.lit(1)).alias("uses"))
 
 
-def build(frames: DataFrame, rank: list[str] = ["ts", "device", "base"]) -> Dictionary:
-    """Number lines and texts by first appearance. Frames without text get a NULL text_id."""
+RANK = ["ts", "device", "base"]
+
+
+def number_lines(frames: DataFrame, rank: list[str] = RANK) -> DataFrame:
+    """Distinct lines, numbered by first appearance."""
     seen = first_lines(frames, rank).select(F.col("line").alias("text"), "first")
-    lines = dense_ids(seen, ["first"], "line_id").select("line_id", text_key("text").alias("key"), "text")
+    return dense_ids(seen, ["first"], "line_id").select("line_id", text_key("text").alias("key"), "text")
 
-    distinct = (
-        frames.where(F.col("text") != "").groupBy("text").agg(F.min(F.struct(*rank)).alias("first"))
-    )
-    texts = dense_ids(distinct, ["first"], "text_id").select("text_id", "text")
+
+def number_texts(frames: DataFrame, rank: list[str] = RANK) -> DataFrame:
+    """Distinct non-empty texts, numbered by first appearance."""
+    distinct = frames.where(F.col("text") != "").groupBy("text").agg(F.min(F.struct(*rank)).alias("first"))
+    return dense_ids(distinct, ["first"], "text_id").select("text_id", "text")
+
+
+def build(frames: DataFrame, rank: list[str] = RANK) -> Dictionary:
+    """Number lines and texts by first appearance. Frames without text get a NULL text_id."""
+    lines, texts = number_lines(frames, rank), number_texts(frames, rank)
     return Dictionary(lines, with_line_ids(texts, lines), _point_frames(frames, texts))
 
 
@@ -196,7 +205,7 @@ def load(spark: SparkSession, folder: str) -> Dictionary:
     )
 
 
-def extend(store: Dictionary, fresh: DataFrame, rank: list[str] = ["ts", "device", "base"]) -> Dictionary:
+def extend(store: Dictionary, fresh: DataFrame, rank: list[str] = RANK) -> Dictionary:
     """Rows to append for new frames: unseen lines and texts get the next ids, old ids never move.
 
     Single writer per store. Returns only the additions; `frames` holds the new frames with their text_id.

@@ -18,7 +18,7 @@ DICT = f"WITH {FRAMES}, {LINES}, {LINE_IDS}, {TEXT_IDS}, {PAIRS}"
 
 @query("line_dictionary", f"{DICT} SELECT line_id, {key_sql('line')} AS key, line AS text FROM line_ids")
 def line_dictionary(t: Tables):
-    return D.build(t.frames()).lines
+    return D.number_lines(t.frames())
 
 
 @query("text_dictionary", f"""{DICT}
@@ -141,7 +141,7 @@ def search_exact_phrase(t: Tables):
 
 @query("trigram_search", f"{DICT} SELECT line_id, line AS text FROM line_ids WHERE contains(lower(line), 'public license')")
 def trigram_search(t: Tables):
-    lines = D.build(t.frames()).lines
+    lines = D.number_lines(t.frames())
     return S.search_with_trigrams(lines, S.trigrams(lines), "Public License").select("line_id", "text")
 
 
