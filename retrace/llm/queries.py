@@ -65,7 +65,7 @@ def mixing_slots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SIDE = """(SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn) AS turns FROM conversations GROUP BY conv_id)"""
-_RENDER = "array_to_string(list_transform({0}, lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10)), '')"
+_RENDER = "array_to_string(list_transform({0}, lambda e: '<|' || e.r || '|>' || chr(10) || e.t || '<|end|>' || chr(10)), '')"
 CHAT_SQL = f"""
 WITH told AS {_SIDE.format()},
 joint AS (SELECT a.conv_id // 2 AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.turns AS a, b.turns AS b
