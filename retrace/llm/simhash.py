@@ -98,8 +98,10 @@ def _literal(mask: int) -> Column:
 
 def _counts(fp: str) -> Column:
     """Bit counts of the 32 segments, two bits each."""
-    odd = F.lit(_ODD).cast("bigint")
-    return F.col(fp).bitwiseAND(odd) + F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
+    odd, shifted = F.lit(_ODD).cast("bigint"), F.shiftrightunsigned(fp, 1)
+    two = F.col(fp).bitwiseAND(shifted).bitwiseAND(odd)
+    one = F.col(fp).bitwiseXOR(shifted).bitwiseAND(odd)
+    return F.shiftleft(two, 1).bitwiseOR(one)
 
 
 def cells(points: DataFrame, lanes: int, kept: int, every: bool) -> DataFrame:
