@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrace.llm import chat_pairs, mixing, quality_rules, simhash
+from retrace.llm import chat_pairs, decontaminate, mixing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,6 +80,13 @@ FROM parts
 """
 
 
+@query("op4_decontaminate")
+def benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that cover half of a benchmark item or more."""
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("digest")
+
+
 @query("op6_chat_pairs", CHAT_SQL)
 def preference(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbouring conversations as preference pairs; the masks are summed to characters trained on."""
