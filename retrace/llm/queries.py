@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrace.llm import chat_pairs, decontaminate, mixing, quality_rules, simhash
+from retrace.llm import chat_pairs, decontaminate, mixing, quality_rules, simhash, token_files
+from retrace.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +37,21 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The public word-level tokenizer, installed on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_token_files")
+def tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as token files and read back, ids as a checksum."""
+    path = new_path(spark, "token-files")
+    token_files.write(table(spark, folder, "documents"), path, tokenizer_path())
+    return token_files.checksums(token_files.read(spark, path))
+
+
 MIXING_SQL = """
 WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 weighted AS (SELECT source, n, sqrt(n) AS w FROM counted),
