@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrace.llm import chat_pairs, decontaminate, mixing, quality_rules, simhash, token_files
+from retrace.llm import chat_pairs, decontaminate, mixing, ppm, quality_rules, simhash, token_files
 from retrace.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,14 @@ def benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("digest")
 
 
+@query("op5_ppm")
+def scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document; those whose id's checksum leaves 2 modulo 7 are held out of training."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    found = ppm.scored(table(spark, folder, "documents"), train=~held_out)
+    return found.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 @query("op6_chat_pairs", CHAT_SQL)
 def preference(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbouring conversations as preference pairs; the masks are summed to characters trained on."""
