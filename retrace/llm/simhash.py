@@ -2,8 +2,8 @@
 
 A fingerprint is mapped to the bit counts of its 2-bit segments, a point with 32 coordinates per 64 bits. The Manhattan
 distance of two points never exceeds the Hamming distance of the fingerprints, so fingerprints within `radius` bits lie
-within `radius` of each other. The coordinates are dealt to seven groups. A distance of at most 4 touches at most four
-groups, so close points agree in three whole groups: in one of the 35 grids over three groups they lie in the same cell.
+within `radius` of each other. The coordinates are dealt to eight groups. A distance of at most 4 touches at most four
+groups, so close points agree in four whole groups: in one of the 70 grids over four groups they lie in the same cell.
 Fingerprints that share a cell are compared exactly.
 
 Distinct fingerprints are compared, not documents. A crowded cell is cut into blocks of hashed members and every pair of
@@ -25,7 +25,7 @@ from retrace.llm.scratch import stored
 from retrace.llm.textbytes import PLAIN_WORD, Texts, U64, Words, blocks, mixed, signed
 from retrace.llm.xxh import xxh64
 
-GROUPS = 7
+GROUPS = 8
 BLOCK = 2048
 SMALL = 48
 _ODD = 0x5555555555555555
@@ -85,11 +85,12 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
     return own.mapInArrow(run, f"doc_id bigint, digest bigint, {fields}")
 
 
-def _masks(kept: int, every: bool) -> list[int]:
-    """Bit masks of the grids: all choices of `kept` of the groups, or the GROUPS that follow each other in a ring."""
-    segments = [[s for s in range(32) if s % GROUPS == g] for g in range(GROUPS)]
-    chosen = combinations(range(GROUPS), kept) if every else ([(g + i) % GROUPS for i in range(kept)] for g in range(GROUPS))
-    return [sum(3 << (2 * s) for g in groups for s in segments[g]) for groups in chosen]
+def _masks(kept: int, grids: int | None) -> list[int]:
+    """Bit masks of the grids over `kept` of the groups: all choices of groups, or `grids` of them, evenly spread."""
+    chosen = list(combinations(range(GROUPS), kept))
+    if grids is not None:
+        chosen = [chosen[i * len(chosen) // grids] for i in range(grids)]
+    return [sum(3 << (2 * s) for s in range(32) if s % GROUPS in groups) for groups in chosen]
 
 
 def _literal(mask: int) -> Column:
@@ -104,12 +105,12 @@ def _counts(fp: str) -> Column:
     return F.shiftleft(two, 1).bitwiseOR(one)
 
 
-def cells(points: DataFrame, lanes: int, kept: int, every: bool) -> DataFrame:
+def cells(points: DataFrame, lanes: int, kept: int, grids: int | None) -> DataFrame:
     """One row per point and grid: the cell's key beside the columns of the point."""
     keys = [
         F.xxhash64(F.lit(lane * 1000 + i), _counts(f"fp{lane}").bitwiseAND(_literal(mask)))
         for lane in range(lanes)
-        for i, mask in enumerate(_masks(kept, every))
+        for i, mask in enumerate(_masks(kept, grids))
     ]
     return points.select("*", F.explode(F.array(*keys)).alias("cell"))
 
@@ -156,15 +157,17 @@ def link_groups(group: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
-def links(points: DataFrame, lanes: int = 1, radius: int = 4, kept: int = 3, every: bool = True) -> DataFrame:
+def links(points: DataFrame, lanes: int = 1, radius: int = 4, kept: int = 4, grids: int | None = None) -> DataFrame:
     """Edges (a, b) between nodes of `points` (node, fp0, ...) whose fingerprints are within `radius` bits.
 
-    With one lane, radius 4, kept 3 and every, no link between different fingerprints is lost: the edges connect exactly
-    what chains of links connect. With more lanes the radius holds for all bits together and grids propose candidates:
-    a higher `kept` gives finer cells for larger corpora, a lower one finds more.
+    With one lane, radius 4, kept 4 and all grids, no link between different fingerprints is lost: the edges connect
+    exactly what chains of links connect. With more lanes the radius holds for all bits together and `grids` cells per lane
+    propose candidates: a higher `kept` gives finer cells for larger corpora, a lower one finds more.
     """
-    rows = cells(points, lanes, kept, every)
-    counted = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    rows = cells(points, lanes, kept, grids)
+    counted = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    if grids is None:  # coarser cells are nearly always shared
+        counted = counted.where("n > 1")
     counted = counted.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     fps = [f"fp{i}" for i in range(lanes)]
     dealt = rows.join(counted, "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
@@ -203,7 +206,9 @@ def links(points: DataFrame, lanes: int = 1, radius: int = 4, kept: int = 3, eve
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int = 4, kept: int = 3, every: bool = True) -> DataFrame:
+def near_groups(
+    docs: DataFrame, words: int = 4, lanes: int = 1, radius: int = 4, kept: int = 4, grids: int | None = None
+) -> DataFrame:
     """Rows (doc_id, digest, node, fp0, ..., component_id) for every row of `docs`.
 
     component_id is the smallest doc_id reached over links, the row's own among them. Repeated rows, ties and texts
@@ -214,7 +219,7 @@ def near_groups(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int = 4
     node = F.col("fp0") if lanes == 1 else F.xxhash64(*names)
     rows = stored(fingerprints(docs, words, lanes).withColumn("node", node), "fingerprints")
     points = rows.groupBy("node", *names).agg(F.min("doc_id").alias("least"))
-    roots = components(links(points.select("node", *names), lanes, radius, kept, every))
+    roots = components(links(points.select("node", *names), lanes, radius, kept, grids))
     member = points.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.select("node", "root").join(groups, "root").select("node", "component_id")
@@ -226,7 +231,9 @@ def digits(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, words: int = 5, lanes: int = 4, radius: int = 44, kept: int = 2) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, words: int = 5, lanes: int = 4, radius: int = 46, kept: int = 3, grids: int = 12
+) -> DataFrame:
     """The rows of `docs` without those that have a near copy with a smaller doc_id in their group.
 
     One document of each group stays, that of the smallest doc_id, with all its columns; if its row is repeated, so it stays.
@@ -234,7 +241,7 @@ def deduplicated(docs: DataFrame, words: int = 5, lanes: int = 4, radius: int =
     is near. The 256 bits of four lanes estimate the cosine of shingle counts: two texts with a similarity of 0.8 differ in
     about 39 of them, unrelated texts in about 128.
     """
-    groups = near_groups(docs, words, lanes, radius, kept, every=False)
+    groups = near_groups(docs, words, lanes, radius, kept, grids)
     gone = groups.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_retrace_gone"), F.col("digest").alias("_retrace_text"))
     same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_retrace_gone")) & (text_digest(docs["text"]) == F.col("_retrace_text"))
     return docs.join(gone.distinct(), same, "left_anti")
