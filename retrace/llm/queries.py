@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrace.llm import chat_pairs, decontaminate, mixing, ppm, quality_rules, simhash, token_files
+from retrace.llm import chat_pairs, decontaminate, mixing, ppm, quality_rules, simhash, substring_dedup, token_files
 from retrace.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,12 @@ def preference(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_substring_dedup")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated chunks: where they stand, and the document that has them first."""
+    return substring_dedup.repeats(table(spark, folder, "documents")).drop("row", "digest")
+
+
 @query("op8_simhash")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
