@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrace.llm import chat_pairs, decontaminate, mixing, ppm, quality_rules, simhash, substring_dedup, token_files
+from retrace.llm import chat_pairs, decontaminate, license_scan, mixing, ppm, quality_rules, simhash, substring_dedup, token_files
 from retrace.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_groups(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.digits("fp0").alias("fingerprint"), "component_id")
+
+
+@query("op9_license_scan")
+def licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.scanned(table(spark, folder, "documents"))
