@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrace.llm import chat_pairs, decontaminate, license_scan, mixing, ppm, quality_rules, simhash, substring_dedup, token_files
+from retrace.llm import boosted_trees, chat_pairs, decontaminate, license_scan, mixing, ppm, quality_rules, simhash, substring_dedup, token_files
 from retrace.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,11 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def licenses(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and notices of every document."""
     return license_scan.scanned(table(spark, folder, "documents"))
+
+
+@query("op10_boosted_trees")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; labels of those whose id's checksum leaves 0 modulo 5 are held out of training."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = boosted_trees.scored(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
