@@ -6,11 +6,12 @@ each (key, slice), and what has to cross a slice border (previous row, running t
 comes from a table with one row per slice. At most SHARE keys can pass the threshold and each is cut into
 at most SLICES slices, so that border table is bounded whatever the input size, and it is broadcast. It is
 checkpointed as well, so a chain of operators stays a chain and does not double with every step.
-Keys below the threshold, and plans that read little, use one plain window.
+Keys below the threshold use one plain window. The layout is found by counting rows per key, once per frame and keys.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -18,13 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retrace.session import input_bytes, materialise
+from retrace.session import materialise
 
 SHARE = 256  # a key is hot above 1/SHARE of all rows, so at most SHARE keys are hot
 COARSE = 16
 SLICES = COARSE * COARSE
 FLOOR_ROWS = 2_000_000  # a key below this never needs splitting
-SMALL_BYTES = 64 << 20  # plans that read less than this never need the count
+REMEMBERED = 256  # layouts kept for frames that are used again
 
 SLICE = "_slice"
 HOT = "_hot"
@@ -38,13 +39,30 @@ def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str) ->
 
 
 def _rank_value(df: DataFrame, by: str) -> Column:
+    """A number that orders like the column. Texts go by their first six bytes: equal ones share a slice."""
     kind = df.schema[by].dataType
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(F.col(by), "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(by).cast("timestamp")).cast("double")
     return F.col(by).cast("double")
 
 
+_layouts: OrderedDict = OrderedDict()
+
+
 def hot_bounds(df: DataFrame, keys: list[str], by: str, floor_rows: int = FLOOR_ROWS):
+    """Borders for `df`, looked up if the same frame was laid out before; borders decide on balance, never on results."""
+    name = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), by, floor_rows)
+    if name not in _layouts:
+        _layouts[name] = _count_bounds(df, keys, by, floor_rows)
+        if len(_layouts) > REMEMBERED:
+            _layouts.popitem(last=False)
+    return _layouts[name]
+
+
+def _count_bounds(df: DataFrame, keys: list[str], by: str, floor_rows: int):
     """Slice borders of each hot key: rows (keys..., bounds). At most SHARE rows of SLICES - 1 numbers."""
     group = keys or [F.lit(0).alias("_all")]
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
@@ -88,10 +106,9 @@ class Ordered:
         order: list[str],
         by: str | None = None,
         floor_rows: int = FLOOR_ROWS,
-        small_bytes: int = SMALL_BYTES,
     ) -> "Ordered":
         by = by or order[0]
-        rows = [] if input_bytes(df) <= small_bytes else hot_bounds(df, keys, by, floor_rows)
+        rows = hot_bounds(df, keys, by, floor_rows)
         if not rows:
             return Ordered(df.withColumn(SLICE, F.lit(0)).withColumn(HOT, F.lit(False)), keys, order, False)
         numbers = T.ArrayType(T.DoubleType())

@@ -235,10 +235,12 @@ def last_written(t: Tables):
 @query("upsert", f"""WITH {FRAMES} SELECT device, day, base, CASE WHEN quality IS NULL THEN status WHEN quality = 0 THEN 'failed' ELSE 'ok' END AS status,
   CASE WHEN quality IS NULL THEN bytes END AS bytes FROM frames LEFT JOIN labels USING (doc_id)""")
 def upsert(t: Tables):
-    """A re-read of the labelled frames replaces every column of their rows."""
+    """A re-read of the labelled frames replaces every column of their rows; each was read twice, the later one counts."""
     stored = t.frames().select("device", "day", "base", "status", "bytes")
     _, fresh = captures_and_readings(t)
-    return tables.upsert(stored, fresh.select("device", "day", "base", "status"))
+    later = fresh.select("device", "day", "base", "status", F.lit(2).alias("seq"))
+    earlier = later.withColumns({"status": F.lit("torn"), "seq": F.lit(1)})
+    return tables.upsert(stored, later.union(earlier), sequence="seq")
 
 
 @query("activity_dump", f"""WITH {EVENTS} SELECT DISTINCT device, epoch_us(ts) // 1000000 AS time, CASE event_type WHEN 'click' THEN 'PAUSED' WHEN 'purchase' THEN 'STOPPED' ELSE 'RESUMED' END AS type FROM ev WHERE event_type <> 'error'""")
@@ -248,9 +250,8 @@ def activity_dump(t: Tables):
     time = F.floor(F.unix_micros("ts") / 1_000_000).cast("string")
     line = F.concat(F.lit("    time="), time, F.lit(" type=ACTIVITY_"), kind, F.lit(" package=p class=c instanceId="), F.col("device").cast("string"))
     noise = F.when(F.col("event_type") == "error", F.lit("  time=12 something else")).otherwise(line)
-    rows = t.events().select(noise.alias("value")).where(F.col("value").rlike(logs.DUMP_ROW))
-    part = lambda i: F.regexp_extract("value", logs.DUMP_ROW, i)
-    return rows.select(part(5).cast("bigint").alias("device"), part(1).cast("bigint").alias("time"), part(2).alias("type")).dropDuplicates()
+    rows = logs.parse_dump(t.events().select(noise.alias("value")))
+    return rows.select(F.col("instance_id").cast("bigint").alias("device"), F.col("time").cast("bigint").alias("time"), "type")
 
 
 @query("key_names", """SELECT event_id, CASE CAST(floor(value) AS BIGINT) % 128 WHEN 36 THEN 'return' WHEN 48 THEN 'tab' WHEN 49 THEN 'space' WHEN 51 THEN 'delete' WHEN 53 THEN 'escape' WHEN 76 THEN 'enter'

@@ -88,13 +88,18 @@ def stream_throttle(t: Tables):
     return stateful.to_files(stateful.run_machine(rows, machines.Throttle(172800), tie="event_id"), "throttle")
 
 
-@query("stream_running_stats", """SELECT user_id AS device, greatest(sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END), 0)::BIGINT AS count,
-  greatest(sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END * CAST(floor(value) AS BIGINT)), 0)::BIGINT AS bytes,
-  min(CASE WHEN event_type <> 'error' THEN epoch_us(ts) END) AS first, max(CASE WHEN event_type <> 'error' THEN epoch_us(ts) END) AS last FROM events GROUP BY user_id""")
+@query("stream_running_stats", f"""WITH {EVENTS}, d AS (SELECT *, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS n FROM ev),
+s AS (SELECT *, sum(n) OVER w AS sn, sum(n * CAST(floor(value) AS BIGINT)) OVER w AS sb FROM d WINDOW w AS (PARTITION BY device ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT device, arg_max(sn, (ts, event_id)) AS n, arg_max(sb, (ts, event_id)) AS b, least(min(sn), 0) AS ln, least(min(sb), 0) AS lb,
+  min(CASE WHEN n > 0 THEN epoch_us(ts) END) AS first, max(CASE WHEN n > 0 THEN epoch_us(ts) END) AS last FROM s GROUP BY device)
+SELECT device, (n - ln)::BIGINT AS count, (b - lb)::BIGINT AS bytes, first, last FROM l""")
 def stream_running_stats(t: Tables):
+    """Statistics after the last batch."""
     sign = F.when(F.col("event_type") == "error", -1).otherwise(1)
-    deltas = event_stream(t).select("device", "ts", sign.alias("n"), (sign * F.floor("value").cast("bigint")).alias("bytes"))
-    return stateful.keep_latest(windows.running_stats(deltas), ["device"], "stats")
+    changes = event_stream(t).select("device", "ts", "event_id", sign.alias("n"), (sign * F.floor("value").cast("bigint")).alias("bytes"))
+    rows = stateful.to_files(stateful.run_machine(changes, machines.RunningStats(), tie="event_id"), "stats")
+    last = F.max_by(F.struct("count", "bytes", "first", "last"), "us").alias("r")
+    return rows.groupBy("device").agg(last).select("device", "r.*")
 
 
 @query("stream_sessions", f"""WITH {EVENTS}, f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS s FROM ev WINDOW w AS (PARTITION BY device ORDER BY ts)),

@@ -27,12 +27,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach; a local one is made only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach: that of `spark.checkpoint.dir`.
+
+    Without one, local mode makes its own; on a cluster each executor would write to its own disk, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -44,25 +46,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder (survives lost executors)."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the relations a plan reads, from catalog or file metadata; unknown counts as huge.
-
-    Uses the analysed plan, so nothing is optimised or run.
-    """
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-        return sum(sizes)
-    except Exception:
-        return 1 << 62
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table is stored in fewer files than there are cores; else leave it alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Write the rows once to the shared folder and read them back: lineage is cut and lost executors lose nothing."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

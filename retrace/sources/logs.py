@@ -92,9 +92,13 @@ def last_written(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFram
 
 def activity_dump(spark: SparkSession, path: str, device: str = "local") -> DataFrame:
     """Activity events from a usage dump: matching rows, exact duplicates once, numbered in time order."""
-    text = spark.read.text(path).where(F.col("value").rlike(DUMP_ROW))
+    return parse_dump(spark.read.text(path), device)
+
+
+def parse_dump(lines: DataFrame, device: str = "local") -> DataFrame:
+    """Events in the `value` lines of a usage dump; what isn't an event is left out."""
     part = lambda i: F.regexp_extract("value", DUMP_ROW, i)
-    rows = text.select(
+    rows = lines.where(F.col("value").rlike(DUMP_ROW)).select(
         F.lit(device).alias("device"),
         part(1).cast("bigint").alias("time"),
         part(2).alias("type"),

@@ -18,11 +18,19 @@ def history(spark: SparkSession, path: str, days: list[str] | None = None) -> Da
     return frames.where(F.col("day").isin(days)) if days else frames
 
 
-def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str] = FRAME_KEY) -> DataFrame:
-    """Merge so that a fresh row replaces every column of the stored row with its key."""
-    kept = stored.withColumn("_gen", F.lit(0))
-    new = fresh.withColumn("_gen", F.lit(1))
-    merged = kept.unionByName(new, allowMissingColumns=True)
+def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str] = FRAME_KEY, sequence: str | None = None) -> DataFrame:
+    """Merge so that a fresh row replaces every column of the stored row with its key.
+
+    Of several fresh rows with one key the one with the largest `sequence` wins, for instance the place in the log they were
+    read from. Without a sequence, or where it ties, the largest row by its columns in order wins, whatever order they come in.
+    """
+    shared = [F.col(c) for c in fresh.columns if c in stored.columns and c not in keys and c != sequence]
+    rank = F.struct(F.lit(1), (F.col(sequence) if sequence else F.lit(None).cast("bigint")).alias("s"), F.struct(*shared).cast("string"))
+    new = fresh.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in fresh.columns if c not in keys]), rank).alias("_row"))
+    new = new.select(*keys, "_row.*")
+    if sequence and sequence not in stored.columns:
+        new = new.drop(sequence)
+    merged = stored.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
     return last_written(merged, keys, "_gen").drop("_gen")
 
 
@@ -31,14 +39,22 @@ def write_frames(frames: DataFrame, path: str) -> None:
     frames.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def upsert_table(spark: SparkSession, path: str, fresh: DataFrame, keys: list[str] = FRAME_KEY) -> None:
-    """Upsert into a day-partitioned table; only touched days are read and rewritten.
+def touched(spark: SparkSession, path: str, days: list[str]) -> DataFrame:
+    """Stored frames of the given days; the day list reaches the scan as a partition filter."""
+    return spark.read.parquet(path).where(F.col("day").isin(days))
+
+
+def upsert_table(
+    spark: SparkSession, path: str, fresh: DataFrame, keys: list[str] = FRAME_KEY, sequence: str | None = None
+) -> None:
+    """Upsert into a day-partitioned table; only the days of `fresh` are read and rewritten.
 
-    The merged days are checkpointed first, since a table cannot be overwritten while it is read.
+    One writer at a time: streams that feed one table share one query (see `streaming.windows.ingest`). The merged days are
+    stored aside first, since a table cannot be overwritten while it is read.
     """
-    days = fresh.select("day").distinct()
-    stored = spark.read.parquet(path).join(days, "day", "left_semi")
-    write_frames(materialise(upsert(stored, fresh, keys)), path)
+    days = [r["day"] for r in fresh.select("day").distinct().collect()]  # one value per calendar day of the batch
+    if days:
+        write_frames(materialise(upsert(touched(spark, path, days), fresh, keys, sequence)), path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ State is kept as JSON so that one small value per device goes to the state store
 from __future__ import annotations
 
 from retrace.operators.activity import OVERLAP_MS, PAUSE_STOP_WINDOW_MS, ResumedCount
-from retrace.operators.folds import gram_set
+from retrace.functions.text import gram_set, overlap
 from retrace.operators.intervals import GAP_RESOLVERS
 
 
@@ -106,7 +106,7 @@ class ResumedActivities(Machine):
         if event in seen:
             return []
         seen[event] = time
-        newest = state["newest"] = max(state.get("newest", time), time)
+        state["newest"] = max(state.get("newest", time), time)
         slots = state.setdefault("slots", {})
         name = f"{row['pkg']}/{row['cls']}"
         slot = ResumedCount(self.window_ms)
@@ -117,7 +117,6 @@ class ResumedActivities(Machine):
         _, pauses, _, counts = slot.state()
         slots[name] = {"pkg": row["pkg"], "pauses": pauses, "counts": counts, "sensitive": bool(row["sensitive"])}
         state["us"] = max(state.get("us", row["us"]), row["us"])
-        state["seen"] = {e: t for e, t in seen.items() if t >= newest - self.overlap_ms} if len(seen) > 64 else seen
         return self._report(state) if self.every_event else []
 
     def finish(self, state):
@@ -152,12 +151,7 @@ class NearDuplicateLog(Machine):
         if "text" in state:
             if self.grams[0] != state["text"]:
                 self.grams = (state["text"], gram_set(state["text"]))
-            ref = self.grams[1]
-            if not ref or not grams:
-                value = self.both_empty if not ref and not grams else 0.0
-            else:
-                shared = len(ref & grams)
-                value = shared / (len(ref) + len(grams) - shared)
+            value, _ = overlap(self.grams[1], grams, self.both_empty)
             if value >= self.threshold:
                 state["dwell"] += 1
                 state["until"] = row["us"]
@@ -167,6 +161,28 @@ class NearDuplicateLog(Machine):
         return [out]
 
 
+class RunningStats(Machine):
+    """Count and bytes from signed changes: +n and +bytes per capture, negative per deletion, never below zero after one.
+
+    First and last capture times come from captures only, deletions leave them alone. A row per batch and device.
+    """
+
+    columns = ["n", "bytes"]
+    output = "us bigint, count bigint, bytes bigint, first bigint, last bigint"
+
+    def step(self, state, row):
+        for name, change in (("count", row["n"]), ("bytes", row["bytes"])):
+            state[name] = max(state.get(name, 0) + int(change), 0)
+        if row["n"] > 0:
+            state["first"] = min(state.get("first", row["us"]), row["us"])
+            state["last"] = max(state.get("last", row["us"]), row["us"])
+        state["us"] = row["us"]
+        return []
+
+    def finish(self, state):
+        return [{name: state.get(name) for name in ("us", "count", "bytes", "first", "last")}]
+
+
 class FailureStreak(Machine):
     """A row whenever consecutive failures reach a multiple of the threshold."""
 

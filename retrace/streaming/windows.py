@@ -26,32 +26,16 @@ def last_hour(counts: DataFrame, now) -> DataFrame:
     return recent.groupBy("status").agg(F.sum("n").alias("n"))
 
 
-def running_stats(deltas: DataFrame, key: str = "device") -> DataFrame:
-    """Count and bytes from signed changes: +1 and +bytes per capture, negative per deletion; never below zero.
-
-    First and last capture times come from captures only, deletions leave them alone.
-    """
-    captured = F.when(F.col("n") > 0, F.col("ts"))
-    return deltas.groupBy(key).agg(
-        F.greatest(F.sum("n"), F.lit(0)).cast("bigint").alias("count"),
-        F.greatest(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"),
-        F.min(captured).alias("first"),
-        F.max(captured).alias("last"),
-    )
-
-
 def once(stream: DataFrame, identity: list[str], overlap: str = "5 seconds") -> DataFrame:
     """Overlapping queries deliver rows twice; each identity passes once within the watermark."""
     return stream.withWatermark("ts", overlap).dropDuplicatesWithinWatermark(identity)
 
 
 def ingest(fresh: DataFrame, backlog: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str):
-    """Two queries into one idempotent upsert: new files continuously, the backlog once, without waiting."""
-    live = fresh.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{checkpoint}/fresh").start()
-    catch_up = (
-        backlog.writeStream.foreachBatch(upsert)
-        .option("checkpointLocation", f"{checkpoint}/backlog")
-        .trigger(availableNow=True)
-        .start()
-    )
-    return live, catch_up
+    """New files and the backlog through one query, so that one writer at a time merges into the table.
+
+    Each batch takes what is new and as much of the backlog as its source's rate limit (`maxFilesPerTrigger`) lets through;
+    new files don't wait for the backlog to end.
+    """
+    both = fresh.unionByName(backlog, allowMissingColumns=True)
+    return both.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).start()

@@ -48,7 +48,7 @@ def test_thin_equals_loop_in_slices(events):
         if r.k not in last or r.s - last[r.k] >= 25:
             want.add(r.id)
             last[r.k] = r.s
-    for layout in ({}, {"floor_rows": 100, "small_bytes": 0}):
+    for layout in ({}, {"floor_rows": 100}):
         got = folds.thin(few, 25, ["k"], ["id"], **layout).where("kept")
         assert {r.id for r in got.collect()} == want
 
@@ -67,7 +67,7 @@ def naive_collapse(texts, thr):
     return out
 
 
-@pytest.mark.parametrize("layout", [{}, {"floor_rows": 60, "small_bytes": 0}])
+@pytest.mark.parametrize("layout", [{}, {"floor_rows": 60}])
 def test_near_duplicates_equal_loop(spark, layout):
     random.seed(3)
     text, texts = "the quick brown fox jumps", []

@@ -16,8 +16,8 @@ ROWS = {"near_dup_collapse": 6, "timeline_windows": 6, "resumed_counts": 4}  # k
 def test_sliced_query(spark, duck, monkeypatch, name):  # noqa: F811
     plain, cuts = ordered.Ordered.of, []
 
-    def forced(df, keys, order, by=None, floor_rows=0, small_bytes=0):
-        out = plain(df, keys, order, by, ROWS.get(name, 30), 0)
+    def forced(df, keys, order, by=None, floor_rows=0):
+        out = plain(df, keys, order, by, ROWS.get(name, 30))
         cuts.append(out.sliced)
         return out
 

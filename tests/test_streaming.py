@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from helpers import tuples
+from retrace.sources import tables
 from retrace.streaming import machines as M
 from retrace.streaming import stateful, windows
 
@@ -91,18 +92,47 @@ def test_state_survives_batches_and_starts_from_history(spark, tmp_path):
     assert set(tuples(stateful.to_files(late, "t"), "id", "streak")) == {e for e in expected if e[0] >= 20}
 
 
-def test_fresh_and_backlog_share_an_upsert(spark, tmp_path):
-    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n bigint")
-    for name in ("fresh", "backlog"):
-        df.coalesce(1).write.parquet(str(tmp_path / name))
-    seen = []
-
-    def upsert(batch, number):
-        seen.append(batch.count())
-
-    read = lambda name: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
-    live, catch_up = windows.ingest(read("fresh"), read("backlog"), upsert, str(tmp_path / "ck"))
-    catch_up.awaitTermination(60)
-    live.processAllAvailable()
-    live.stop()
-    assert sum(seen) == 4
+def test_fresh_and_backlog_share_one_table(spark, tmp_path):
+    """Both touch the same days, one of them the same frame; no row is lost and the later reading wins."""
+    row = lambda day, base, status, seq: ("d", day, base, status, seq)
+    schema = "device string, day string, base string, status string, seq bigint"
+    parts = {
+        "fresh": [row("2026-01-01", "f1", "ok", 5), row("2026-01-02", "b", "ok", 9), row("2026-01-02", "b", "failed", 3)],
+        "backlog": [row("2026-01-01", "b1", "ok", 1), row("2026-01-02", "b2", "empty", 2), row("2026-01-03", "b3", "ok", 3)],
+    }
+    for name, rows in parts.items():
+        for i, r in enumerate(rows if name == "backlog" else [rows]):
+            data = r if name == "fresh" else [r]
+            spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / name / f"p{i}"))
+    table = str(tmp_path / "table")
+    tables.write_frames(spark.createDataFrame([("d", "2026-01-01", "old", "ok"), ("d", "2026-01-09", "far", "ok")], "device string, day string, base string, status string"), table)
+    read = lambda name: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "*"))
+    upsert = lambda batch, number: tables.upsert_table(spark, table, batch, sequence="seq")
+    query = windows.ingest(read("fresh"), read("backlog"), upsert, str(tmp_path / "ck"))
+    query.processAllAvailable()
+    query.stop()
+    found = {(r.day, r.base, r.status) for r in spark.read.parquet(table).collect()}
+    assert {(str(d), b, s) for d, b, s in found} == {
+        ("2026-01-01", "old", "ok"), ("2026-01-09", "far", "ok"), ("2026-01-01", "f1", "ok"), ("2026-01-02", "b", "ok"),
+        ("2026-01-01", "b1", "ok"), ("2026-01-02", "b2", "empty"), ("2026-01-03", "b3", "ok")}
+
+
+def test_upsert_reads_touched_days_and_breaks_ties_by_sequence(spark, tmp_path):
+    old = spark.createDataFrame([("d", f"2026-01-{i:02}", "x", "ok") for i in range(1, 10)], "device string, day string, base string, status string")
+    tables.write_frames(old, str(tmp_path / "t"))
+    plan = tables.touched(spark, str(tmp_path / "t"), ["2026-01-03"])._jdf.queryExecution().executedPlan().toString()
+    assert "2026-01-03" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    rows = [("d", "2026-01-03", "x", s, n) for s, n in (("new", 2), ("old", 1), ("mid", 1))]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        fresh = spark.createDataFrame(order, "device string, day string, base string, status string, seq bigint")
+        out = tables.upsert(old, fresh, sequence="seq")
+        assert [r.status for r in out.where("day = '2026-01-03'").collect()] == ["new"] and out.count() == 9 and "seq" not in out.columns
+    same = [tables.upsert(old, spark.createDataFrame(o, "device string, day string, base string, status string")).where("day = '2026-01-03'").first().status
+            for o in ([r[:4] for r in rows], [r[:4] for r in rows[::-1]])]
+    assert same[0] == same[1]
+
+
+def test_running_stats_stop_at_zero_after_each_deletion():
+    row = lambda us, n, size: {"us": us, "n": n, "bytes": size}
+    out, _ = feed(M.RunningStats(), [row(1, 1, 10), row(2, -5, -50), row(3, 3, 30)])
+    assert out == [{"us": 3, "count": 3, "bytes": 30, "first": 1, "last": 3}]
