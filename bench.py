@@ -44,13 +44,11 @@ def stored_searches(spark: SparkSession) -> dict[str, float]:
     def build():
         built = dictionary.build(Tables(spark, FOLDER).frames())
         dictionary.save(built, folder)
-        dictionary.line_runs(dictionary.postings(spark.read.parquet(f"{folder}/texts"))).write.parquet(f"{folder}/runs")
 
     out["build_store"] = timed(build)
     store = dictionary.load(spark, folder)
-    runs = spark.read.parquet(f"{folder}/runs")
     for name, term in (("long", "thanedble the"), ("short", "Es")):
-        out[f"store_search_{name}_term"] = timed(lambda: finish(search.frames_with_term(store.frames, store.lines, runs, term)))
+        out[f"store_search_{name}_term"] = timed(lambda: finish(search.frames_with_term(store.frames, store.lines, store.runs, term)))
     out["store_search_windows"] = timed(lambda: finish(plain(search.search(store, "thanedble License Of"))))
     out["store_days"] = timed(lambda: finish(reports.days(store.frames)))
     return out

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retrace.functions.text import text_key
+from retrace.functions.text import grams, text_key
 from retrace.session import materialise
 
 NEWLINE = "\n"
@@ -16,11 +16,16 @@ BLOCK = 1 << 20  # text ids per block when building or expanding runs
 
 @dataclass(frozen=True)
 class Dictionary:
-    """`lines(line_id, key, text)`, `texts(text_id, key, line_ids)` and `frames` with `text_id`."""
+    """`lines(line_id, key, text)`, `texts(text_id, key, line_ids)`, `frames` with `text_id`, `runs(line_id, first_text, last_text)`.
+
+    `grams(gram, line_id, bucket)`, the trigram table, is there once the dictionary has been stored.
+    """
 
     lines: DataFrame
     texts: DataFrame
     frames: DataFrame
+    runs: DataFrame
+    grams: DataFrame | None = None
 
 
 def dense_ids(df: DataFrame, order: list[str], name: str, start: int | Column = 1) -> DataFrame:
@@ -74,7 +79,8 @@ def number_texts(frames: DataFrame, rank: list[str] = RANK) -> DataFrame:
 def build(frames: DataFrame, rank: list[str] = RANK) -> Dictionary:
     """Number lines and texts by first appearance. Frames without text get a NULL text_id."""
     lines, texts = number_lines(frames, rank), number_texts(frames, rank)
-    return Dictionary(lines, with_line_ids(texts, lines), _point_frames(frames, texts))
+    listed = with_line_ids(texts, lines)
+    return Dictionary(lines, listed, _point_frames(frames, texts), line_runs(postings(listed)))
 
 
 def with_line_ids(texts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -179,7 +185,7 @@ def compression(frames: DataFrame, dictionary: Dictionary) -> DataFrame:
         (dictionary.lines, "line_chars", chars),
         (dictionary.texts, "distinct_texts", rows),
         (pairs, "postings", rows),
-        (line_runs(pairs), "runs", rows),
+        (dictionary.runs, "runs", rows),
     ]
     out = None
     for df, metric, value in measured:
@@ -191,24 +197,40 @@ def compression(frames: DataFrame, dictionary: Dictionary) -> DataFrame:
 # -- stored form --------------------------------------------------------------------------------
 
 
+GRAM_BUCKETS = 256
+
+
+def gram_bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_BUCKETS)).cast("int")
+
+
+def trigrams(lines: DataFrame) -> DataFrame:
+    """(gram, line_id, bucket) of every dictionary line of three characters or more, case folded."""
+    found = lines.where(F.length("text") >= 3).select(F.explode(grams(F.lower("text"), 3)).alias("gram"), "line_id")
+    return found.withColumn("bucket", gram_bucket(F.col("gram")))
+
+
 def save(dictionary: Dictionary, folder: str) -> None:
+    """Store all tables. Runs are sorted by line and trigrams lie in folders by hash, so a search opens what it needs."""
     dictionary.lines.write.mode("overwrite").parquet(f"{folder}/lines")
     dictionary.texts.write.mode("overwrite").parquet(f"{folder}/texts")
     dictionary.frames.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/frames")
+    stored = dictionary.lines.sparkSession.read
+    pairs = postings(stored.parquet(f"{folder}/texts"))
+    line_runs(pairs).repartitionByRange("line_id").sortWithinPartitions("line_id").write.mode("overwrite").parquet(f"{folder}/runs")
+    table = trigrams(stored.parquet(f"{folder}/lines")).repartition("bucket").sortWithinPartitions("bucket", "gram")
+    table.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/grams")
 
 
 def load(spark: SparkSession, folder: str) -> Dictionary:
-    return Dictionary(
-        spark.read.parquet(f"{folder}/lines"),
-        spark.read.parquet(f"{folder}/texts"),
-        spark.read.parquet(f"{folder}/frames"),
-    )
+    return Dictionary(*[spark.read.parquet(f"{folder}/{name}") for name in ("lines", "texts", "frames", "runs", "grams")])
 
 
 def extend(store: Dictionary, fresh: DataFrame, rank: list[str] = RANK) -> Dictionary:
     """Rows to append for new frames: unseen lines and texts get the next ids, old ids never move.
 
-    Single writer per store. Returns only the additions; `frames` holds the new frames with their text_id.
+    Single writer per store. Returns only the additions, but all `runs`, since old ones may grow; `frames` holds the new
+    frames with their text_id.
     """
     known = store.lines.select("key", "text")
     seen = first_lines(fresh, rank).select(F.col("line").alias("text"), "first")
@@ -231,7 +253,8 @@ def extend(store: Dictionary, fresh: DataFrame, rank: list[str] = RANK) -> Dicti
     known_ids = matched.where(F.col("text_id").isNotNull()).select("_n", "text_id")
     ids = known_ids.unionByName(added_texts.select("_n", "text_id"))
     by_text = numbered.select(F.col("text_id").alias("_n"), "text").join(ids, "_n").select("text_id", "text")
-    return Dictionary(added_lines, added_texts.select("text_id", "key", "line_ids"), _point_frames(fresh, by_text))
+    texts = added_texts.select("text_id", "key", "line_ids")
+    return Dictionary(added_lines, texts, _point_frames(fresh, by_text), extend_runs(store.runs, postings(texts)))
 
 
 def extend_runs(runs: DataFrame, added_pairs: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrace.functions.captures import WINDOW_SECONDS, window_id
-from retrace.functions.text import contains_term, grams, split_terms
+from retrace.functions.text import contains_term, split_terms
 from retrace.operators import dictionary
 from retrace.operators.ordered import Ordered
 
@@ -55,11 +56,13 @@ def hits_from_text(frames: DataFrame, patterns: list[str], keys: list[str]) -> D
 
 
 def hits_from_dictionary(store: dictionary.Dictionary, patterns: list[str], keys: list[str]) -> DataFrame:
-    """The same hits from the stored dictionary: only the small line table is scanned for the patterns."""
+    """The same hits from the stored dictionary: lines are tested, only runs of hit lines are unfolded and met with frames."""
     lines = matching_lines(store.lines, patterns).select("line_id", F.col("text").alias("line"), "hits")
-    pairs = dictionary.postings(store.texts).join(lines, "line_id")
+    places = dictionary.expand_runs(store.runs.join(lines.select("line_id"), "line_id", "left_semi"))
     frames = store.frames.where(F.col("status") == "ok").select(*keys, "ts", "text_id")
-    return frames.join(pairs, "text_id").select(*keys, "ts", "line", "hits")
+    # one row per line and window before the text of the line comes back
+    seen = frames.join(places, "text_id").groupBy(*keys, window_id(F.col("ts")).alias("_w"), "line_id").agg(F.max("ts").alias("ts"))
+    return seen.join(lines, "line_id").select(*keys, "ts", "line", "hits")
 
 
 def window_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,7 +108,7 @@ def search(
     patterns = [terms[0], terms[0][:half], terms[0][half:]] if can_split else terms
 
     if isinstance(source, dictionary.Dictionary):
-        ranged = dictionary.Dictionary(source.lines, source.texts, in_range(source.frames, since, until))
+        ranged = replace(source, frames=in_range(source.frames, since, until))
         hits = hits_from_dictionary(ranged, patterns, keys)
     else:
         hits = hits_from_text(in_range(source, since, until), patterns, keys)
@@ -137,9 +140,13 @@ def search(
 # -- trigram table ------------------------------------------------------------------------------
 
 
-def trigrams(lines: DataFrame) -> DataFrame:
-    """(gram, line_id) of every dictionary line, case folded; write it bucketed or partitioned by gram hash."""
-    return lines.where(F.length("text") >= 3).select(F.explode(grams(F.lower("text"), 3)).alias("gram"), "line_id")
+trigrams = dictionary.trigrams
+
+
+def _buckets(table: DataFrame, wanted: list[str]) -> list[int]:
+    """Folders of the wanted grams, computed without a table."""
+    rows = table.sparkSession.range(1).select(F.explode(F.array(*[F.lit(g) for g in wanted])).alias("gram"))
+    return sorted({r[0] for r in rows.select(dictionary.gram_bucket(F.col("gram"))).collect()})
 
 
 def search_with_trigrams(lines: DataFrame, table: DataFrame, term: str) -> DataFrame:
@@ -149,7 +156,8 @@ def search_with_trigrams(lines: DataFrame, table: DataFrame, term: str) -> DataF
     if not wanted:
         return lines.where(contains_term(F.col("text"), term))
     candidates = (
-        table.where(F.col("gram").isin(wanted))
+        # the buckets reach a stored table's scan as a partition filter
+        table.where(F.col("bucket").isin(_buckets(table, wanted)) & F.col("gram").isin(wanted))
         .groupBy("line_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") == len(wanted))

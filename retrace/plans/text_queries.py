@@ -41,12 +41,12 @@ SELECT line_id, min(text_id) AS first_text, max(text_id) AS last_text FROM (
   SELECT line_id, text_id, text_id - row_number() OVER (PARTITION BY line_id ORDER BY text_id) AS g FROM pairs)
 GROUP BY line_id, g""")
 def line_runs(t: Tables):
-    return D.line_runs(D.postings(D.build(t.frames()).texts))
+    return D.build(t.frames()).runs
 
 
 @query("run_expansion", f"{DICT} SELECT line_id, text_id FROM pairs")
 def run_expansion(t: Tables):
-    return D.expand_runs(D.line_runs(D.postings(D.build(t.frames()).texts)))
+    return D.expand_runs(D.build(t.frames()).runs)
 
 
 @query("text_roundtrip", f"WITH {FRAMES} SELECT device, day, base, text FROM frames")
@@ -68,13 +68,27 @@ def compression_stats(t: Tables):
     return D.compression(frames, D.build(frames))
 
 
-@query("dictionary_append", f"{DICT} SELECT line_id, {key_sql('line')} AS key, line AS text FROM line_ids")
+@query("dictionary_append", f"""{DICT}
+SELECT 'line' AS kind, line_id AS id, {key_sql('line')} AS key, line AS value, CAST(NULL AS BIGINT) AS until FROM line_ids
+UNION ALL SELECT 'text', text_id, {key_sql('text')}, CAST(len(string_split(text, chr(10))) AS VARCHAR), NULL FROM text_ids
+UNION ALL SELECT 'frame', text_id, NULL, device || '/' || base, NULL FROM frames LEFT JOIN text_ids USING (text)
+UNION ALL SELECT 'run', line_id, NULL, CAST(min(text_id) AS VARCHAR), max(text_id) FROM (
+  SELECT line_id, text_id, text_id - row_number() OVER (PARTITION BY line_id ORDER BY text_id) AS g FROM pairs) GROUP BY line_id, g""")
 def dictionary_append(t: Tables):
-    """Documents of the first half hour are stored, the rest arrives later: ids equal those of one build."""
+    """Documents of the first half hour are stored, the rest arrives later: all tables equal those of one build."""
     frames = t.frames()
     later = F.col("ts") >= F.timestamp_seconds(F.lit(1704067200 + 1800))
     store = D.build(frames.where(~later))
-    return store.lines.unionByName(D.extend(store, frames.where(later)).lines)
+    added = D.extend(store, frames.where(later))
+    none = F.lit(None).cast("bigint")
+    row = lambda df, kind, id_, key, value, until: df.select(
+        F.lit(kind).alias("kind"), F.col(id_).alias("id"), key.alias("key"), value.cast("string").alias("value"), until.alias("until")
+    )
+    lines = row(store.lines.unionByName(added.lines), "line", "line_id", F.col("key"), F.col("text"), none)
+    texts = row(store.texts.unionByName(added.texts), "text", "text_id", F.col("key"), F.size("line_ids"), none)
+    shots = row(store.frames.unionByName(added.frames), "frame", "text_id", none, F.concat_ws("/", "device", "base"), none)
+    runs = row(added.runs, "run", "line_id", none, F.col("first_text"), F.col("last_text"))
+    return lines.union(texts).union(shots).union(runs)
 
 
 # -- search -------------------------------------------------------------------------------------

@@ -57,14 +57,22 @@ def test_extend_keeps_ids(built):
     assert tuples(texts, "text_id", "line_ids") == tuples(d.texts, "text_id", "line_ids")
     both = store.frames.unionByName(extra.frames)
     assert tuples(both, "base", "text_id") == tuples(d.frames, "base", "text_id")
-    runs = D.extend_runs(D.line_runs(D.postings(store.texts)), D.postings(extra.texts))
-    assert tuples(runs, "line_id", "first_text", "last_text") == tuples(D.line_runs(D.postings(texts)), "line_id", "first_text", "last_text")
+    assert tuples(extra.runs, "line_id", "first_text", "last_text") == tuples(D.line_runs(D.postings(texts)), "line_id", "first_text", "last_text")
 
 
 def test_stored_dictionary(spark, built, tmp_path):
     f, d = built
     D.save(d, str(tmp_path))
-    assert tuples(D.shots(D.load(spark, str(tmp_path))), "base", "text") == tuples(f, "base", "text")
+    store = D.load(spark, str(tmp_path))
+    assert tuples(D.shots(store), "base", "text") == tuples(f, "base", "text")
+    assert tuples(store.runs, "line_id", "first_text", "last_text") == tuples(d.runs, "line_id", "first_text", "last_text")
+    found = S.search_with_trigrams(store.lines, store.grams, "の画面")
+    assert tuples(found, "line_id") == tuples(d.lines.where("contains(text, 'の画面')"), "line_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert any("bucket" in part.split("]")[0] for part in plan.split("PartitionFilters")[1:])
+    hits = S.hits_from_dictionary(store, ["共通の"], ["device"])
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "first_text" in plan and "line_ids" not in plan  # runs are read, texts are not
 
 
 def test_random_texts_equal_plain_search(spark):

@@ -89,3 +89,17 @@ def test_growing_text_is_kept_eventually():
     fold = NearDuplicate([0.9], 1.0)
     kept = [fold.step(i, str(i), "abcdefghijklmnopqrstuvwxyz0123456789"[: 20 + i])[0][0] for i in range(10)]
     assert kept[0] and sum(kept) > 1 and not kept[1]
+
+
+def test_thinning_a_hot_key_takes_two_passes(spark, monkeypatch):
+    """Regular ticks never fall into step again; each row is still read twice and written once."""
+    written = []
+    plain = folds.materialise
+    monkeypatch.setattr(folds, "materialise", lambda df: written.append(plain(df)) or written[-1])
+    rows = spark.range(600).select(F.lit("d").alias("device"), F.timestamp_seconds(F.col("id") * 5).alias("ts"), "id")
+    want = {r.id for r in folds.thin(rows, 12, ["device"], ["id"]).where("kept").collect()}
+    assert want == {i for i in range(0, 600, 3)} and not written
+    got = folds.thin(rows, 12, ["device"], ["id"], floor_rows=100)
+    assert {r.id for r in got.where("kept").collect()} == want and got.count() == 600
+    # one small table: an entry per row of a slice's first twelve seconds
+    assert len(written) == 1 and 10 < written[0].count() <= 300 and written[0].selectExpr("max(size(entries))").first()[0] <= 4
