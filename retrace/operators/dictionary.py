@@ -175,22 +175,19 @@ def shots(dictionary: Dictionary) -> DataFrame:
 
 def compression(frames: DataFrame, dictionary: Dictionary) -> DataFrame:
     """(metric, value) rows: frames, characters, distinct lines and texts, postings and runs."""
-    pairs = postings(dictionary.texts)
-    rows = F.count(F.lit(1))
-    chars = F.coalesce(F.sum(F.length("text")), F.lit(0))
-    measured = [
-        (frames, "frames", rows),
-        (frames, "raw_chars", chars),
-        (dictionary.lines, "distinct_lines", rows),
-        (dictionary.lines, "line_chars", chars),
-        (dictionary.texts, "distinct_texts", rows),
-        (pairs, "postings", rows),
-        (dictionary.runs, "runs", rows),
+    rows, chars = F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))
+    listed = F.size(F.array_distinct("line_ids"))
+    tables = [
+        frames.agg(rows.alias("frames"), chars.alias("raw_chars")),
+        dictionary.lines.agg(rows.alias("distinct_lines"), chars.alias("line_chars")),
+        dictionary.texts.agg(rows.alias("distinct_texts"), F.coalesce(F.sum(listed), F.lit(0)).alias("postings")),
+        dictionary.runs.agg(rows.alias("runs")),
     ]
     out = None
-    for df, metric, value in measured:
-        row = df.agg(value.cast("bigint").alias("value")).select(F.lit(metric).alias("metric"), "value")
-        out = row if out is None else out.unionByName(row)
+    for row in tables:
+        pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("bigint").alias("value")) for c in row.columns])
+        part = row.select(F.inline(pairs))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -80,16 +80,18 @@ def missing_per_day(todo: DataFrame) -> DataFrame:
     return todo.groupBy("day").agg(_rows().alias("remaining"))
 
 
+def long_form(row: DataFrame) -> DataFrame:
+    """(metric, value) rows of a one-row table, values as text."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in row.columns])
+    return row.select(F.inline(pairs))
+
+
 def ingest_report(sources: dict[str, DataFrame], shots: DataFrame, bad: DataFrame) -> DataFrame:
-    """(metric, value) rows: rows per source, unresolved apps, rejected rows and the covered days."""
-    parts = [df.agg(_rows().cast("string").alias("value")).select(F.lit(name).alias("metric"), "value") for name, df in sources.items()]
-    parts.append(shots.agg(_count(F.col("pkg").isNull()).cast("string").alias("value")).select(F.lit("unresolved").alias("metric"), "value"))
-    parts.append(bad.agg(_rows().cast("string").alias("value")).select(F.lit("bad").alias("metric"), "value"))
-    for name, fn in (("first_day", F.min), ("last_day", F.max)):
-        parts.append(shots.agg(fn("day").alias("value")).select(F.lit(name).alias("metric"), "value"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    """(metric, value) rows: rows per source, unresolved apps, rejected rows and the covered days; each table is read once."""
+    seen = shots.agg(_count(F.col("pkg").isNull()).alias("unresolved"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    out = long_form(seen)
+    for name, df in [*sources.items(), ("bad", bad)]:
+        out = out.unionByName(long_form(df.agg(_rows().alias(name))))
     return out
 
 
@@ -160,31 +162,31 @@ def latency_profile(frames: DataFrame, **layout) -> DataFrame:
 # -- corpus -------------------------------------------------------------------------------------
 
 
-def kept_sessions(decisions: DataFrame, gap: float = 300, keys=["device"], **layout) -> DataFrame:
+def kept_sessions(decisions: DataFrame, gap: float = 300, keys=["device"], carry: list[str] = [], **layout) -> DataFrame:
     """Collapsed frames with their session; the pause counts from the end of the previous dwell."""
-    kept = folds.collapse(decisions, keys)
+    kept = folds.collapse(decisions, keys, carry)
     return intervals.sessions(kept, gap, [*keys, "thr"], until="until", **layout)
 
 
-def corpus_summary(frames: DataFrame, decisions: DataFrame, sessions: DataFrame, prices: dict[str, float] = {"small": 0.10, "large": 3.0}) -> DataFrame:
+def corpus_summary(frames: DataFrame, sessions: DataFrame, prices: dict[str, float] = {"small": 0.10, "large": 3.0}) -> DataFrame:
     """One row: frames, characters, days, what collapsing leaves, sessions, token and cost estimates.
 
-    One character counts as one token; prices are per million tokens.
+    `sessions` are the kept frames of one threshold with their session; they are folded and read once. One character counts
+    as one token; prices are per million tokens.
     """
-    chars = lambda df, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias("v")).scalar()
-    kept = decisions.where("kept")
-    out = frames.agg(
+    kept = sessions.agg(
+        _rows().alias("kept_frames"),
+        F.coalesce(F.sum("chars"), F.lit(0)).cast("bigint").alias("kept_chars"),
+        F.count_distinct("device", "session").alias("sessions"),
+    )
+    whole = frames.agg(
         _rows().alias("frames"),
         F.sum(F.length("text")).cast("bigint").alias("raw_chars"),
         F.min("day").alias("first_day"),
         F.max("day").alias("last_day"),
         F.count_distinct("day").alias("days"),
-    ).select(
-        "*",
-        kept.agg(_rows().alias("v")).scalar().alias("kept_frames"),
-        chars(kept, "chars").alias("kept_chars"),
-        sessions.select("device", "session").distinct().agg(_rows().alias("v")).scalar().alias("sessions"),
     )
+    out = whole.crossJoin(kept)  # one row each
     out = out.withColumn("char_reduction_pct", F.lit(100.0) * (F.lit(1.0) - F.col("kept_chars") / F.col("raw_chars")))
     for name, price in prices.items():
         out = out.withColumn(f"cost_{name}", F.col("kept_chars") / F.lit(1e6) * F.lit(price))
@@ -199,20 +201,21 @@ def longest_sessions(sessions: DataFrame, limit: int = 15) -> DataFrame:
     return per.withColumn("minutes", minutes).orderBy(F.desc("chars"), "device", "session").limit(limit)
 
 
-def session_detail(sessions: DataFrame, texts: DataFrame, device: str, session: int, limit: int = 20, chars: int = 400) -> DataFrame:
-    """First frames of one session with the head of their text."""
+def session_detail(sessions: DataFrame, device: str, session: int, limit: int = 20) -> DataFrame:
+    """First frames of one session, with the `head` of the text they carry through the fold."""
     one = sessions.where((F.col("device") == device) & (F.col("session") == session))
-    head = one.orderBy("ts", "base").limit(limit)
-    body = texts.select("device", "day", "base", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("head"))
-    return F.broadcast(head).join(body, ["device", "day", "base"])  # head holds `limit` rows
+    return one.orderBy("ts", "base").limit(limit)
+
 
+def timeline_head(text: Column, chars: int) -> Column:
+    return F.substring(squeeze(text), 1, chars)
 
-def human_timeline(sessions: DataFrame, texts: DataFrame, chars: int) -> DataFrame:
-    """`[HH:mm xDwell] first characters` for every kept frame."""
-    body = texts.select("device", "day", "base", "text")
+
+def human_timeline(sessions: DataFrame) -> DataFrame:
+    """`[HH:mm xDwell] head` for every kept frame; `head` came through the fold."""
     dwell = F.when(F.col("dwell") > 1, F.concat(F.lit("x"), F.col("dwell").cast("string"))).otherwise(F.lit("  "))
-    line = F.concat(F.lit("["), F.date_format("ts", "HH:mm"), F.lit(" "), dwell, F.lit("] "), F.substring(squeeze(F.col("text")), 1, chars))
-    return sessions.join(body, ["device", "day", "base"]).select("device", "session", "ts", "base", line.alias("line"))
+    line = F.concat(F.lit("["), F.date_format("ts", "HH:mm"), F.lit(" "), dwell, F.lit("] "), F.col("head"))
+    return sessions.select("device", "session", "ts", "base", line.alias("line"))
 
 
 # -- comparisons of two readings -----------------------------------------------------------------
@@ -261,7 +264,16 @@ def text_survival(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """
     non_blank = lambda c: F.filter(split_lines(c), lambda s: s != "")
     a, b = non_blank("text_a"), non_blank("text_b")
-    near = lambda x: F.exists(b, lambda y: (F.lit(1.0) - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))) >= threshold)
+
+
+    def close(x: Column, y: Column) -> Column:
+        longer = F.greatest(F.length(x), F.length(y))
+        allowed = (F.floor(longer * (1 - threshold)) + 1).cast("int")  # one more than can match
+        # lengths alone rule most pairs out; the distance is not followed beyond the bound (then it is -1)
+        distance = F.when(F.abs(F.length(x) - F.length(y)) <= allowed, F.call_function("levenshtein", x, y, allowed))
+        return F.coalesce((distance >= 0) & (F.lit(1.0) - distance / longer >= threshold), F.lit(False))
+
+    near = lambda x: F.exists(b, lambda y: close(x, y))
     exact = lambda x: F.array_contains(b, x) | near(x)
     return pairs.groupBy("gen").agg(
         F.avg(F.size(b)).alias("mean_lines"),

@@ -149,11 +149,11 @@ def context(
         (F.col("ts") <= F.col("at")) & (F.unix_micros("ts") >= F.unix_micros("at") - step)
     )
     ids = ["device", "at", "kind", "session"]
-    marked = folds.near_duplicates(near, [similarity], ids, both_empty=0.0, extra=["pkg"], **layout)
+    near = near.withColumn("_cut", F.substring("text", 1, CONTEXT_CHARS))
+    marked = folds.near_duplicates(near, [similarity], ids, both_empty=0.0, extra=["pkg", "_cut"], **layout)
     w = Window.partitionBy(*ids).orderBy(F.desc("ts"), F.desc("base"))
     last = marked.where("kept").withColumn("back_no", F.row_number().over(w)).where(F.col("back_no") <= limit)
-    texts = near.select(*ids, "ts", "base", F.substring("text", 1, CONTEXT_CHARS).alias("text"))
-    return last.select(*ids, "ts", "base", "pkg", "back_no").join(texts, [*ids, "ts", "base"])
+    return last.select(*ids, "ts", "base", "pkg", "back_no", F.col("_cut").alias("text"))
 
 
 def export(kept: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -345,8 +345,9 @@ SELECT s.device, s.day, s.base, s.dwell, substr(text, 1, 400) AS head FROM (
   SELECT * FROM ses WHERE device = 'src1' AND session = 1 ORDER BY ts, base LIMIT 20) s JOIN frames f USING (device, day, base)"""))
 def session_detail(t: Tables):
     frames = t.jittered()
-    sessions = reports.kept_sessions(folds.near_duplicates(frames, [0.25]), 100)
-    return reports.session_detail(sessions, frames, "src1", 1).select("device", "day", "base", "dwell", "head")
+    frames = frames.withColumn("head", F.substring(F.coalesce("text", F.lit("")), 1, 400))
+    sessions = reports.kept_sessions(folds.near_duplicates(frames, [0.25], extra=["head"]), 100, carry=["head"])
+    return reports.session_detail(sessions, "src1", 1).select("device", "day", "base", "dwell", "head")
 
 
 @query("human_timeline", near_dup_sql(JITTERED, [0.25], SESSIONED + """
@@ -355,7 +356,8 @@ SELECT s.device, s.session, epoch_us(s.ts) AS ts, s.base,
   substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80) AS line FROM ses s JOIN frames f USING (device, day, base)"""))
 def human_timeline(t: Tables):
     frames = t.jittered()
-    return reports.human_timeline(reports.kept_sessions(folds.near_duplicates(frames, [0.25]), 100), frames, 80)
+    frames = frames.withColumn("head", reports.timeline_head(F.col("text"), 80))
+    return reports.human_timeline(reports.kept_sessions(folds.near_duplicates(frames, [0.25], extra=["head"]), 100, carry=["head"]))
 
 
 @query("corpus_summary", near_dup_sql(JITTERED, [0.25], SESSIONED + """, k AS (SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS c FROM dec WHERE kept),
@@ -367,7 +369,7 @@ SELECT f.*, n AS kept_frames, c AS kept_chars, (SELECT count(*) FROM (SELECT DIS
 def corpus_summary(t: Tables):
     frames = t.jittered()
     marks = folds.near_duplicates(frames, [0.25])
-    return reports.corpus_summary(frames, marks, reports.kept_sessions(marks, 100))
+    return reports.corpus_summary(frames, reports.kept_sessions(marks, 100))
 
 
 @query("sessions_by_pause", f"""WITH {LANG_FRAMES}, f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 30000000 THEN 1 ELSE 0 END AS s

@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retrace.functions.captures import DAY_PATTERN, base_of, capture_time, day_of, gen_of
 
 
-def listing(spark: SparkSession, root: str, device: str = "local", days: list[str] | None = None) -> DataFrame:
-    """Images below `root/<day>/`: names, sizes and times only. File contents are never read."""
-    files = (
+def listing(spark: SparkSession, root: str, device: str | None = "local", days: list[str] | None = None) -> DataFrame:
+    """Images below `root/<day>/`: names, sizes and times only. File contents are never read.
+
+    With `days` only those folders are listed. Without a `device` the archive is `root/<device>/<day>/` and the folder names it.
+    """
+    below = root.rstrip("/") + ("/*" if device is None else "")
+    reader = (
         spark.read.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", "*.[jJ][pP][gG]")
         .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", "length", "modificationTime")
     )
-    return describe(files, device, days)
+    try:
+        files = reader.load(root if days is None else f"{below}/{{{','.join(days)}}}")
+    except AnalysisException as missing:
+        if days is None or missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], "path string, modificationTime timestamp, length long")  # none of the days is there
+    return describe(files.select("path", "length", "modificationTime"), device, days)
 
 
-def describe(files: DataFrame, device: str = "local", days: list[str] | None = None) -> DataFrame:
+def describe(files: DataFrame, device: str | None = "local", days: list[str] | None = None) -> DataFrame:
     """Day, base name, generation and capture time from the path; names outside the convention have no time."""
     path = F.col("path")
     named = files.withColumn("day", day_of(path)).withColumn("base", base_of(path)).withColumn("gen", gen_of(path))
     visible = ~F.regexp_extract(path, r"([^/]+)$", 1).startswith(".")
     out = named.where(visible).select(
-        F.lit(device).alias("device"),
+        (F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1) if device is None else F.lit(device)).alias("device"),
         "day",
         "base",
         "gen",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,30 +35,40 @@ def raw_lines(spark: SparkSession, root: str, file_name: str) -> DataFrame:
 
 
 def parse(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    """Attach the parsed row and the reason why a line is unusable; blank lines vanish."""
+    """Attach the parsed row and the reason why a line is unusable: `invalid` (no JSON) or `no t`; blank lines vanish."""
     text = F.trim("value")
     loose = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     row = F.from_json(text, loose, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rows = lines.where(text != "").withColumn("row", row)
-    head = F.substring(text, 1, 80)
     # a JSON value that is no object, or an object without t
-    broken = F.try_parse_json(text).isNull() if hasattr(F, "try_parse_json") else F.col("row._corrupt").isNotNull()
-    no_t = F.col("row.t").isNull()
-    reason = F.when(broken, F.concat(F.lit("invalid: "), head)).when(no_t, F.concat(F.lit("no t: "), head))
+    reason = F.when(F.try_parse_json(text).isNull(), "invalid").when(F.col("row.t").isNull(), "no t")
     return rows.withColumn("reason", reason)
 
 
-def read(spark: SparkSession, root: str, kind: str, device: str = "local") -> tuple[DataFrame, DataFrame]:
-    """(rows, bad-row ledger) of one log kind."""
+def read(spark: SparkSession, root: str, kind: str, device: str | None = "local") -> tuple[DataFrame, DataFrame]:
+    """(rows, bad-row ledger) of one log kind; without a `device` it is the folder above the day.
+
+    The ledger (path, line_no, reason, line) has whole lines. Line numbers count within one file, which holds one day of one
+    device; they are only worked out when the ledger is read.
+    """
     file_name, schema = FILES[kind]
-    parsed = parse(raw_lines(spark, root, file_name), schema)
-    good = parsed.where(F.col("reason").isNull()).select(
-        F.lit(device).alias("device"), "day", "row.*", "seq"
-    ).drop("_corrupt")
-    bad = parsed.where(F.col("reason").isNotNull()).select("path", "seq", "reason")
+    lines = raw_lines(spark, root, file_name)
+    owner = F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1) if device is None else F.lit(device)
+    parsed = parse(lines, schema)
+    good = parsed.where(F.col("reason").isNull()).select(owner.alias("device"), "day", "row.*", "seq").drop("_corrupt")
+    in_file = Window.partitionBy("path").orderBy("seq")
+    numbered = parse(lines.withColumn("line_no", F.row_number().over(in_file)), schema)
+    bad = numbered.where(F.col("reason").isNotNull()).select("path", "line_no", "reason", F.col("value").alias("line"))
     return with_time(good), bad
 
 
+def ledger_report(bad: DataFrame, first: int = 5, chars: int = 80) -> DataFrame:
+    """(total, shown): number of bad rows and the first few, by file and line, with the head of their line."""
+    item = F.struct("path", "line_no", "reason", F.substring("line", 1, chars).alias("head"))
+    shown = bad.orderBy("path", "line_no").limit(first).agg(F.sort_array(F.collect_list(item)).alias("shown"))
+    return bad.agg(F.count(F.lit(1)).alias("total")).crossJoin(shown)  # one row each
+
+
 def with_time(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ts", capture_time(F.col("day"), F.col("t"))).withColumnRenamed("t", "base")
 

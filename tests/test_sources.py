@@ -32,8 +32,9 @@ def test_ocr_log(spark, tmp_path):
     assert set(entries) == {"000009_341", "120000_000", "140000_000"}
     assert entries["140000_000"].text == tricky and entries["120000_000"].bytes == 0
     assert entries["000009_341"].text.startswith("0:00 m\n")
-    reasons = sorted(r.reason.split(":")[0] for r in bad.collect())
-    assert reasons == ["invalid", "no t", "no t"] or reasons == ["invalid", "invalid", "no t"]
+    assert tuples(bad, "line_no", "reason", "line") == [(4, "invalid", TORN), (5, "no t", "[1, 2]"), (6, "no t", dumps({"status": "ok"}))]
+    report = logs.ledger_report(bad, first=2, chars=10).first()
+    assert report.total == 3 and [(x.line_no, x["head"]) for x in report.shown] == [(4, TORN[:10]), (5, "[1, 2]")]
     stems = logs.attempted_stems(logs.raw_lines(spark, str(tmp_path), "ocr.jsonl"))
     assert {r.base for r in stems.collect()} >= {"000009_341", "140000_000"}
     assert {r.base for r in logs.secured_stems(logs.ocr_entries(rows)).collect()} == {"000009_341", "140000_000"}
@@ -60,6 +61,19 @@ def test_other_logs(spark, tmp_path):
     assert tuples(logs.read(spark, str(tmp_path), "blackouts")[0], "base", "state") == [("213040_120", "start")]
 
 
+def test_devices_and_days_come_from_folders(spark, tmp_path):
+    for device in ("a", "b"):
+        for day in ("2026-01-01", "2026-01-02"):
+            write(tmp_path / device / day / "ocr.jsonl", [dumps({"t": "120000_000", "status": "ok", "text": device})])
+            (tmp_path / device / day / "090000_000.jpg").write_bytes(b"x")
+    rows, _ = logs.read(spark, str(tmp_path), "ocr", device=None)
+    assert tuples(rows, "device", "text") == [("a", "a"), ("a", "a"), ("b", "b"), ("b", "b")]
+    listed = captures.listing(spark, str(tmp_path), device=None, days=["2026-01-02", "2026-05-05"])
+    assert tuples(listed, "device", "base") == [("a", "090000_000"), ("b", "090000_000")]
+    assert all("2026-01-02" in f for f in listed.inputFiles())
+    assert captures.listing(spark, str(tmp_path), device=None, days=["2026-05-05"]).collect() == []
+
+
 def test_capture_listing(spark, tmp_path):
     for name, size in (("2026-08-13/162303_273.g2.jpg", 3), ("2026-08-13/162303_273.jpg", 5), ("2026-08-14/090000_000.JPG", 7), ("2026-08-14/note.jpg", 1), ("2026-08-14/x.tmp", 1)):
         p = tmp_path / name
