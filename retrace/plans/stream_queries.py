@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from retrace.plans.registry import EVENTS, JITTERED, Tables, query
 from retrace.plans.text_queries import near_dup_sql
-from retrace.plans.time_queries import BLACKOUT, GAPS, thin_sql
+from retrace.plans.time_queries import BLACKOUT, GAPS, SLOTS, thin_sql
 from retrace.streaming import machines, stateful, windows
 
 
@@ -50,7 +50,16 @@ def stream_gap_log(t: Tables):
     return stateful.to_files(stateful.run_machine(rows, machines.GapLog(), tie="event_id"), "gaps")
 
 
-@query("stream_resumed_activities")
+FRONT = SLOTS + """,
+got AS (SELECT device, seq, array_to_string(list_sort(list_distinct(list(pkg))), ',') AS packages FROM (
+   SELECT a.device, a.seq, s.pkg FROM act a JOIN st s ON s.device = a.device AND (s.time, s.seq) <= (a.time, a.seq)
+   QUALIFY row_number() OVER (PARTITION BY a.device, a.seq, s.pkg, s.cls ORDER BY s.rn DESC) = 1 AND s.resumed > 0) GROUP BY ALL),
+f AS (SELECT ev.device, epoch_us(ev.ts) AS us, event_id, coalesce(packages, '') AS packages FROM ev LEFT JOIN got ON got.device = ev.device AND got.seq = event_id),
+c AS (SELECT *, lag(packages) OVER (PARTITION BY device ORDER BY us, event_id) AS b FROM f)
+SELECT device, us, packages, CASE WHEN contains(packages, 'p1') THEN 'p1' ELSE '' END AS sensitive FROM c WHERE b IS DISTINCT FROM packages"""
+
+
+@query("stream_resumed_activities", FRONT)
 def stream_resumed_activities(t: Tables):
     amount = F.floor("value").cast("bigint")
     kind = F.when(F.col("event_type").isin("signup", "purchase"), "RESUMED").when(F.col("event_type") == "view", "STOPPED").otherwise("PAUSED")
