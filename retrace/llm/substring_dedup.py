@@ -91,7 +91,7 @@ def chunks(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
     return stored(own.mapInArrow(run, fields).withColumn("row", F.monotonically_increasing_id()), "chunks")
 
 
-def repeats(docs: DataFrame, bits: int = 6, least: int = 20, most: int = 512, min_run: int = 120) -> DataFrame:
+def repeats(docs: DataFrame, bits: int = 4, least: int = 16, most: int = 512, min_run: int = 100) -> DataFrame:
     """Rows (row, doc_id, digest, start, size, chunks, first_doc_id): runs of repeated chunks, in bytes of the UTF-8 text.
 
     first_doc_id has the first occurrence of the run's first chunk. Null and empty texts have no chunks. Null doc_ids come

@@ -117,7 +117,7 @@ def test_repeats_are_found_and_cut(spark):
     texts = dict(rows)
     for r in found:
         part = texts[r.doc_id].encode()[r.start : r.start + r["size"]]
-        assert part in texts[r.first_doc_id].encode() and len(part) >= 120
+        assert part in texts[r.first_doc_id].encode() and len(part) >= 100
     cut = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect() if r.doc_id not in (2, None)}
     for r in found:
         assert len(cut[r.doc_id].encode()) == len(texts[r.doc_id].encode()) - sum(x["size"] for x in found if x.doc_id == r.doc_id)
