@@ -91,10 +91,14 @@ def search(
     query: str,
     since: dt.datetime | None = None,
     until: dt.datetime | None = None,
-    limit: int = 10,
+    limit: int | None = 10,
     keys: list[str] = ["device"],
+    max_lines: int | None = MAX_LINES,
+    max_chars: int | None = MAX_LINE_CHARS,
 ) -> DataFrame:
-    """Windowed multi-term search: best windows, each with up to 20 of its hit lines.
+    """Windowed multi-term search: the best `limit` windows, each with up to `max_lines` of its hit lines, cut to `max_chars`.
+
+    None lifts a limit: all windows, all lines, whole lines.
 
     One phrase of six characters or more that is found nowhere is retried as its two halves (either may
     match), marked `partial`. The halves are found in the same pass as the phrase, since a line with the
@@ -124,7 +128,9 @@ def search(
     # `ranked` holds at most `limit` rows
     picked = lines.join(F.broadcast(ranked), [*keys, "win"]) if limit is not None else lines.join(ranked, [*keys, "win"])
     w = Window.partitionBy(*keys, "win").orderBy("last_seen", "line")
-    top = picked.withColumn("line_no", F.row_number().over(w)).where(F.col("line_no") <= MAX_LINES)
+    top = picked.withColumn("line_no", F.row_number().over(w))
+    if max_lines is not None:
+        top = top.where(F.col("line_no") <= max_lines)
     return top.select(
         *keys,
         F.timestamp_seconds(F.col("win") * WINDOW_SECONDS).alias("start"),
@@ -133,7 +139,7 @@ def search(
         "latest",
         partial.alias("partial"),
         "line_no",
-        F.substring("line", 1, MAX_LINE_CHARS).alias("line"),
+        (F.col("line") if max_chars is None else F.substring("line", 1, max_chars)).alias("line"),
     )
 
 

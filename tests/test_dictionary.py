@@ -116,3 +116,13 @@ def test_passages_with_images(spark):
     images = f.where("base = '090005_000'")
     got = tuples(S.passages(f, images), "first_base", "last_base", "count", "text", "image_base")
     assert got == [("090000_000", "090015_000", 3, "A", "090005_000"), ("090020_000", "090020_000", 1, "B", None)]
+
+
+def test_search_limits_can_be_lifted(spark):
+    long = "word " + "x" * 300
+    text = "\n".join(f"word {i}" for i in range(30)) + "\n" + long
+    f = frames(spark, [("2026-01-01", "090000_000", text, "ok"), ("2026-01-01", "100000_000", "a word", "ok")])
+    assert S.search(f, "word", limit=1).count() in (1, 20)
+    rows = S.search(f, "word", limit=None, max_lines=None, max_chars=None).collect()
+    assert len(rows) == 32 and long in {r.line for r in rows}
+    assert max(len(r.line) for r in S.search(f, "word", limit=None, max_lines=None).collect()) == 200
