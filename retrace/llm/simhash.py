@@ -7,7 +7,7 @@ groups, so close points agree in four whole groups: in one of the 70 grids over
 Fingerprints that share a cell are compared exactly.
 
 Distinct fingerprints are compared, not documents. A crowded cell is cut into blocks of hashed members and every pair of
-blocks is a task's unit of work; such a unit returns a forest that connects what is linked, not all linked pairs.
+blocks is a task's unit of work. Whatever its size, a unit returns a forest that connects what is linked, not the linked pairs.
 """
 
 from __future__ import annotations
@@ -137,24 +137,41 @@ def _forest(points: np.ndarray, radius: int) -> tuple[list, list]:
     return a, b
 
 
+def _settled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row number that each of `n` rows reaches over the pairs (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
 def link_groups(group: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (a, b) of links in rows sorted by group: all links of small groups, a forest in large ones."""
+    """Row numbers (a, b) of a forest that connects what links connect, in rows sorted by group; b is a tree's first row."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(starts, len(group)))
-    a, b = [], []
+    empty = np.zeros(0, dtype=np.int64)
+    near, a, b = [empty], [empty], [empty]
     room = np.repeat(np.where(sizes <= SMALL, starts + sizes, 0), sizes)
     rows, step = np.arange(len(group)), 1
-    while len(rows := rows[rows + step < room[rows]]):
+    while len(rows := rows[rows + step < room[rows]]):  # small groups side by side, rows at a distance of `step`
         hit = rows[_near(points[rows], points[rows + step], radius)]
-        a.append(hit)
-        b.append(hit + step)
+        near.append(np.stack([hit, hit + step], axis=1).ravel())
         step += 1
+    pairs = np.concatenate(near).reshape(-1, 2)
+    label = _settled(len(group), pairs[:, 0], pairs[:, 1])
+    a.append(np.flatnonzero(label != np.arange(len(group))))
+    b.append(label[a[-1]])
     for i in np.flatnonzero(sizes > SMALL):
         x, y = _forest(points[starts[i] : starts[i] + sizes[i]], radius)
-        a += [starts[i] + v for v in x]
-        b += [starts[i] + v for v in y]
-    empty = np.zeros(0, dtype=np.int64)
-    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+        a += [starts[i] + v for v in y]
+        b += [starts[i] + v for v in x]
+    return np.concatenate(a), np.concatenate(b)
 
 
 def links(points: DataFrame, lanes: int = 1, radius: int = 4, kept: int = 4, grids: int | None = None) -> DataFrame:
