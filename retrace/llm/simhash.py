@@ -8,26 +8,34 @@ Fingerprints that share a cell are compared exactly.
 
 Distinct fingerprints are compared, not documents. A crowded cell is cut into blocks of hashed members and every pair of
 blocks is a task's unit of work. Whatever its size, a unit returns a forest that connects what is linked, not the linked pairs.
+
+Near copies by Jaccard similarity take two steps of the same kind: cells of the least shingle hashes and sketches that never
+tell similar sets apart propose groups, and the sets of shingles of each group are compared exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retrace.llm.components import components
 from retrace.llm.scratch import stored
-from retrace.llm.textbytes import PLAIN_WORD, Texts, U64, Words, blocks, mixed, signed
+from retrace.llm.textbytes import PLAIN_WORD, Texts, U64, Words, blocks, lists, mixed, signed
 from retrace.llm.xxh import xxh64
 
 GROUPS = 8
 BLOCK = 2048
 SMALL = 48
+LEAST = 24
+#: shingles in a block of a proposed group
+ROOM = 1 << 20
 _ODD = 0x5555555555555555
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
@@ -42,8 +50,8 @@ def _majorities(hashes: np.ndarray, owner: np.ndarray, count: int, shingles: np.
     return np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(U64)
 
 
-def block_fingerprints(column: pa.Array, words: int, lanes: int) -> list[np.ndarray]:
-    """`lanes` 64-bit fingerprints of every text; the first is of XXH64 itself, the others of values mixed from it."""
+def _shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of lower-case words, the text it is of, and the number of shingles of every text."""
     found = Words(Texts(column), PLAIN_WORD, lower=True)
     per_text = found.per_text
     size = np.minimum(per_text, words)
@@ -53,9 +61,15 @@ def block_fingerprints(column: pa.Array, words: int, lanes: int) -> list[np.ndar
     first = np.arange(len(owner)) - np.repeat(before - found.first[:-1], shingles)
     last = first + size[owner] - 1
     hashes = xxh64(found.data, found.starts[first], found.starts[last] + found.lengths[last] - found.starts[first])
+    return hashes, owner, shingles
+
+
+def block_fingerprints(column: pa.Array, words: int, lanes: int) -> list[np.ndarray]:
+    """`lanes` 64-bit fingerprints of every text; the first is of XXH64 itself, the others of values mixed from it."""
+    hashes, owner, shingles = _shingles(column, words)
     out = []
     for lane in range(lanes):
-        out.append(_majorities(hashes, owner, found.count, shingles))
+        out.append(_majorities(hashes, owner, len(shingles), shingles))
         hashes = mixed(hashes + U64(lane + 1))
     return out
 
@@ -115,11 +129,15 @@ def cells(points: DataFrame, lanes: int, kept: int, grids: int | None) -> DataFr
     return points.select("*", F.explode(F.array(*keys)).alias("cell"))
 
 
+#: whether points of two arrays belong together
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 def _near(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64) <= radius
 
 
-def _forest(points: np.ndarray, radius: int) -> tuple[list, list]:
+def _forest(points: np.ndarray, near: Near) -> tuple[list, list]:
     """Pairs of row numbers that connect whatever chains of links connect."""
     left, a, b = np.arange(len(points)), [], []
     while len(left) > 1:
@@ -129,7 +147,7 @@ def _forest(points: np.ndarray, radius: int) -> tuple[list, list]:
             hit = np.zeros(len(left), dtype=bool)
             for i in range(0, len(front), 64):
                 away = np.flatnonzero(~hit)
-                hit[away] = _near(points[front[i : i + 64], None], points[None, left[away]], radius).any(axis=0)
+                hit[away] = near(points[front[i : i + 64], None], points[None, left[away]]).any(axis=0)
             front = left[hit]
             a += [np.full(len(front), root)]
             b += [front]
@@ -151,56 +169,52 @@ def _settled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_groups(group: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def link_groups(group: np.ndarray, points: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (a, b) of a forest that connects what links connect, in rows sorted by group; b is a tree's first row."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(starts, len(group)))
     empty = np.zeros(0, dtype=np.int64)
-    near, a, b = [empty], [empty], [empty]
+    met, a, b = [empty], [empty], [empty]
     room = np.repeat(np.where(sizes <= SMALL, starts + sizes, 0), sizes)
     rows, step = np.arange(len(group)), 1
     while len(rows := rows[rows + step < room[rows]]):  # small groups side by side, rows at a distance of `step`
-        hit = rows[_near(points[rows], points[rows + step], radius)]
-        near.append(np.stack([hit, hit + step], axis=1).ravel())
+        hit = rows[near(points[rows], points[rows + step])]
+        met.append(np.stack([hit, hit + step], axis=1).ravel())
         step += 1
-    pairs = np.concatenate(near).reshape(-1, 2)
+    pairs = np.concatenate(met).reshape(-1, 2)
     label = _settled(len(group), pairs[:, 0], pairs[:, 1])
     a.append(np.flatnonzero(label != np.arange(len(group))))
     b.append(label[a[-1]])
     for i in np.flatnonzero(sizes > SMALL):
-        x, y = _forest(points[starts[i] : starts[i] + sizes[i]], radius)
+        x, y = _forest(points[starts[i] : starts[i] + sizes[i]], near)
         a += [starts[i] + v for v in y]
         b += [starts[i] + v for v in x]
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(points: DataFrame, lanes: int = 1, radius: int = 4, kept: int = 4, grids: int | None = None) -> DataFrame:
-    """Edges (a, b) between nodes of `points` (node, fp0, ...) whose fingerprints are within `radius` bits.
-
-    With one lane, radius 4, kept 4 and all grids, no link between different fingerprints is lost: the edges connect
-    exactly what chains of links connect. With more lanes the radius holds for all bits together and `grids` cells per lane
-    propose candidates: a higher `kept` gives finer cells for larger corpora, a lower one finds more.
-    """
-    rows = cells(points, lanes, kept, grids)
-    counted = rows.groupBy("cell").agg(F.count("*").alias("n"))
-    if grids is None:  # coarser cells are nearly always shared
-        counted = counted.where("n > 1")
-    counted = counted.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    fps = [f"fp{i}" for i in range(lanes)]
-    dealt = rows.join(counted, "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+def _units(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Rows (unit, node, columns...) sorted by unit: groups whole, or every pair of the `parts` blocks of a crowded one."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    unit = F.when(F.col("parts") == 1, F.col("cell")).otherwise(
-        F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other"))
+    unit = F.when(F.col("parts") == 1, F.col(group)).otherwise(
+        F.xxhash64(group, F.least("part", "other"), F.greatest("part", "other"))
     )
-    dealt = dealt.select(unit.alias("unit"), "node", *fps).repartition("unit").sortWithinPartitions("unit")
+    return dealt.select(unit.alias("unit"), "node", *columns).repartition("unit").sortWithinPartitions("unit")
+
+
+def _columns(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([table.column(n).to_numpy().view(U64) for n in names], axis=1)
+
+
+def _edges(dealt: DataFrame, link: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Distinct edges (a, b) between the nodes of the row numbers that `link` returns for tables of whole units."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kept_rows: list[pa.RecordBatch] = []
 
         def pairs(table: pa.Table) -> pa.RecordBatch:
             node = table.column("node").to_numpy()
-            points = np.stack([table.column(f).to_numpy().view(U64) for f in fps], axis=1)
-            a, b = link_groups(table.column("unit").to_numpy(), points, radius)
+            a, b = link(table)
             edge = np.unique(np.stack([np.maximum(node[a], node[b]), np.minimum(node[a], node[b])]), axis=1)
             edge = edge[:, edge[0] != edge[1]]
             return pa.RecordBatch.from_arrays([pa.array(edge[0]), pa.array(edge[1])], ["a", "b"])
@@ -223,6 +237,23 @@ def links(points: DataFrame, lanes: int = 1, radius: int = 4, kept: int = 4, gri
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def links(points: DataFrame, lanes: int = 1, radius: int = 4, kept: int = 4, grids: int | None = None) -> DataFrame:
+    """Edges (a, b) between nodes of `points` (node, fp0, ...) whose fingerprints are within `radius` bits.
+
+    With one lane, radius 4, kept 4 and all grids, no link between different fingerprints is lost: the edges connect
+    exactly what chains of links connect. With more lanes the radius holds for all bits together and `grids` cells per lane
+    propose candidates: a higher `kept` gives finer cells for larger corpora, a lower one finds more.
+    """
+    rows = cells(points, lanes, kept, grids)
+    counted = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    if grids is None:  # coarser cells are nearly always shared
+        counted = counted.where("n > 1")
+    counted = counted.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    fps = [f"fp{i}" for i in range(lanes)]
+    dealt = _units(rows.join(counted, "cell"), "cell", fps)
+    return _edges(dealt, lambda table: link_groups(table.column("unit").to_numpy(), _columns(table, fps), partial(_near, radius=radius)))
+
+
 def near_groups(
     docs: DataFrame, words: int = 4, lanes: int = 1, radius: int = 4, kept: int = 4, grids: int | None = None
 ) -> DataFrame:
@@ -248,17 +279,169 @@ def digits(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(
-    docs: DataFrame, words: int = 5, lanes: int = 4, radius: int = 46, kept: int = 3, grids: int = 12
-) -> DataFrame:
+def _distinct(hashes: np.ndarray, owner: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles in rising order text by text, the texts they are of, and their number; zero stands for no shingle."""
+    none = np.flatnonzero(shingles == 0)
+    hashes, owner = np.append(hashes, np.zeros(len(none), dtype=U64)), np.append(owner, none)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], owner[new], np.bincount(owner[new], minlength=len(shingles))
+
+
+def _parities(hashes: np.ndarray, owner: np.ndarray, count: int) -> list[np.ndarray]:
+    """256 bits per text, in four values: whether an odd number of its shingles fall into each of 256 classes."""
+    odd = np.bincount(owner * 256 + (mixed(hashes) & U64(255)).astype(np.int64), minlength=count * 256) & 1
+    return list(np.packbits(odd.astype(np.uint8).reshape(count, 256), axis=1).view(">u8").astype(U64).T)
+
+
+_SKETCH = ["n", *[f"odd{i}" for i in range(4)], *[f"fp{i}" for i in range(4)]]
+
+
+def shingle_sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Rows (doc_id, digest, node, least hashes, n, odd..., fp...) for every row of `docs`, by its set of shingles.
+
+    Two sets within `similarity` s have a common shingle among their floor((1 - s) n) + 1 least ones. The LEAST least ones
+    are enough for larger sets: a pair has none in common with a probability below (1 - s) ** LEAST.
+    """
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            hashes, owner, n = _distinct(*_shingles(batch.column("text"), words))
+            starts = np.cumsum(n) - n
+            node = mixed(np.add.reduceat(mixed(hashes + U64(1)), starts) + n.astype(U64)) if len(n) else hashes
+            first = np.minimum(np.floor((1 - similarity) * n + 1e-9).astype(np.int64) + 1, LEAST)
+            least = hashes[np.arange(len(hashes)) - starts[owner] < first[owner]]
+            sketch, lane = [n.astype(np.int64), *map(signed, _parities(hashes, owner, len(n)))], hashes
+            for i in range(4):
+                sketch.append(signed(_majorities(lane, owner, len(n), n)))
+                lane = mixed(lane + U64(i + 1))
+            kept = [batch.column("doc_id"), batch.column("digest"), pa.array(signed(node)), lists(signed(least), first, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, sketch)], ["doc_id", "digest", "node", "least", *_SKETCH])
+
+    own = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_digest(F.col("text")).alias("digest")
+    )
+    numbers = ", ".join(f"{n} bigint" for n in _SKETCH)
+    return own.mapInArrow(run, f"doc_id bigint, digest bigint, node bigint, least array<bigint>, {numbers}")
+
+
+def _maybe(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """False only for sketches whose sets are below `similarity`.
+
+    Parities differ in no more bits than the sets in shingles. Sets too large for that are told apart by the majorities, whose
+    bits differ by chance: seven standard deviations beyond the expected number are allowed.
+    """
+    a, b = left[..., 0].astype(np.float64), right[..., 0].astype(np.float64)
+    apart = np.bitwise_count(left[..., 1:5] ^ right[..., 1:5]).sum(axis=-1, dtype=np.int64)
+    turned = np.bitwise_count(left[..., 5:] ^ right[..., 5:]).sum(axis=-1, dtype=np.int64)
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    radius = 256 * p + 7 * np.sqrt(256 * p * (1 - p))
+    fits = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * (a + b) + 1e-6)
+    return fits & ((a + b < 800) | (turned <= radius))
+
+
+def candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of forests that connect what pairs of sets with a common cell and fitting sketches connect.
+
+    Of cells with the same members one is enough.
+    """
+    cells = rows.select("node", F.explode("least").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("cell")
+    # every node once, whatever the number of its documents
+    member = stored(cells.join(shared, "cell").distinct(), "cells")
+    alike = member.groupBy("cell").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    )
+    kept = alike.groupBy("n", "x", "y").agg(F.min("cell").alias("cell"))
+    kept = kept.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    sketches = rows.select("node", *_SKETCH).distinct()
+    dealt = _units(member.join(kept, "cell").join(sketches, "node"), "cell", _SKETCH)
+    fits = partial(_maybe, similarity=similarity)
+    return _edges(dealt, lambda table: link_groups(table.column("unit").to_numpy(), _columns(table, _SKETCH), fits))
+
+
+def similar_forest(group: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (a, b) of a forest that connects what pairs with a Jaccard similarity of `similarity` or more connect.
+
+    Rows are sorted by group; row i has the next `sizes[i]` of `hashes`, all distinct.
+    """
+    ends = np.cumsum(sizes)
+    bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        base = ends[lo] - sizes[lo]
+        codes, values = pd.factorize(hashes[base : ends[hi - 1]])
+        begin, length = ends[lo:hi] - sizes[lo:hi] - base, sizes[lo:hi]
+        mark = np.zeros(len(values), dtype=bool)
+        left, rest = np.arange(hi - lo), codes  # rows without a place in a tree yet, and their shingles
+        while len(left):
+            root, trunk = left[0], [left[0]]
+            rest, left = rest[length[root] :], left[1:]
+            while trunk and len(left):
+                one = trunk.pop()
+                own = codes[begin[one] : begin[one] + length[one]]
+                mark[own] = True
+                count = length[left]
+                common = np.add.reduceat(mark[rest], np.cumsum(count) - count, dtype=np.int64)
+                mark[own] = False
+                hit = common >= similarity * (count + length[one] - common) - 1e-6
+                if hit.any():
+                    found = left[hit]
+                    a.append(lo + found)
+                    b.append(np.full(len(found), lo + root))
+                    trunk += found.tolist()
+                    rest, left = rest[np.repeat(~hit, count)], left[~hit]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows (doc_id, digest, node, component_id) for every row of `docs`.
+
+    Texts are linked when the Jaccard similarity of their sets of shingles of lower-case words is `similarity` or more, and
+    texts without a word with each other. Sketches only propose groups; in each of them the sets themselves are compared.
+    component_id, odd rows and empty tables are as in `near_groups`.
+    """
+    rows = stored(shingle_sets(docs, words, similarity), "sets")
+    maybe = stored(components(candidates(rows, similarity)), "maybe")
+    maybe = maybe.union(maybe.select(F.col("root").alias("node"), "root").distinct())
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")
+    points = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(own).alias("own"))
+    chosen = points.join(maybe, "node").select("node", "root", "own.doc_id", "own.digest", "own.n")
+    chosen = stored(chosen, "proposed")
+    parts = chosen.groupBy("root").agg(F.ceil(F.sum("n") / ROOM).cast("int").alias("parts"))
+    chosen = chosen.join(parts, "root").select(F.col("doc_id").alias("_d"), F.col("digest").alias("_t"), "node", "root", "parts")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_t")))
+
+    def sets(batches) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            hashes, _, n = _distinct(*_shingles(batch.column("text"), words))
+            kept = [batch.column(c) for c in ("node", "root", "parts")]
+            yield pa.RecordBatch.from_arrays([*kept, lists(signed(hashes), n, pa.int64())], ["node", "root", "parts", "hashes"])
+
+    def link(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        held = table.column("hashes").combine_chunks()
+        sizes = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return similar_forest(table.column("unit").to_numpy(), sizes, held.flatten().to_numpy(), similarity)
+
+    found = texts.select("node", "root", "parts", "text").mapInArrow(sets, "node bigint, root bigint, parts int, hashes array<bigint>")
+    roots = components(_edges(_units(found, "root", ["hashes"]), link))
+    member = points.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = member.select("node", "root").join(groups, "root").select("node", "component_id")
+    return rows.select("doc_id", "digest", "node").join(named, "node")
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` without those that have a near copy with a smaller doc_id in their group.
 
-    One document of each group stays, that of the smallest doc_id, with all its columns; if its row is repeated, so it stays.
-    A doc_id that repeats with other texts is judged text by text. Rows without doc_id stay only where no document with an id
-    is near. The 256 bits of four lanes estimate the cosine of shingle counts: two texts with a similarity of 0.8 differ in
-    about 39 of them, unrelated texts in about 128.
+    Groups are those of `similar_groups`. One document of each group stays, that of the smallest doc_id, with all its columns;
+    if its row is repeated, so it stays. A doc_id that repeats with other texts is judged text by text. Rows without doc_id
+    stay only where no document with an id is near.
     """
-    groups = near_groups(docs, words, lanes, radius, kept, grids)
+    groups = similar_groups(docs, words, similarity)
     gone = groups.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_retrace_gone"), F.col("digest").alias("_retrace_text"))
     same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_retrace_gone")) & (text_digest(docs["text"]) == F.col("_retrace_text"))
     return docs.join(gone.distinct(), same, "left_anti")

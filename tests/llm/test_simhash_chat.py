@@ -100,6 +100,46 @@ def test_one_of_each_group_stays(spark):
     assert simhash.deduplicated(fixtures.no_documents(spark)).collect() == []
 
 
+def brute_similar(texts, similarity=0.8, words=5):
+    """Number of the first text reached, per text, over Jaccard similarities of sets of word shingles."""
+    sets = []
+    for text in texts:
+        found = fixtures.lowered(text).split()
+        sets.append({" ".join(found[i : i + words]) for i in range(max(len(found) - words + 1, 1))} if found else {None})
+    first = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 1 - len(x ^ sets[j]) / len(x | sets[j]) >= similarity - 1e-9 and first[i] != first[j]:
+                low, high = sorted((first[i], first[j]))
+                first = [low if f == high else f for f in first]
+    return first
+
+
+def test_pairs_around_the_similarity_are_found_and_no_others(spark, monkeypatch):
+    draw, texts = random.Random(11), []
+    for i in range(240):  # pairs of two, similar by 0.6 to 1, of all lengths
+        n = draw.choice([3, 6, 12, 40, 90, 200, 500, 1200])
+        words = [f"w{draw.randrange(5000)}" for _ in range(n)]
+        other, tail = list(words), int(n * draw.uniform(0, 0.3))
+        if i % 3:
+            other = other[: n - tail] + [f"v{draw.randrange(5000)}" for _ in range(draw.choice([0, tail]))]
+        else:
+            for at in draw.sample(range(n), tail // 10):
+                other[at] = f"x{at}"
+        texts += [" ".join(words), " ".join(other)]
+    base = [f"b{j}" for j in range(150)]
+    texts += [" ".join([*base[:k], *[f"c{k}.{j}" for j in range(150 - k)]]) for k in range(60, 150)]  # a templated crowd
+    texts += ["spam " * 50, "spam " * 51, "", " \n", "spam spam"]
+    want = brute_similar(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for _ in range(2):
+        found = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+        assert [found[i] for i in range(len(texts))] == want
+        monkeypatch.setattr(simhash, "BLOCK", 20)  # several blocks in cells and groups
+        monkeypatch.setattr(simhash, "ROOM", 2000)
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == set(want)
+
+
 def test_preference_pairs(spark):
     turns = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "more"), (1, 3, "assistant", "yes"),
