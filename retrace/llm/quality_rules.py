@@ -1,9 +1,9 @@
 """Quality rules: document statistics, and lines that many documents of a host repeat.
 
 The lines of every document are hashed after normalising (lower case, single spaces). For each host the distinct documents
-of each line are counted; copies of one document count once, by a sketch of its three-word windows, so that a text copied
-many times is left to deduplication and isn't taken for boilerplate. Lines above the limits are removed, and documents that
-keep too few of their words are rejected.
+of each line are counted; exact copies count once, by the digest of the whole text, so that a text copied many times is left
+to deduplication and isn't taken for boilerplate. Lines above the limits are removed, and documents that keep too few of their
+words are rejected.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 _NO_CONTINUATION = (np.arange(256) & 0xC0) != 0x80
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_ROW = "doc_id bigint, host string, digest bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, sketch bigint, lines array<struct<at:int,hash:bigint,words:int>>"
+_ROW = "doc_id bigint, host string, digest bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<at:int,hash:bigint,words:int>>"
 
 
 def _counts(groups: np.ndarray, n: int) -> np.ndarray:
@@ -41,7 +41,7 @@ def block_statistics(column: pa.Array) -> dict[str, pa.Array]:
     """Columns of _ROW from n_words on, for a block of texts."""
     texts = Texts(column)
     words = texts.words(PLAIN_WORD)
-    owner, per_text = words.owner(), words.per_text
+    per_text = words.per_text
     word_keys = words.keys()
     low = keys(LOWER[texts.data], words.starts, words.lengths)
 
@@ -52,15 +52,6 @@ def block_statistics(column: pa.Array) -> dict[str, pa.Array]:
     for i in range(3):
         covered[first[repeated] + i] = True
 
-    # sketch: least window, or all words where there are fewer than three
-    sketch = np.full(texts.count, np.iinfo(np.uint64).max, dtype=U64)
-    np.minimum.at(sketch, of, rolling(low, first, 3))
-    short = np.flatnonzero(per_text < 3)
-    total = np.zeros(texts.count, dtype=U64)
-    few = np.flatnonzero(per_text[owner] < 3) if len(owner) else np.zeros(0, dtype=np.int64)
-    np.add.at(total, owner[few], low[few] * (U64(1) + few.astype(U64) - words.first[owner[few]].astype(U64)))
-    sketch[short] = mixed(total[short] + per_text[short].astype(U64))
-
     # lines that have a word
     ends = np.flatnonzero(texts.data == 0x0A)
     begins = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
@@ -96,13 +87,12 @@ def block_statistics(column: pa.Array) -> dict[str, pa.Array]:
         "n_symbols": pa.array(sums(SYMBOL[texts.data], texts.offsets)),
         "n_dup_lines": pa.array(line_count - distinct),
         "n_repeat_words": pa.array(sums(covered[: len(words)], words.first)),
-        "sketch": pa.array(signed(sketch)),
         "lines": pa.ListArray.from_arrays(offsets, lines),
     }
 
 
 def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Rows (row, doc_id, host, digest, statistics..., sketch, lines), one per row of `docs`, stored once."""
+    """Rows (row, doc_id, host, digest, statistics..., lines), one per row of `docs`, stored once."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -119,9 +109,9 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def frequent_lines(rows: DataFrame, min_docs: int, share: float) -> DataFrame:
     """Rows (host, hash, docs) of lines in more than `min_docs` distinct documents of a host and more than `share` of them."""
-    size = rows.select("host", "sketch").distinct().groupBy("host").agg(F.count("*").alias("size"))
+    size = rows.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("size"))
     size = size.select(F.col("host").alias("_h"), "size")
-    seen = rows.select("host", "sketch", F.explode("lines.hash").alias("hash")).distinct()
+    seen = rows.select("host", "digest", F.explode("lines.hash").alias("hash")).distinct()
     counted = seen.groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
     above = counted.join(size, counted["host"].eqNullSafe(size["_h"])).where(F.col("docs") > F.lit(share) * F.col("size"))
     return above.select("host", "hash", "docs")
@@ -147,7 +137,7 @@ def judged(
     hits = lines.join(above, lines["host"].eqNullSafe(above["_h"]) & (F.col("line.hash") == F.col("_l")))
     hits = hits.groupBy("row").agg(F.sum("line.words").alias("removed_words"), F.sort_array(F.collect_list("line.at")).alias("removed"))
     hits = hits.withColumnRenamed("row", "_row")
-    joined = rows.drop("lines", "sketch").join(hits, F.col("row") == F.col("_row"), "left").drop("_row")
+    joined = rows.drop("lines").join(hits, F.col("row") == F.col("_row"), "left").drop("_row")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words"))
     gone = F.coalesce("removed_words", F.lit(0))
     depleted = (gone > 0) & (F.col("n_words") - gone < F.lit(min_left) * F.col("n_words"))

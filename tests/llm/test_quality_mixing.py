@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -51,6 +52,14 @@ def test_frequent_lines_go_and_copies_count_once(spark):
     assert texts[3] == rows[3][1].replace("\n" + banner.lower(), "") and texts[101] == copy
 
 
+def test_documents_that_share_most_of_their_text_count_each(spark):
+    draw, block = random.Random(4), [fixtures.prose(300 + i, 12).replace("\n", " ") for i in range(15)]
+    rows = [(i, "\n".join([*block, " ".join(f"u{draw.randrange(10**6)}" for _ in range(30))]), "h") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {(r.removed_words, r.kept) for r in quality_rules.judged(docs).collect()} == {(180, False)}
+    assert all(r.removed_words == 0 and r.kept for r in quality_rules.judged(docs.where("doc_id < 50")).collect())
+
+
 def test_cleaned_keeps_columns_and_repeated_rows(spark):
     docs = fixtures.odd_documents(spark)
     out = quality_rules.cleaned(docs)
