@@ -2,7 +2,7 @@
 
 The lines of every document are hashed after normalising (lower case, single spaces). For each host the distinct documents
 of each line are counted; exact copies count once, by the digest of the whole text, so that a text copied many times is left
-to deduplication and isn't taken for boilerplate. Lines above the limits are removed, and documents that keep too few of their
+to deduplication and isn't taken for boilerplate. Lines above the limit are removed, and documents that keep too few of their
 words are rejected.
 """
 
@@ -20,6 +20,8 @@ from retrace.llm.scratch import stored
 from retrace.llm.simhash import text_digest
 from retrace.llm.textbytes import LOWER, PLAIN_WORD, Texts, U64, blocks, keys, lists, mixed, rolling, signed, sums
 
+#: a line in so many documents of a host stays whatever their share
+FEW = 10
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 _NO_CONTINUATION = (np.arange(256) & 0xC0) != 0x80
@@ -107,24 +109,32 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
     return stored(own.mapInArrow(run, _ROW).withColumn("row", F.monotonically_increasing_id()), "statistics")
 
 
-def frequent_lines(rows: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """Rows (host, hash, docs) of lines in more than `min_docs` distinct documents of a host and more than `share` of them."""
+def frequent_lines(rows: DataFrame, min_docs: int, share: float | None) -> DataFrame:
+    """Rows (host, hash, docs) of lines in more than `min_docs` distinct documents of a host.
+
+    With `share` also those in more than that share of the host's distinct documents, and in more than FEW of them.
+    """
+    seen = rows.select("host", "digest", F.explode("lines.hash").alias("hash")).distinct()
+    counted = seen.groupBy("host", "hash").agg(F.count("*").alias("docs"))
+    if share is None:
+        return counted.where(F.col("docs") > min_docs)
+    counted = counted.where(F.col("docs") > min(min_docs, FEW))
     size = rows.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("size"))
     size = size.select(F.col("host").alias("_h"), "size")
-    seen = rows.select("host", "digest", F.explode("lines.hash").alias("hash")).distinct()
-    counted = seen.groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    above = counted.join(size, counted["host"].eqNullSafe(size["_h"])).where(F.col("docs") > F.lit(share) * F.col("size"))
+    above = counted.join(size, counted["host"].eqNullSafe(size["_h"]))
+    above = above.where((F.col("docs") > min_docs) | (F.col("docs") > FEW) & (F.col("docs") > F.lit(share) * F.col("size")))
     return above.select("host", "hash", "docs")
 
 
 def judged(
-    docs: DataFrame, host: str = "source", min_docs: int = 50, share: float = 0.01, min_left: float = 0.3,
+    docs: DataFrame, host: str = "source", min_docs: int = 50, share: float | None = None, min_left: float = 0.3,
     min_words: int = 50, max_repeat: float = 0.5,
 ) -> DataFrame:
     """Rows (row, doc_id, host, digest, statistics, base_failed, removed_words, removed, kept) per row of `docs`.
 
-    `removed` lists the numbers (from 0) of lines that go because more than `min_docs` distinct documents of the host, and
-    more than `share` of its documents, have them. base_failed: fewer than `min_words` words, or more than `max_repeat` of
+    `removed` lists the numbers (from 0) of lines that go because more than `min_docs` distinct documents of the host have
+    them, or more than FEW that are more than `share` of its documents; without `share` the number decides alone, whatever the
+    size of the host. base_failed: fewer than `min_words` words, or more than `max_repeat` of
     the words in three-word windows that the text repeats. kept: not base_failed, and if lines were removed, at least
     `min_left` of the words are left.
 
