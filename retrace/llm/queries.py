@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrace.llm import boosted_trees, chat_pairs, decontaminate, license_scan, mixing, ppm, quality_rules, simhash, substring_dedup, token_files
+from retrace.llm import (
+    boosted_trees, chat_pairs, decontaminate, divergence, importance, license_scan, mixing, permutation_index,
+    ppm, quality_rules, simhash, substring_dedup, token_files,
+)
 from retrace.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +151,47 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     found = boosted_trees.scored(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out)
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d)
+      LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.n + 2 * g.v) AS BIGINT) AS p
+      FROM g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, CAST(1 + 1000000000::HUGEINT * (n + 2) // (total + 2 * v) AS BIGINT) AS q
+      FROM (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM c GROUP BY lang, term) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+all_pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM all_pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@query("op11_divergence", DIVERGENCE_SQL)
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set a source apart."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@query("op12_importance")
+def importance_draw(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and place of every document, drawn towards the benchmark's words."""
+    found = importance.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_permutation_index")
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty nearest vectors of every twentieth one."""
+    return permutation_index.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
