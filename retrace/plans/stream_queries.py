@@ -7,33 +7,66 @@ from pyspark.sql import functions as F
 from retrace.plans.registry import EVENTS, JITTERED, Tables, query
 from retrace.plans.text_queries import near_dup_sql
 from retrace.plans.time_queries import BLACKOUT, GAPS, SLOTS, thin_sql
+from retrace.session import scratch_path
 from retrace.streaming import machines, stateful, windows
 
 
+BATCHES = 4
+DELAY_MS, SLICE_MS = 7_200_000, 3_600_000
+_arrivals: dict[tuple, str] = {}
+
+
+def arrivals(t: Tables, name: str, rows) -> str:
+    """Folder with `rows` (arrival time in `_arrival`, in seconds) as one file per batch, in the order of arrival."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _arrivals:
+        folder = scratch_path(t.spark, f"{name}-arrivals")
+        first, last = rows.agg(F.min("_arrival"), F.max("_arrival")).first()
+        width = ((last or 0) - (first or 0)) / BATCHES or 1
+        number = F.least(F.floor((F.col("_arrival") - F.lit(first or 0)) / width), F.lit(BATCHES - 1))
+        for i in range(BATCHES):  # one after the other: a stream takes the oldest file first
+            rows.where(number == i).drop("_arrival").coalesce(1).write.parquet(f"{folder}/batch{i}")
+        _arrivals[key] = folder
+    return _arrivals[key]
+
+
 def event_stream(t: Tables):
-    schema = t.table("events").schema
-    raw = stateful.open_table(t.spark, t.folder, "events.parquet", schema)
+    """Events as they arrive: every third device an hour behind the others, single rows up to 50 minutes late, four batches."""
+    raw = t.table("events")
+    late = (F.col("user_id") % 3 == 0).cast("long") * 3600 + F.col("event_id") % 6 * 600
+    folder = arrivals(t, "events", raw.withColumn("_arrival", F.unix_seconds(F.col("ts").cast("timestamp")) + late))
+    rows = stateful.open_table(t.spark, f"{folder}/*", "*.parquet", raw.schema, 1)
     ts = F.col("ts").cast("timestamp")
-    return raw.select(
+    return rows.select(
         F.col("user_id").alias("device"), ts.alias("ts"), F.date_format(ts, "yyyy-MM-dd").alias("day"), "event_id", "event_type", "value"
     )
 
 
-@query("stream_foreground_log", f"""WITH {EVENTS}, p AS (SELECT *, lag(event_type) OVER w AS b, lag(day) OVER w AS d FROM ev WHERE event_type <> 'error'
+def in_order(rows, machine, tie="event_id"):
+    """The machine's rows once each device's horizon has passed."""
+    return stateful.run_machine(rows, machine, tie=tie, delay_ms=DELAY_MS, slice_ms=SLICE_MS)
+
+
+#: events before their device's horizon, two hours before its newest event, in whole hours
+HORIZON = EVENTS.replace("FROM events)", """FROM events
+  QUALIFY epoch_us(ts) < (epoch_us(max(ts) OVER (PARTITION BY user_id)) - 7200000000) // 3600000000 * 3600000000)""")
+
+
+@query("stream_foreground_log", f"""WITH {HORIZON}, p AS (SELECT *, lag(event_type) OVER w AS b, lag(day) OVER w AS d FROM ev WHERE event_type <> 'error'
   WINDOW w AS (PARTITION BY device ORDER BY ts, event_id))
 SELECT device, epoch_us(ts) AS us, day, event_type AS pkg FROM p WHERE b IS DISTINCT FROM event_type OR d IS DISTINCT FROM day""")
 def stream_foreground_log(t: Tables):
     rows = event_stream(t).withColumn("pkg", F.col("event_type")).withColumn("overlay", F.col("event_type") == "error")
-    return stateful.to_files(stateful.run_machine(rows, machines.ForegroundLog(), tie="event_id"), "foreground")
+    return stateful.to_files(in_order(rows, machines.ForegroundLog()), "foreground")
 
 
-@query("stream_blackout_log", BLACKOUT + " SELECT device, epoch_us(ts) AS us, day, state FROM bl WHERE state IS NOT NULL")
+@query("stream_blackout_log", BLACKOUT.replace(EVENTS, HORIZON) + " SELECT device, epoch_us(ts) AS us, day, state FROM bl WHERE state IS NOT NULL")
 def stream_blackout_log(t: Tables):
     rows = event_stream(t).withColumn("dark", F.col("event_type").isin("error", "view"))
-    return stateful.to_files(stateful.run_machine(rows, machines.BlackoutLog(), tie="event_id"), "blackouts")
+    return stateful.to_files(in_order(rows, machines.BlackoutLog()), "blackouts")
 
 
-@query("stream_gap_log", GAPS + """, em AS (SELECT device, ts, day, event_id, state, gap, open FROM e WHERE open <> coalesce(b, false)
+@query("stream_gap_log", GAPS.replace(EVENTS, HORIZON) + """, em AS (SELECT device, ts, day, event_id, state, gap, open FROM e WHERE open <> coalesce(b, false)
   UNION ALL SELECT device, ts, day, event_id, state, NULL, NULL FROM g WHERE gap IS NULL),
 w AS (SELECT *, lag(day) OVER (PARTITION BY device ORDER BY ts, event_id) AS before,
   last_value(CASE WHEN gap = 'sleep' THEN open END IGNORE NULLS) OVER o AS sleeping, last_value(CASE WHEN gap = 'locked' THEN open END IGNORE NULLS) OVER o AS lock
@@ -47,10 +80,10 @@ def stream_gap_log(t: Tables):
     for kind, name in names.items():
         state = F.when(F.col("event_type") == kind, name).otherwise(state)
     rows = event_stream(t).withColumn("state", state).withColumn("reason", F.lit(None).cast("string"))
-    return stateful.to_files(stateful.run_machine(rows, machines.GapLog(), tie="event_id"), "gaps")
+    return stateful.to_files(in_order(rows, machines.GapLog()), "gaps")
 
 
-FRONT = SLOTS + """,
+FRONT = SLOTS.replace(EVENTS, HORIZON) + """,
 got AS (SELECT device, seq, array_to_string(list_sort(list_distinct(list(pkg))), ',') AS packages FROM (
    SELECT a.device, a.seq, s.pkg FROM act a JOIN st s ON s.device = a.device AND (s.time, s.seq) <= (a.time, a.seq)
    QUALIFY row_number() OVER (PARTITION BY a.device, a.seq, s.pkg, s.cls ORDER BY s.rn DESC) = 1 AND s.resumed > 0) GROUP BY ALL),
@@ -68,36 +101,45 @@ def stream_resumed_activities(t: Tables):
         F.concat(F.lit("c"), (amount % 2).cast("string")).alias("cls"), (amount % 3 == 1).alias("sensitive"),
     )
     machine = machines.ResumedActivities(window_ms=36_000_000, every_event=True)
-    out = stateful.to_files(stateful.run_machine(rows, machine, tie="event_id"), "activities")
+    out = stateful.to_files(in_order(rows, machine), "activities")
     return out.withColumns({c: F.array_join(c, ",") for c in ("packages", "sensitive")})
 
 
-@query("stream_near_duplicates", near_dup_sql(JITTERED, [0.25], "SELECT device, epoch_us(ts) AS us, base FROM dec WHERE kept"))
+#: frames before their device's horizon, a minute before its newest frame, in whole minutes
+FRAMES_BEFORE = JITTERED.replace("FROM documents))", """FROM documents)
+  QUALIFY epoch_us(ts) < (epoch_us(max(ts) OVER (PARTITION BY source)) - 60000000) // 60000000 * 60000000)""")
+
+
+@query("stream_near_duplicates", near_dup_sql(FRAMES_BEFORE, [0.25], """, k AS (SELECT device, ref, count(*) AS dwell, max(epoch_us(ts)) AS until,
+  max(CASE WHEN kept THEN epoch_us(ts) END) AS us, max(CASE WHEN kept THEN base END) AS base FROM dec GROUP BY ALL)
+SELECT device, us, base, lag(dwell) OVER w AS dwell_before, lag(until) OVER w AS until_before FROM k WINDOW w AS (PARTITION BY device ORDER BY ref)"""))
 def stream_near_duplicates(t: Tables):
-    raw = stateful.open_table(t.spark, t.folder, "documents.parquet", t.table("documents").schema)
+    """Kept frames, each with dwell and end of the one before it; frames come in four batches."""
+    raw = t.table("documents")
     ts = F.timestamp_micros((F.lit(1704067200) + F.col("doc_id") * 5) * 1_000_000 + F.col("n_chars") * 1000)
-    rows = raw.select(F.col("source").alias("device"), ts.alias("ts"), F.date_format(ts, "HHmmss_SSS").alias("base"), "text", "doc_id")
-    out = stateful.run_machine(rows, machines.NearDuplicateLog(0.25), tie="doc_id")
-    return stateful.to_files(out, "near-duplicates").select("device", "us", "base")
+    folder = arrivals(t, "documents", raw.withColumn("_arrival", F.unix_seconds(ts) + F.col("doc_id") % 4 * 10))
+    stream = stateful.open_table(t.spark, f"{folder}/*", "*.parquet", raw.schema, 1)
+    rows = stream.select(F.col("source").alias("device"), ts.alias("ts"), F.date_format(ts, "HHmmss_SSS").alias("base"), "text", "doc_id")
+    return stateful.to_files(stateful.run_machine(rows, machines.NearDuplicateLog(0.25), tie="doc_id"), "near-duplicates")
 
 
-@query("stream_failure_streak", f"""WITH {EVENTS}, c AS (SELECT *, CASE WHEN lag(event_type = 'error') OVER w = (event_type = 'error') THEN 0 ELSE 1 END AS c FROM ev WINDOW w AS (PARTITION BY device ORDER BY ts, event_id)),
+@query("stream_failure_streak", f"""WITH {HORIZON}, c AS (SELECT *, CASE WHEN lag(event_type = 'error') OVER w = (event_type = 'error') THEN 0 ELSE 1 END AS c FROM ev WINDOW w AS (PARTITION BY device ORDER BY ts, event_id)),
 r AS (SELECT *, sum(c) OVER (PARTITION BY device ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c),
 n AS (SELECT *, row_number() OVER (PARTITION BY device, run ORDER BY ts, event_id) AS streak FROM r)
 SELECT device, epoch_us(ts) AS us, event_id AS id, streak FROM n WHERE event_type = 'error' AND streak % 2 = 0""")
 def stream_failure_streak(t: Tables):
     rows = event_stream(t).withColumn("failed", F.col("event_type") == "error").withColumn("id", F.col("event_id"))
-    return stateful.to_files(stateful.run_machine(rows, machines.FailureStreak(2), tie="event_id"), "streaks")
+    return stateful.to_files(in_order(rows, machines.FailureStreak(2)), "streaks")
 
 
-@query("stream_throttle", thin_sql(f"{EVENTS}, src AS (SELECT * FROM ev WHERE event_type = 'error')", "device", "ts, event_id", 172800_000_000,
+@query("stream_throttle", thin_sql(HORIZON.replace("FROM events", "FROM events WHERE event_type = 'error'") + ", src AS (SELECT * FROM ev)", "device", "ts, event_id", 172800_000_000,
                                    "SELECT device, epoch_us(keep.ts) AS us, event_id AS id FROM keep JOIN o USING (device, rn)"))
 def stream_throttle(t: Tables):
     rows = event_stream(t).where(F.col("event_type") == "error").withColumn("id", F.col("event_id"))
-    return stateful.to_files(stateful.run_machine(rows, machines.Throttle(172800), tie="event_id"), "throttle")
+    return stateful.to_files(in_order(rows, machines.Throttle(172800)), "throttle")
 
 
-@query("stream_running_stats", f"""WITH {EVENTS}, d AS (SELECT *, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS n FROM ev),
+@query("stream_running_stats", f"""WITH {HORIZON}, d AS (SELECT *, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS n FROM ev),
 s AS (SELECT *, sum(n) OVER w AS sn, sum(n * CAST(floor(value) AS BIGINT)) OVER w AS sb FROM d WINDOW w AS (PARTITION BY device ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT device, arg_max(sn, (ts, event_id)) AS n, arg_max(sb, (ts, event_id)) AS b, least(min(sn), 0) AS ln, least(min(sb), 0) AS lb,
   min(CASE WHEN n > 0 THEN epoch_us(ts) END) AS first, max(CASE WHEN n > 0 THEN epoch_us(ts) END) AS last FROM s GROUP BY device)
@@ -106,29 +148,48 @@ def stream_running_stats(t: Tables):
     """Statistics after the last batch."""
     sign = F.when(F.col("event_type") == "error", -1).otherwise(1)
     changes = event_stream(t).select("device", "ts", "event_id", sign.alias("n"), (sign * F.floor("value").cast("bigint")).alias("bytes"))
-    rows = stateful.to_files(stateful.run_machine(changes, machines.RunningStats(), tie="event_id"), "stats")
+    rows = stateful.to_files(in_order(changes, machines.RunningStats()), "stats")
     last = F.max_by(F.struct("count", "bytes", "first", "last"), "us").alias("r")
     return rows.groupBy("device").agg(last).select("device", "r.*")
 
 
-@query("stream_sessions", f"""WITH {EVENTS}, f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS s FROM ev WINDOW w AS (PARTITION BY device ORDER BY ts)),
+@query("stream_sessions", f"""WITH {HORIZON}, h AS (SELECT user_id AS device, (epoch_us(max(ts)) - 7200000000) // 3600000000 * 3600000000 AS horizon FROM events GROUP BY ALL),
+f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS s FROM ev WINDOW w AS (PARTITION BY device ORDER BY ts)),
 g AS (SELECT *, sum(s) OVER (PARTITION BY device ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM f),
-x AS (SELECT device, session, min(ts) AS a, max(ts) AS b, count(*) AS frames FROM g GROUP BY ALL)
-SELECT device, epoch_us(a) AS start, epoch_us(b) AS "end", frames FROM x
-WHERE b + INTERVAL 6 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM ev)) - INTERVAL 10 MINUTE""")
+x AS (SELECT device, session, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS "end", count(*) AS frames FROM g GROUP BY ALL)
+SELECT device, start, "end", frames FROM x JOIN h USING (device) WHERE horizon - "end" > 21600000000""")
 def stream_sessions(t: Tables):
-    """Sessions the watermark has closed."""
-    return stateful.to_files(windows.sessions(event_stream(t), 6 * 3600), "sessions")
+    """Sessions that each device's own horizon has closed."""
+    return stateful.to_files(windows.sessions(event_stream(t), 6 * 3600, DELAY_MS, SLICE_MS), "sessions")
 
 
-@query("stream_status_counts", """SELECT epoch_us(ts) // 600000000 * 600000000 AS start, event_type AS status, count(*) AS n FROM events GROUP BY ALL""")
-def stream_status_counts(t: Tables):
+STATUS_COUNTS = "SELECT epoch_us(ts) // 600000000 * 600000000 AS start, event_type AS status, count(*) AS n FROM events GROUP BY ALL"
+
+
+def status_counts(t: Tables):
     rows = event_stream(t).withColumn("status", F.col("event_type"))
-    return stateful.keep_latest(windows.status_counts(rows), ["start", "status"], "status-counts")
+    return stateful.add_batches(rows, windows.status_counts, ["start", "status"], "status-counts")
+
+
+@query("stream_status_counts", STATUS_COUNTS)
+def stream_status_counts(t: Tables):
+    return status_counts(t)
+
+
+@query("stream_last_hour", f"WITH c AS ({STATUS_COUNTS}) SELECT status, sum(n)::BIGINT AS n FROM c WHERE start >= (SELECT max(start) FROM c) - 3600000000 GROUP BY ALL")
+def stream_last_hour(t: Tables):
+    """Counts of the hour before the newest window."""
+    counts = status_counts(t)
+    return windows.last_hour(counts, counts.agg(F.max("start")).first()[0])
 
 
 @query("stream_once", "SELECT user_id AS device, event_id FROM events")
 def stream_once(t: Tables):
-    """Every event delivered twice passes once."""
-    twice = event_stream(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return stateful.to_files(windows.once(twice, ["device", "event_id"]).select("device", "event_id"), "once")
+    """Every event comes twice, the second time up to a day later and often in another batch, and passes once."""
+    raw = t.table("events")
+    copies = raw.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    late = (F.col("user_id") % 3 == 0).cast("long") * 3600 + F.col("copy") * (F.col("event_id") % 24) * 3600
+    folder = arrivals(t, "copies", copies.withColumn("_arrival", F.unix_seconds(F.col("ts").cast("timestamp")) + late).drop("copy"))
+    stream = stateful.open_table(t.spark, f"{folder}/*", "*.parquet", raw.schema, 1)
+    rows = stream.select(F.col("user_id").alias("device"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return stateful.to_files(windows.once(rows, ["device", "event_id"]).select("device", "event_id"), "once")

@@ -1,29 +1,51 @@
 """Per-device state machines. Each turns one row at a time into zero or more output rows.
 
-State is kept as JSON so that one small value per device goes to the state store.
+A machine's state is a small dict of plain values; what there may be many of (activity slots) are named parts, which are
+read and written one by one.
 """
 
 from __future__ import annotations
 
-from retrace.operators.activity import OVERLAP_MS, PAUSE_STOP_WINDOW_MS, ResumedCount
 from retrace.functions.text import gram_set, overlap
+from retrace.operators.activity import PAUSE_STOP_WINDOW_MS, ResumedCount
 from retrace.operators.intervals import GAP_RESOLVERS
 
 
+class Parts:
+    """Named parts kept in memory, as in the state store."""
+
+    def __init__(self):
+        self.known = {}
+
+    def get(self, name: str):
+        return self.known.get(name)
+
+    def put(self, name: str, value) -> None:
+        if value is None:
+            self.known.pop(name, None)
+        else:
+            self.known[name] = value
+
+
+class State(dict):
+    """Plain values, and named parts in `slots`."""
+
+    def __init__(self, values: dict | None = None, slots=None):
+        super().__init__(values or {})
+        self.slots = Parts() if slots is None else slots
+
+
 class Machine:
     """Rows come as dicts with `us` (event time in microseconds) and the columns in `columns`, in time order."""
 
     columns: list[str] = []
     output = ""
 
-    def fresh(self) -> dict:
-        return {}
-
-    def step(self, state: dict, row: dict) -> list[dict]:
+    def step(self, state: State, row: dict) -> list[dict]:
         raise NotImplementedError
 
-    def finish(self, state: dict) -> list[dict]:
-        """Called once per micro-batch and device."""
+    def finish(self, state: State, horizon: int) -> list[dict]:
+        """Called once per micro-batch and device; all rows before `horizon` were stepped, none before it will come."""
         return []
 
 
@@ -88,51 +110,59 @@ class GapLog(Machine):
 
 
 class ResumedActivities(Machine):
-    """Packages in front of a device and whether a sensitive one is among them; reports at batch end on change.
+    """Packages in front of a device and whether a sensitive one is among them; reports on change.
 
-    Replayed events count once, an event older than the last one of its slot is ignored.
+    Replayed events count once. Events come in time order, so an older one of a slot never follows a newer one. Plain values:
+    the events of the current time, the number of slots in front per package, and slots whose pauses may still be settled; a
+    slot that is not in front and has no such pause is forgotten.
     """
 
     columns = ["type", "pkg", "cls", "sensitive"]
     output = "us bigint, packages array<string>, sensitive array<string>"
 
-    def __init__(self, overlap_ms: int = OVERLAP_MS, window_ms: int = PAUSE_STOP_WINDOW_MS, every_event: bool = False):
-        self.overlap_ms, self.window_ms, self.every_event = overlap_ms, window_ms, every_event
+    def __init__(self, window_ms: int = PAUSE_STOP_WINDOW_MS, every_event: bool = False):
+        self.window_ms, self.every_event = window_ms, every_event
 
     def step(self, state, row):
-        time = row["us"] // 1000
-        seen = state.setdefault("seen", {})
-        event = f"{time}|{row['type']}|{row['pkg']}|{row['cls']}"
-        if event in seen:
+        event = f"{row['type']}|{row['pkg']}|{row['cls']}"
+        if state.get("us") != row["us"]:
+            state["us"], state["seen"] = row["us"], []
+        if event in state["seen"]:
             return []
-        seen[event] = time
-        state["newest"] = max(state.get("newest", time), time)
-        slots = state.setdefault("slots", {})
-        name = f"{row['pkg']}/{row['cls']}"
-        slot = ResumedCount(self.window_ms)
-        if name in slots:
-            pauses, counts = slots[name]["pauses"], slots[name]["counts"]
-            slot.resume(None, pauses, None, counts)
+        state["seen"].append(event)
+        name, time = f"{row['pkg']}/{row['cls']}", row["us"] // 1000
+        slot, before = ResumedCount(self.window_ms), state.slots.get(name)
+        if before is not None:
+            slot.resume(None, before["pauses"], None, before["counts"])
+        was = slot.resumed
         slot.step(time, row["type"])
         _, pauses, _, counts = slot.state()
-        slots[name] = {"pkg": row["pkg"], "pauses": pauses, "counts": counts, "sensitive": bool(row["sensitive"])}
-        state["us"] = max(state.get("us", row["us"]), row["us"])
+        state.slots.put(name, {"pauses": pauses, "counts": counts})
+        front = state.setdefault("front", {})
+        if (was > 0) != (slot.resumed > 0):
+            n = front.get(row["pkg"], [0, False])[0] + (1 if slot.resumed > 0 else -1)
+            front.pop(row["pkg"], None)
+            if n:
+                front[row["pkg"]] = [n, bool(row["sensitive"])]
+        idle = state.setdefault("idle", {})
+        idle.pop(name, None)
+        if slot.resumed == 0:
+            idle[name] = max([time, *pauses])
         return self._report(state) if self.every_event else []
 
-    def finish(self, state):
-        newest = state.get("newest")
-        if newest is not None:
-            state["seen"] = {e: t for e, t in state["seen"].items() if t >= newest - self.overlap_ms}
-        return [] if self.every_event or newest is None else self._report(state)
+    def finish(self, state, horizon):
+        for name, time in list(state.get("idle", {}).items()):
+            if horizon // 1000 - time > self.window_ms:
+                state.slots.put(name, None)
+                del state["idle"][name]
+        return [] if self.every_event or "us" not in state else self._report(state)
 
     def _report(self, state):
-        front = [s for s in state["slots"].values() if s["counts"][0] > 0]
-        packages = sorted({s["pkg"] for s in front})
-        sensitive = sorted({s["pkg"] for s in front if s["sensitive"]})
+        packages = sorted(state["front"])
         if state.get("packages") == packages:
             return []
         state["packages"] = packages
-        return [{"us": state["us"], "packages": packages, "sensitive": sensitive}]
+        return [{"us": state["us"], "packages": packages, "sensitive": sorted(p for p, (_, s) in state["front"].items() if s)}]
 
 
 class NearDuplicateLog(Machine):
@@ -179,8 +209,8 @@ class RunningStats(Machine):
         state["us"] = row["us"]
         return []
 
-    def finish(self, state):
-        return [{name: state.get(name) for name in ("us", "count", "bytes", "first", "last")}]
+    def finish(self, state, horizon):
+        return [{name: state.get(name) for name in ("us", "count", "bytes", "first", "last")}] if "us" in state else []
 
 
 class FailureStreak(Machine):
@@ -213,3 +243,26 @@ class Throttle(Machine):
             return []
         state["us"] = row["us"]
         return [{"us": row["us"], "id": row["id"]}]
+
+
+class Sessions(Machine):
+    """Sessions closed by a pause; rows exactly the gap apart share a session."""
+
+    columns = []
+    output = "start bigint, end bigint, frames bigint"
+
+    def __init__(self, gap_seconds: float):
+        self.gap = int(gap_seconds * 1_000_000)
+
+    def step(self, state, row):
+        out = self._close(state, row["us"])
+        state.update(start=state.get("start", row["us"]), end=row["us"], frames=state.get("frames", 0) + 1)
+        return out
+
+    def finish(self, state, horizon):
+        return self._close(state, horizon)
+
+    def _close(self, state, now):
+        if "end" not in state or now - state["end"] <= self.gap:
+            return []
+        return [{name: state.pop(name) for name in ("start", "end", "frames")}]

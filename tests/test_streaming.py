@@ -9,11 +9,12 @@ from retrace.streaming import stateful, windows
 
 
 def feed(machine, rows):
-    state, out = machine.fresh(), []
+    state, out = M.State(), []
     for row in rows:
         out += machine.step(state, row)
-        state = json.loads(json.dumps(state))  # what the state store keeps between batches
-    return out + machine.finish(state), state
+        kept, state = state.slots, M.State(json.loads(json.dumps(state)))  # what the state store keeps between batches
+        state.slots = kept
+    return out + machine.finish(state, rows[-1]["us"]), state
 
 
 PAY, HOME = "jp.ne.paypay.android.app", "com.google.android.apps.nexuslauncher"
@@ -47,10 +48,8 @@ def test_slot_rules():
     assert not last((1000, "RESUMED", PAY, "M"), (3000, "STOPPED", PAY, "M"))
     assert not last((1000, "RESUMED", PAY, "M"), (2000, "PAUSED", PAY, "M"), (3000, "RESUMED", PAY, "M"), (60000, "STOPPED", PAY, "M"))
     assert last((1000, "RESUMED", PAY, "M"), (2000, "RESUMED", "com.twitter.android", "M"))
-    replay = [(1000, "RESUMED", PAY, "M"), (3000, "PAUSED", PAY, "M")]
-    assert not last(*replay, *replay)
-    assert not any(s for _, s in front((3000, "PAUSED", PAY, "M"), (1000, "RESUMED", PAY, "M")))
-    assert not last((1000, "RESUMED", PAY, "M"), (60000, "RESUMED", HOME, "N"), (61000, "PAUSED", PAY, "M"), overlap_ms=1000)
+    assert not last(*[e for e in ((1000, "RESUMED", PAY, "M"), (3000, "PAUSED", PAY, "M")) for _ in range(2)])
+    assert not last((1000, "RESUMED", PAY, "M"), (60000, "RESUMED", HOME, "N"), (61000, "PAUSED", PAY, "M"))
 
 
 def test_throttle_and_streak():
@@ -73,23 +72,79 @@ def test_blackout_machine():
     assert feed(M.BlackoutLog(), [row(1, "a", False), row(2, "b", False)])[0] == []
 
 
-def test_state_survives_batches_and_starts_from_history(spark, tmp_path):
-    """The same rows in three files, one per batch, and with the first third given as history."""
+def test_forgotten_slots_leave_the_state():
+    rows = events((1000, "RESUMED", PAY, "M"), (2000, "PAUSED", PAY, "M"), (9000, "RESUMED", HOME, "N"))
+    machine, state = M.ResumedActivities(), M.State()
+    for row in rows:
+        machine.step(state, row)
+    assert set(state.slots.known) == {f"{PAY}/M", f"{HOME}/N"}
+    machine.finish(state, 12_000_000)
+    assert set(state.slots.known) == {f"{PAY}/M", f"{HOME}/N"}  # a stop may still settle the pause
+    machine.finish(state, 12_001_000)
+    assert set(state.slots.known) == {f"{HOME}/N"} and state["idle"] == {}
+
+
+SCHEMA = "device string, s bigint, failed boolean"
+WAIT = {"delay_ms": 5_000, "slice_ms": 1_000}
+
+
+def batches(spark, folder, parts):
+    """A stream over `parts`, lists of (device, second, failed), one per micro-batch."""
+    for i, rows in enumerate(parts):
+        df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+        df.withColumn("ts", F.timestamp_seconds("s")).withColumn("id", F.col("s")).write.parquet(f"{folder}/p{i}")
+    schema = spark.read.parquet(f"{folder}/p0").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/p*")
+
+
+def streaks(rows, n, before):
+    got = feed(M.FailureStreak(n), [{"us": s * 10**6, "failed": f, "id": s} for _, s, f in rows if s < before])[0]
+    return {(o["id"], o["streak"]) for o in got}
+
+
+def test_shuffled_batches_give_the_rows_of_one(spark, tmp_path, monkeypatch):
+    """Rows up to five seconds out of order over batches, with chunks in the state store, against all rows in order."""
+    monkeypatch.setattr(stateful, "HELD", 7)
+    monkeypatch.setattr(stateful, "CHUNK", 2)
+    rows = [("d", i, i % 7 != 3) for i in range(60)]
+    dealt = sorted(rows, key=lambda r: r[1] + r[1] * 7 % 5)
+    written = stateful.drive(stateful.run_machine(batches(spark, tmp_path, [dealt[i : i + 20] for i in (0, 20, 40)]), M.FailureStreak(3), tie="id", **WAIT), "t")
+    assert set(tuples(written.rows, "id", "streak")) == streaks(rows, 3, 54) and written.late.count() == 0
+
+
+def test_late_devices_lose_nothing(spark, tmp_path):
+    """Four one-file batches, the last device an hour behind: sessions, counts, single deliveries and machine rows."""
+    rows = [("a", 4000 + i, True) for i in range(20)], [("b", 4000 + i, True) for i in range(20)], [("a", 8000, True), ("b", 8000, True)], [
+        ("late", 400 + i, True) for i in range(5)] + [("late", 3000, True)]
+    stream = batches(spark, tmp_path, rows)
+    every = [r for part in rows for r in part]
+    once = stateful.to_files(windows.once(stream, ["device", "s"]), "t")
+    assert sorted(tuples(once, "device", "s")) == sorted((d, s) for d, s, _ in every)
+    counts = stateful.add_batches(stream.withColumn("status", F.col("device")), windows.status_counts, ["start", "status"], "t")
+    assert counts.agg(F.sum("n")).first()[0] == len(every)
+    recent = windows.last_hour(counts, counts.agg(F.max("start")).first()[0])
+    assert dict(tuples(recent, "status", "n")) == {"a": 1, "b": 1}
+    closed = stateful.drive(windows.sessions(stream, 60, **WAIT), "t")
+    assert sorted(tuples(closed.rows, "device", "start", "end", "frames")) == [
+        ("a", 4000 * 10**6, 4019 * 10**6, 20), ("b", 4000 * 10**6, 4019 * 10**6, 20), ("late", 400 * 10**6, 404 * 10**6, 5)]
+    assert closed.late.count() == 0
+
+
+def test_rows_behind_their_own_device_are_kept_apart(spark, tmp_path):
+    rows = [("d", i, True) for i in range(30)]
+    late = [("d", 3, False), ("d", 40, True), ("e", 3, True)]
+    written = stateful.drive(stateful.run_machine(batches(spark, tmp_path, [rows, late]), M.FailureStreak(10), tie="id", **WAIT), "t")
+    assert set(tuples(written.rows, "device", "id", "streak")) == {("d", 9, 10), ("d", 19, 20), ("d", 29, 30)}
+    assert [(r["device"], json.loads(r["late_row"])["us"]) for r in written.late.collect()] == [("d", 3_000_000)]
+
+
+def test_starts_from_history(spark, tmp_path):
     rows = [("d", i, i % 7 != 3) for i in range(60)]
-    for part in range(3):
-        df = spark.createDataFrame(rows[part * 20 : part * 20 + 20], "device string, s bigint, failed boolean").coalesce(1)
-        df.withColumn("ts", F.timestamp_seconds("s")).withColumn("id", F.col("s")).write.parquet(str(tmp_path / f"p{part}"))
-    schema = spark.read.parquet(str(tmp_path / "p0")).schema
-    expected = {(o["id"], o["streak"]) for o in feed(M.FailureStreak(3), [{"us": s * 10**6, "failed": f, "id": s} for _, s, f in rows])[0]}
-
-    def stream(pattern):
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / pattern))
-
-    out = stateful.to_files(stateful.run_machine(stream("p*"), M.FailureStreak(3), tie="id"), "t")
-    assert set(tuples(out, "id", "streak")) == expected
-    history = stateful.bootstrap_state(spark.read.parquet(str(tmp_path / "p0")), M.FailureStreak(3), tie="id")
-    late = stateful.run_machine(stream("p[12]"), M.FailureStreak(3), tie="id", initial=history)
-    assert set(tuples(stateful.to_files(late, "t"), "id", "streak")) == {e for e in expected if e[0] >= 20}
+    stream = batches(spark, tmp_path, [rows[20:40], rows[40:]])
+    history = spark.createDataFrame(rows[:20], SCHEMA).withColumn("ts", F.timestamp_seconds("s")).withColumn("id", F.col("s"))
+    begun = stateful.bootstrap_state(history, M.FailureStreak(3), tie="id")
+    found = stateful.to_files(stateful.run_machine(stream, M.FailureStreak(3), tie="id", initial=begun, **WAIT), "t")
+    assert set(tuples(found, "id", "streak")) == {e for e in streaks(rows, 3, 54) if e[0] >= 20}
 
 
 def test_fresh_and_backlog_share_one_table(spark, tmp_path):
