@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retrace.plans.registry import EVENTS, JITTERED, Tables, query
+from retrace.plans.registry import EVENTS, FRAMES, JITTERED, Tables, query
 from retrace.plans.text_queries import near_dup_sql
 from retrace.plans.time_queries import BLACKOUT, GAPS, SLOTS, thin_sql
 from retrace.session import scratch_path
-from retrace.streaming import machines, stateful, windows
+from retrace.sources import logs, tables
+from retrace.streaming import live, machines, stateful, windows
 
 
 BATCHES = 4
@@ -193,3 +194,82 @@ def stream_once(t: Tables):
     stream = stateful.open_table(t.spark, f"{folder}/*", "*.parquet", raw.schema, 1)
     rows = stream.select(F.col("user_id").alias("device"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     return stateful.to_files(windows.once(rows, ["device", "event_id"]).select("device", "event_id"), "once")
+
+
+# -- logs as files --------------------------------------------------------------------------------
+
+#: line kinds: errors are torn, views have no time
+LOGGED = f"""WITH {EVENTS}, lg AS (SELECT 'd' || device % 3 AS device, day, ts, base, event_id, event_type, value, event_type NOT IN ('error', 'view') AS good FROM ev)"""
+
+
+def followed(t: Tables, kind: str, fields: dict):
+    """Events written as a log of this kind, in two halves, each followed once: day folders of three devices.
+
+    Errors are torn lines, views lines without a time.
+    """
+    root, out = scratch_path(t.spark, f"{kind}-log"), scratch_path(t.spark, f"{kind}-followed")
+    whole = F.to_json(F.struct(F.col("base").alias("t"), *[c.alias(n) for n, c in fields.items()]))
+    no_t = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    line = F.when(F.col("event_type") == "error", F.substring(whole, 1, 12)).when(F.col("event_type") == "view", no_t).otherwise(whole)
+    rows = t.events().select(F.concat(F.lit("d"), F.col("device") % 3).alias("device"), "day", "event_id", line.alias("value"))
+    for half in (0, 1):
+        part = rows.where(F.col("event_id") % 2 == half).drop("event_id").repartition(4, "device", "day")
+        part.write.mode("append").partitionBy("device", "day").text(root)
+        found = live.follow(t.spark, root, kind, out, file_glob="*.txt")
+    return found
+
+
+@query("live_app_log", LOGGED + """ SELECT device, day, base, epoch_us(ts) // 1000 * 1000 AS ts, event_type AS pkg, CASE WHEN event_id % 3 = 0 THEN 'L' || event_id END AS label
+FROM lg WHERE good AND event_type <> 'signup'""")
+def live_app_log(t: Tables):
+    """Sign-ups lack the package and are no entries."""
+    pkg = F.when(F.col("event_type") != "signup", F.col("event_type"))
+    label = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("L"), F.col("event_id")))
+    return logs.app_entries(followed(t, "apps", {"pkg": pkg, "label": label}).rows).select("device", "day", "base", "ts", "pkg", "label")
+
+
+@query("live_blackout_log", LOGGED + " SELECT device, day, base, epoch_us(ts) // 1000 * 1000 AS ts, CASE WHEN event_type = 'click' THEN 'start' ELSE 'end' END AS state FROM lg WHERE good")
+def live_blackout_log(t: Tables):
+    state = F.when(F.col("event_type") == "click", "start").otherwise("end")
+    return followed(t, "blackouts", {"state": state}).rows.select("device", "day", "base", "ts", "state")
+
+
+@query("live_gap_log", LOGGED + " SELECT device, day, base, event_type AS state, CASE WHEN event_id % 5 = 0 THEN 'say \"' || event_id || '\"' || chr(10) END AS reason FROM lg WHERE good")
+def live_gap_log(t: Tables):
+    """Reasons with quotes and line feeds."""
+    reason = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('say "'), F.col("event_id"), F.lit('"\n')))
+    return followed(t, "gaps", {"state": F.col("event_type"), "reason": reason}).rows.select("device", "day", "base", "state", "reason")
+
+
+@query("live_key_log", LOGGED + " SELECT device, day, base, event_id AS key, CASE WHEN event_id % 2 = 0 THEN 'cmd,shift' ELSE '' END AS mods, event_type AS app FROM lg WHERE good")
+def live_key_log(t: Tables):
+    mods = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("cmd"), F.lit("shift"))).otherwise(F.array().cast("array<string>"))
+    rows = followed(t, "keys", {"key": F.col("event_id").cast("string"), "mods": mods, "app": F.col("event_type")}).rows
+    return rows.select("device", "day", "base", F.col("key").cast("bigint").alias("key"), F.array_join("mods", ",").alias("mods"), "app")
+
+
+@query("live_ledger", LOGGED + """ SELECT device, day, CASE WHEN event_type = 'error' THEN 'invalid' ELSE 'no t' END AS reason, count(*) AS n,
+  CAST(sum(CASE WHEN event_type = 'error' THEN 12 ELSE length('{"status":"ok","ms":' || event_id || '}') END) AS BIGINT) AS chars FROM lg WHERE NOT good GROUP BY ALL""")
+def live_ledger(t: Tables):
+    """Bad lines by device and day, whole lines kept."""
+    bad = followed(t, "ocr", {"status": F.lit("ok"), "ms": F.col("event_id")}).ledger
+    return bad.groupBy("device", "day", "reason").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("sunk_change_log", f"WITH {EVENTS} SELECT 'd' || device % 3 AS device, day, base, event_type AS state FROM ev WHERE event_type IN ('click', 'purchase')")
+def sunk_change_log(t: Tables):
+    """Change points appended in two goes to day folders, and read back as a log."""
+    folder = scratch_path(t.spark, "change-log")
+    for kind in ("click", "purchase"):
+        rows = t.events().where(F.col("event_type") == kind)
+        tables.append_log(rows.select(F.concat(F.lit("d"), F.col("device") % 3).alias("device"), "ts", F.col("base").alias("t"), F.col("event_type").alias("state")), folder)
+    lines = logs.raw_lines(t.spark, folder, "*.json")
+    return logs.judged(lines, logs.FILES["gaps"][1], None)[0].select("device", "day", "base", "state")
+
+
+@query("history_days", f"WITH {FRAMES} SELECT device, day, base, status FROM frames WHERE day = '2024-01-01'")
+def history_days(t: Tables):
+    """Frames of one day from a table partitioned by days."""
+    folder = scratch_path(t.spark, "history")
+    tables.write_frames(t.frames().select("device", "day", "base", "status"), folder)
+    return tables.history(t.spark, folder, ["2024-01-01"]).withColumn("day", F.col("day").cast("string")).select("device", "day", "base", "status")

@@ -20,18 +20,24 @@ FILES = {
 DUMP_ROW = r"^\s*time=(\d+) type=ACTIVITY_(RESUMED|PAUSED|STOPPED) package=(\S+) class=(\S+) instanceId=(\d+)"
 
 
+#: a folder's name, or the value of a partition folder `day=...`
+_FOLDER = r"(?:[^/=]*=)?([^/=]+)"
+
+
+def located(text: DataFrame) -> DataFrame:
+    """Lines with their place, from the file's metadata: path and start of the file's split."""
+    return text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """Day and byte order of located lines: order inside a split follows the row id, splits follow their start."""
+    day = F.regexp_extract("path", _FOLDER + "/[^/]+$", 1)
+    return lines.withColumn("seq", F.struct("block", F.monotonically_increasing_id().alias("row"))).withColumn("day", day)
+
+
 def raw_lines(spark: SparkSession, root: str, file_name: str) -> DataFrame:
     """Lines of one log file of every day, with their place: day, path, byte-ordered line number."""
-    text = (
-        spark.read.option("pathGlobFilter", file_name)
-        .option("recursiveFileLookup", "true")
-        .text(root)
-        .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
-    )
-    # file order inside a split follows the row id, splits of a file follow their start offset
-    return text.withColumn("seq", F.struct("block", F.monotonically_increasing_id().alias("row"))).withColumn(
-        "day", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    )
+    return in_order(located(spark.read.option("pathGlobFilter", file_name).option("recursiveFileLookup", "true").text(root)))
 
 
 def parse(lines: DataFrame, schema: T.StructType) -> DataFrame:
@@ -45,23 +51,27 @@ def parse(lines: DataFrame, schema: T.StructType) -> DataFrame:
     return rows.withColumn("reason", reason)
 
 
-def read(spark: SparkSession, root: str, kind: str, device: str | None = "local") -> tuple[DataFrame, DataFrame]:
-    """(rows, bad-row ledger) of one log kind; without a `device` it is the folder above the day.
+def judged(lines: DataFrame, schema: T.StructType, device: str | None = "local") -> tuple[DataFrame, DataFrame]:
+    """(rows, bad-row ledger) of lines in order; without a `device` it is the folder above the day.
 
-    The ledger (path, line_no, reason, line) has whole lines. Line numbers count within one file, which holds one day of one
-    device; they are only worked out when the ledger is read.
+    The ledger (device, day, path, line_no, reason, line) has whole lines. Line numbers count within one file, which holds one
+    day of one device; they are only worked out when the ledger is read.
     """
-    file_name, schema = FILES[kind]
-    lines = raw_lines(spark, root, file_name)
-    owner = F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1) if device is None else F.lit(device)
+    owner = (F.regexp_extract("path", _FOLDER + "/[^/]+/[^/]+$", 1) if device is None else F.lit(device)).alias("device")
     parsed = parse(lines, schema)
-    good = parsed.where(F.col("reason").isNull()).select(owner.alias("device"), "day", "row.*", "seq").drop("_corrupt")
+    good = parsed.where(F.col("reason").isNull()).select(owner, "day", "row.*", "seq").drop("_corrupt")
     in_file = Window.partitionBy("path").orderBy("seq")
     numbered = parse(lines.withColumn("line_no", F.row_number().over(in_file)), schema)
-    bad = numbered.where(F.col("reason").isNotNull()).select("path", "line_no", "reason", F.col("value").alias("line"))
+    bad = numbered.where(F.col("reason").isNotNull()).select(owner, "day", "path", "line_no", "reason", F.col("value").alias("line"))
     return with_time(good), bad
 
 
+def read(spark: SparkSession, root: str, kind: str, device: str | None = "local") -> tuple[DataFrame, DataFrame]:
+    """(rows, bad-row ledger) of one log kind, see `judged`."""
+    file_name, schema = FILES[kind]
+    return judged(raw_lines(spark, root, file_name), schema, device)
+
+
 def ledger_report(bad: DataFrame, first: int = 5, chars: int = 80) -> DataFrame:
     """(total, shown): number of bad rows and the first few, by file and line, with the head of their line."""
     item = F.struct("path", "line_no", "reason", F.substring("line", 1, chars).alias("head"))

@@ -58,8 +58,12 @@ def upsert_table(
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append change points as JSON lines in day directories."""
-    rows.withColumn("day", day_name(F.col("ts"))).drop("ts").write.mode("append").partitionBy("day").json(path)
+    """Append change points as JSON lines in day directories, below a directory per device where there is that column.
+
+    Every call adds files, so `streaming.live` can follow the folder.
+    """
+    folders = [c for c in ("device",) if c in rows.columns] + ["day"]
+    rows.withColumn("day", day_name(F.col("ts"))).drop("ts").write.mode("append").partitionBy(*folders).json(path)
 
 
 def write_candidates(nested: DataFrame, path: str) -> None:
