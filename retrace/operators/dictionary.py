@@ -80,7 +80,7 @@ def build(frames: DataFrame, rank: list[str] = RANK) -> Dictionary:
     """Number lines and texts by first appearance. Frames without text get a NULL text_id."""
     lines, texts = number_lines(frames, rank), number_texts(frames, rank)
     listed = with_line_ids(texts, lines)
-    return Dictionary(lines, listed, _point_frames(frames, texts), line_runs(postings(listed)))
+    return Dictionary(lines, listed, point_frames(frames, texts), line_runs(postings(listed)))
 
 
 def with_line_ids(texts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def with_line_ids(texts: DataFrame, lines: DataFrame) -> DataFrame:
     return keyed.join(per_text, "text_id").select("text_id", "key", "line_ids")
 
 
-def _point_frames(frames: DataFrame, texts: DataFrame) -> DataFrame:
+def point_frames(frames: DataFrame, texts: DataFrame) -> DataFrame:
     """Frames carry text_id instead of text. The join ships the full SHA-256 digest instead of the text."""
     digest = F.sha2("text", 256)
     ids = texts.select("text_id", digest.alias("_digest"))
@@ -251,7 +251,7 @@ def extend(store: Dictionary, fresh: DataFrame, rank: list[str] = RANK) -> Dicti
     ids = known_ids.unionByName(added_texts.select("_n", "text_id"))
     by_text = numbered.select(F.col("text_id").alias("_n"), "text").join(ids, "_n").select("text_id", "text")
     texts = added_texts.select("text_id", "key", "line_ids")
-    return Dictionary(added_lines, texts, _point_frames(fresh, by_text), extend_runs(store.runs, postings(texts)))
+    return Dictionary(added_lines, texts, point_frames(fresh, by_text), extend_runs(store.runs, postings(texts)))
 
 
 def extend_runs(runs: DataFrame, added_pairs: DataFrame) -> DataFrame:

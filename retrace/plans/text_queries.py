@@ -8,10 +8,12 @@ from retrace.functions import text as X
 from retrace.operators import dictionary as D
 from retrace.operators import folds, intervals, reports
 from retrace.operators import search as S
+from retrace.operators import store as stores
 from retrace.operators.ordered import Ordered
 from retrace.plans.registry import (
     EVENTS, FRAMES, JITTERED, LANG_FRAMES, LINES, LINE_IDS, PAIRS, TEXT_IDS, Tables, key_sql, query, shingles_sql,
 )
+from retrace.session import scratch_path
 
 DICT = f"WITH {FRAMES}, {LINES}, {LINE_IDS}, {TEXT_IDS}, {PAIRS}"
 
@@ -68,29 +70,58 @@ def compression_stats(t: Tables):
     return D.compression(frames, D.build(frames))
 
 
-@query("dictionary_append", f"""{DICT}
+APPENDED = f"""{DICT}
 SELECT 'line' AS kind, line_id AS id, {key_sql('line')} AS key, line AS value, CAST(NULL AS BIGINT) AS until FROM line_ids
 UNION ALL SELECT 'text', text_id, {key_sql('text')}, CAST(len(string_split(text, chr(10))) AS VARCHAR), NULL FROM text_ids
 UNION ALL SELECT 'frame', text_id, NULL, device || '/' || base, NULL FROM frames LEFT JOIN text_ids USING (text)
 UNION ALL SELECT 'run', line_id, NULL, CAST(min(text_id) AS VARCHAR), max(text_id) FROM (
-  SELECT line_id, text_id, text_id - row_number() OVER (PARTITION BY line_id ORDER BY text_id) AS g FROM pairs) GROUP BY line_id, g""")
+  SELECT line_id, text_id, text_id - row_number() OVER (PARTITION BY line_id ORDER BY text_id) AS g FROM pairs) GROUP BY line_id, g"""
+
+
+@query("dictionary_append", APPENDED)
 def dictionary_append(t: Tables):
     """Documents of the first half hour are stored, the rest arrives later: all tables equal those of one build."""
     frames = t.frames()
     later = F.col("ts") >= F.timestamp_seconds(F.lit(1704067200 + 1800))
     store = D.build(frames.where(~later))
     added = D.extend(store, frames.where(later))
+    return stored_rows(store.lines.unionByName(added.lines), store.texts.unionByName(added.texts), store.frames.unionByName(added.frames), added.runs)
+
+
+def stored_rows(lines, texts, shots, runs):
+    """All tables of a dictionary as rows of one shape."""
     none = F.lit(None).cast("bigint")
     row = lambda df, kind, id_, key, value, until: df.select(
         F.lit(kind).alias("kind"), F.col(id_).alias("id"), key.alias("key"), value.cast("string").alias("value"), until.alias("until")
     )
-    lines = row(store.lines.unionByName(added.lines), "line", "line_id", F.col("key"), F.col("text"), none)
-    texts = row(store.texts.unionByName(added.texts), "text", "text_id", F.col("key"), F.size("line_ids"), none)
-    shots = row(store.frames.unionByName(added.frames), "frame", "text_id", none, F.concat_ws("/", "device", "base"), none)
-    runs = row(added.runs, "run", "line_id", none, F.col("first_text"), F.col("last_text"))
+    lines = row(lines, "line", "line_id", F.col("key"), F.col("text"), none)
+    texts = row(texts, "text", "text_id", F.col("key"), F.size("line_ids"), none)
+    shots = row(shots, "frame", "text_id", none, F.concat_ws("/", "device", "base"), none)
+    runs = row(runs, "run", "line_id", none, F.col("first_text"), F.col("last_text"))
     return lines.union(texts).union(shots).union(runs)
 
 
+def grown_store(t: Tables):
+    """Documents stored in three appends: twenty minutes, ten minutes, the rest."""
+    frames, folder = t.frames(), scratch_path(t.spark, "store")
+    since = F.unix_seconds("ts") - 1704067200
+    for low, high in ((0, 1200), (1200, 1800), (1800, 1 << 40)):
+        grown = stores.append(t.spark, folder, frames.where((since >= low) & (since < high)))
+    return grown
+
+
+@query("store_append", APPENDED)
+def store_append(t: Tables):
+    """Three appends on disk give the tables of one build; runs that are closed are not written again."""
+    found = grown_store(t).dictionary()
+    return stored_rows(found.lines, found.texts, found.frames, found.runs)
+
+
+@query("store_term_lines", f"{DICT} SELECT line_id, line AS text FROM line_ids WHERE contains(lower(line), 'public license')")
+def store_term_lines(t: Tables):
+    return stores.lines_with_term(grown_store(t), "Public License").select("line_id", "text")
+
+
 # -- search -------------------------------------------------------------------------------------
 
 

@@ -1,11 +1,15 @@
+import contextlib
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import frames, tuples
+from retrace.functions.text import contains_term
 from retrace.operators import dictionary as D
 from retrace.operators import search as S
+from retrace.operators import store as stores
 
 MENU = [
     ("2026-01-01", "090000_000", "メニューバー\n最初の画面\n共通の行", "ok"),
@@ -126,3 +130,38 @@ def test_search_limits_can_be_lifted(spark):
     rows = S.search(f, "word", limit=None, max_lines=None, max_chars=None).collect()
     assert len(rows) == 32 and long in {r.line for r in rows}
     assert max(len(r.line) for r in S.search(f, "word", limit=None, max_lines=None).collect()) == 200
+
+
+
+@contextlib.contextmanager
+def out_of_reach(folder, away):
+    """The stored appends of all tables but digests, tail and marks are elsewhere meanwhile."""
+    hidden = {p: away / f"{p.parent.name}-{p.name}" for name in ("lines", "texts", "runs", "grams", "gram_counts", "frames") for p in folder.glob(f"{name}/append=*")}
+    away.mkdir(exist_ok=True)
+    for path, place in hidden.items():
+        path.rename(place)
+    yield
+    for path, place in hidden.items():
+        place.rename(path)
+
+
+def test_appends_read_digests_and_tail_only(spark, tmp_path):
+    text = lambda d, s: "\n".join(["common", f"line {d * s % 7}", "" if s % 4 else "tail"]) if s % 5 else ""
+    rows = [(f"2026-01-0{d}", f"0900{s:02}_000", text(d, s), "ok") for d in (1, 2, 3) for s in range(12)]
+    f, folder = frames(spark, rows), tmp_path / "store"
+    whole = D.build(f)
+    for day in ("2026-01-01", "2026-01-02", "2026-01-03"):
+        with out_of_reach(folder, tmp_path / "away"):
+            stores.append(spark, str(folder), f.where(F.col("day") == day))
+    # an append that never finished: no one sees it, and the next try writes over it
+    shutil.copytree(folder / "lines" / "append=0", folder / "lines" / "append=3")
+    store = stores.open_store(spark, str(folder))
+    found = store.dictionary()
+    tables = {"lines": ("line_id", "key", "text"), "texts": ("text_id", "line_ids"), "runs": ("line_id", "first_text", "last_text"), "frames": ("day", "base", "text_id")}
+    for name, columns in tables.items():
+        assert tuples(getattr(found, name), *columns) == tuples(getattr(whole, name), *columns)
+    for term in ("line", "LINE 3", "common", "zzz", "li", "absent grams"):
+        assert tuples(stores.lines_with_term(store, term), "line_id") == tuples(found.lines.where(contains_term(F.col("text"), term)), "line_id")
+    again = stores.append(spark, str(folder), f.where("day = '2026-01-02'"))  # nothing new but frames
+    assert (again.append, again.last_line, again.last_text) == (3, store.last_line, store.last_text)
+    assert again.dictionary().runs.count() == whole.runs.count() and again.dictionary().frames.count() == 48
