@@ -33,8 +33,11 @@ def session_summary(frames: DataFrame, keys: list[str] = ["device"], until: str
 
 def runs(rows: DataFrame, value: str, keys: list[str], order: list[str] = ["base"], **layout) -> DataFrame:
     """Islands of equal neighbouring values: value, first and last time, rows."""
-    o = Ordered.of(rows, keys, ["ts", *order], by="ts", **layout).islands("run", F.col(value))
-    return o.done().groupBy(*keys, "run").agg(
+    return _spans(Ordered.of(rows, keys, ["ts", *order], by="ts", **layout).islands("run", F.col(value)), value, order)
+
+
+def _spans(o: Ordered, value: str, order: list[str]) -> DataFrame:
+    return o.done().groupBy(*o.keys, "run").agg(
         F.min_by(value, F.struct("ts", *order)).alias(value),
         F.min("ts").alias("start"),
         F.max("ts").alias("last"),
@@ -44,8 +47,9 @@ def runs(rows: DataFrame, value: str, keys: list[str], order: list[str] = ["base
 
 def app_runs(frames: DataFrame, keys: list[str] = ["device"], app: str = "pkg", **layout) -> DataFrame:
     """Runs of one app inside a session. A run ends where the next one starts, or with its session."""
-    spans = runs(frames, app, [*keys, "session"], **layout)
-    o = Ordered.of(spans, [*keys, "session"], ["start", "run"], by="start", **layout).lead(_next="start")
+    inside = [*keys, "session"]
+    o = Ordered.of(frames, inside, ["ts", "base"], by="ts", **layout).islands("run", F.col(app))
+    o = Ordered.of(_spans(o, app, ["base"]), inside, ["start", "run"], by="start", like=o, **layout).lead(_next="start")
     return (
         o.done()
         .withColumn("end", F.coalesce("_next", "last"))
@@ -78,7 +82,7 @@ def state_intervals(points: DataFrame, state: str, keys: list[str] = ["device"],
     o = Ordered.of(points, keys, ["ts", *order], by="ts", **layout).lag(_before=state)
     changed = ~F.col(state).eqNullSafe(F.col("_before"))
     starts = o.done().where(changed).drop("_before")
-    nxt = Ordered.of(starts, keys, ["ts", *order], by="ts", **layout).lead(end="ts")
+    nxt = Ordered.of(starts, keys, ["ts", *order], by="ts", like=o, **layout).lead(end="ts")
     return nxt.done().withColumnRenamed("ts", "start").select(*keys, state, "start", "end")
 
 
@@ -110,7 +114,7 @@ def failure_streak(rows: DataFrame, failed: Column, keys: list[str], order: list
     """Rows where the run of consecutive failures reaches a multiple of the threshold."""
     o = Ordered.of(rows.withColumn("_failed", failed), keys, ["ts", *order], by="ts", **layout)
     o = o.islands("_run", F.col("_failed"))
-    inner = Ordered.of(o.done(), [*keys, "_run"], ["ts", *order], by="ts", **layout).row_number("streak")
+    inner = Ordered.of(o.done(), [*keys, "_run"], ["ts", *order], by="ts", like=o, **layout).row_number("streak")
     out = inner.done().where(F.col("_failed") & (F.col("streak") % threshold == 0))
     return out.drop("_failed", "_run")
 

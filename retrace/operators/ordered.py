@@ -1,16 +1,18 @@
 """Sequence operators over keyed, time-ordered rows that stay parallel when one key is huge.
 
-A plain `Window.partitionBy(device)` puts a whole device into one task. Here a key that holds more than
-`1 / SHARE` of all rows is cut into slices of about equal size along its order, the window runs inside
-each (key, slice), and what has to cross a slice border (previous row, running total, last known value)
-comes from a table with one row per slice. At most SHARE keys can pass the threshold and each is cut into
-at most SLICES slices, so that border table is bounded whatever the input size, and it is broadcast. It is
-checkpointed as well, so a chain of operators stays a chain and does not double with every step.
-Keys below the threshold use one plain window. The layout is found by counting rows per key, once per frame and keys.
+A plain `Window.partitionBy(device)` puts a whole device into one task. Here a key is cut into one slice per SLICE_ROWS of
+its rows along its order, the window runs inside each (key, slice), and what has to cross a slice border (previous row,
+running total, last known value) comes from a table with one row per slice of the keys that were cut: at most two for every
+SLICE_ROWS rows of the input. It is broadcast, and checkpointed as well, so a chain of operators stays a chain and does not
+double with every step. Where every key is one slice there are no borders, and the window alone is left.
+
+The layout is found by counting rows per key, once for a chain: a step on rows derived from an earlier step's takes over that
+step's layout (`like`) if its keys are the same, or if no key was cut.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -21,10 +23,7 @@ from pyspark.sql import types as T
 
 from retrace.session import materialise
 
-SHARE = 256  # a key is hot above 1/SHARE of all rows, so at most SHARE keys are hot
-COARSE = 16
-SLICES = COARSE * COARSE
-FLOOR_ROWS = 2_000_000  # a key below this never needs splitting
+SLICE_ROWS = 2_000_000  # rows of one key for one task
 REMEMBERED = 256  # layouts kept for frames that are used again
 
 SLICE = "_slice"
@@ -52,42 +51,41 @@ def _rank_value(df: DataFrame, by: str) -> Column:
 _layouts: OrderedDict = OrderedDict()
 
 
-def hot_bounds(df: DataFrame, keys: list[str], by: str, floor_rows: int = FLOOR_ROWS):
+def hot_bounds(df: DataFrame, keys: list[str], by: str, slice_rows: int = SLICE_ROWS):
     """Borders for `df`, looked up if the same frame was laid out before; borders decide on balance, never on results."""
-    name = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), by, floor_rows)
+    name = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), by, slice_rows)
     if name not in _layouts:
-        _layouts[name] = _count_bounds(df, keys, by, floor_rows)
+        _layouts[name] = _count_bounds(df, keys, by, slice_rows)
         if len(_layouts) > REMEMBERED:
             _layouts.popitem(last=False)
     return _layouts[name]
 
 
-def _count_bounds(df: DataFrame, keys: list[str], by: str, floor_rows: int):
-    """Slice borders of each hot key: rows (keys..., bounds). At most SHARE rows of SLICES - 1 numbers."""
+def _count_bounds(df: DataFrame, keys: list[str], by: str, slice_rows: int) -> list[tuple]:
+    """(keys..., slice borders) of each key above `slice_rows`: all in all at most two numbers per `slice_rows` rows."""
     group = keys or [F.lit(0).alias("_all")]
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max(floor_rows, (total or 0) // SHARE)
-    if not total or largest <= limit:
+    largest = counts.agg(F.max("_n")).first()[0]
+    if not largest or largest <= slice_rows:
         return []
-    # slices of a quarter of the threshold, but never more than SLICES
-    slices = max(2, min(SLICES, -(-4 * largest // limit)))
-    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    borders = F.percentile_approx(_rank_value(df, by), steps, 2000).alias("_bounds")
+    most = -(-largest // slice_rows)
+    steps = F.array(*[F.lit(i / most) for i in range(1, most)])
+    borders = F.percentile_approx(_rank_value(df, by), steps, max(2000, 20 * most)).alias("_bounds")
+    source = df
     if keys:
-        hot = counts.where(F.col("_n") > limit).select(*keys)
-        source = join_same(df, F.broadcast(hot), keys, "left_semi")
-    else:
-        source = df
-    # bounded by SHARE keys, see above; literal borders keep every evaluation of the plan identical
-    return source.groupBy(*keys).agg(borders).collect()
+        # fewer keys than the input has stretches of `slice_rows` rows
+        source = join_same(df, counts.where(F.col("_n") > slice_rows).select(*keys), keys, "left_semi")
+    found = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), borders).collect()
+    # literal borders keep every evaluation of the plan identical; a smaller key takes every so many of them
+    every = lambda r: max(1, most // -(-r["_n"] // slice_rows))
+    return [(*[r[k] for k in keys], r["_bounds"][every(r) - 1 :: every(r)]) for r in found]
 
 
 def _slice_number(value: Column) -> Column:
-    """How many borders lie at or below the value; every COARSE-th border is tested first, then one block."""
+    """How many borders lie at or below the value; the first of every block is tested before the one block."""
     block = F.size(F.filter("_coarse", lambda b: b <= value))
-    inside = F.slice(F.col("_bounds"), block * COARSE + 1, COARSE)
-    return block * COARSE + F.size(F.filter(inside, lambda b: b <= value))
+    inside = F.slice(F.col("_bounds"), block * F.col("_step") + 1, F.col("_step"))
+    return block * F.col("_step") + F.size(F.filter(inside, lambda b: b <= value))
 
 
 @dataclass(frozen=True)
@@ -97,32 +95,39 @@ class Ordered:
     df: DataFrame
     keys: list[str]
     order: list[str]
-    sliced: bool
+    by: str
+    bounds: tuple = ()
 
     @staticmethod
     def of(
-        df: DataFrame,
-        keys: list[str],
-        order: list[str],
-        by: str | None = None,
-        floor_rows: int = FLOOR_ROWS,
+        df: DataFrame, keys: list[str], order: list[str], by: str | None = None, slice_rows: int = SLICE_ROWS, like: "Ordered | None" = None
     ) -> "Ordered":
+        """`like` is an earlier step of which `df` is derived: it has as many rows or fewer of each of its keys, and `keys` are
+        these or more."""
         by = by or order[0]
-        rows = hot_bounds(df, keys, by, floor_rows)
+        if like is not None and (not like.sliced or (set(keys) == set(like.keys) and df.schema[by].dataType == like.df.schema[like.by].dataType)):
+            rows = [tuple(r[like.keys.index(k)] for k in keys) + (r[-1],) for r in like.bounds]
+        else:
+            rows = hot_bounds(df, keys, by, slice_rows)
         if not rows:
-            return Ordered(df.withColumn(SLICE, F.lit(0)).withColumn(HOT, F.lit(False)), keys, order, False)
+            return Ordered(df.withColumn(SLICE, F.lit(0)).withColumn(HOT, F.lit(False)), keys, order, by)
         numbers = T.ArrayType(T.DoubleType())
-        fields = [df.schema[k] for k in keys] + [T.StructField("_bounds", numbers), T.StructField("_coarse", numbers)]
-        packed = [(*r, r["_bounds"][COARSE - 1 :: COARSE]) for r in rows]
-        bounds = df.sparkSession.createDataFrame(packed, T.StructType(fields))
+        step = lambda bounds: math.isqrt(len(bounds)) + 1
+        packed = [(*r, r[-1][step(r[-1]) - 1 :: step(r[-1])], step(r[-1])) for r in rows]
+        names = [T.StructField("_bounds", numbers), T.StructField("_coarse", numbers), T.StructField("_step", T.IntegerType())]
         if keys:
-            joined = join_same(df, F.broadcast(bounds), keys, "left")
+            table = df.sparkSession.createDataFrame(packed, T.StructType([df.schema[k] for k in keys] + names))
+            joined = join_same(df, F.broadcast(table), keys, "left")
         else:
             literal = lambda values: F.array(*[F.lit(b) for b in values]).cast(numbers)
-            joined = df.withColumn("_bounds", literal(packed[0][0])).withColumn("_coarse", literal(packed[0][1]))
+            joined = df.withColumns({"_bounds": literal(packed[0][0]), "_coarse": literal(packed[0][1]), "_step": F.lit(packed[0][2])})
         number = F.when(F.col("_bounds").isNull(), 0).otherwise(F.coalesce(_slice_number(_rank_value(df, by)), F.lit(0)))
-        out = joined.withColumn(SLICE, number).withColumn(HOT, F.col("_bounds").isNotNull()).drop("_bounds", "_coarse")
-        return Ordered(out, keys, order, True)
+        out = joined.withColumn(SLICE, number).withColumn(HOT, F.col("_bounds").isNotNull()).drop("_bounds", "_coarse", "_step")
+        return Ordered(out, keys, order, by, tuple(rows))
+
+    @property
+    def sliced(self) -> bool:
+        return bool(self.bounds)
 
     # -- plumbing -------------------------------------------------------------------------------
 

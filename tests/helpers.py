@@ -20,4 +20,4 @@ def tuples(df, *columns, order=True):
     return sorted(rows, key=repr) if order else rows
 
 
-FORCED = {"floor_rows": 1}
+FORCED = {"slice_rows": 40}

@@ -48,7 +48,7 @@ def test_thin_equals_loop_in_slices(events):
         if r.k not in last or r.s - last[r.k] >= 25:
             want.add(r.id)
             last[r.k] = r.s
-    for layout in ({}, {"floor_rows": 100}):
+    for layout in ({}, {"slice_rows": 25}):
         got = folds.thin(few, 25, ["k"], ["id"], **layout).where("kept")
         assert {r.id for r in got.collect()} == want
 
@@ -67,7 +67,7 @@ def naive_collapse(texts, thr):
     return out
 
 
-@pytest.mark.parametrize("layout", [{}, {"floor_rows": 60}])
+@pytest.mark.parametrize("layout", [{}, {"slice_rows": 15}])
 def test_near_duplicates_equal_loop(spark, layout):
     random.seed(3)
     text, texts = "the quick brown fox jumps", []
@@ -99,7 +99,7 @@ def test_thinning_a_hot_key_takes_two_passes(spark, monkeypatch):
     rows = spark.range(600).select(F.lit("d").alias("device"), F.timestamp_seconds(F.col("id") * 5).alias("ts"), "id")
     want = {r.id for r in folds.thin(rows, 12, ["device"], ["id"]).where("kept").collect()}
     assert want == {i for i in range(0, 600, 3)} and not written
-    got = folds.thin(rows, 12, ["device"], ["id"], floor_rows=100)
+    got = folds.thin(rows, 12, ["device"], ["id"], slice_rows=25)
     assert {r.id for r in got.where("kept").collect()} == want and got.count() == 600
     # one small table: an entry per row of a slice's first twelve seconds
     assert len(written) == 1 and 10 < written[0].count() <= 300 and written[0].selectExpr("max(size(entries))").first()[0] <= 4

@@ -6,18 +6,18 @@ from retrace.operators import ordered
 from test_queries import FOLDER, SQL, QUERIES, canonical, duck  # noqa: F401
 
 NAMES = ["asof_app", "app_runs", "state_intervals", "attribution_audit", "retention_phone", "near_dup_collapse", "cooldown",
-         "percentiles", "timeline_windows", "resumed_counts"]
+         "percentiles", "timeline_windows", "resumed_counts", "failure_streak", "blackout_by_app", "event_sessions", "gap_intervals"]
 
 
-ROWS = {"near_dup_collapse": 6, "timeline_windows": 6, "resumed_counts": 4}  # keys above this count as hot
+ROWS = {"near_dup_collapse": 4, "timeline_windows": 4, "resumed_counts": 2}  # rows of a slice
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_sliced_query(spark, duck, monkeypatch, name):  # noqa: F811
     plain, cuts = ordered.Ordered.of, []
 
-    def forced(df, keys, order, by=None, floor_rows=0):
-        out = plain(df, keys, order, by, ROWS.get(name, 30))
+    def forced(df, keys, order, by=None, slice_rows=0, like=None):
+        out = plain(df, keys, order, by, ROWS.get(name, 15), like)
         cuts.append(out.sliced)
         return out
 
