@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retrace.functions.text import let
 
@@ -66,3 +69,45 @@ def uninformative(pixels: Column, width: Column, height: Column) -> Column:
         return F.when(valid, black / (F.size(tops) * F.size(lefts)) >= BLACK_SHARE).otherwise(F.lit(False))
 
     return let(pixels, black_share)
+
+
+# -- pixels as bytes ------------------------------------------------------------------------------
+#
+# Whole screens have millions of pixels; as bytes they reach numpy without a value per pixel.
+
+
+def _black_share(raw: bytes | None, width: int, height: int) -> float | None:
+    """Share of cells without a lit pixel; None where the dimensions don't fit the bytes."""
+    if raw is None or not (width > 0 and height > 0 and len(raw) >= 4 * width * height):
+        return None
+    argb = np.frombuffer(raw, dtype="<u4", count=width * height).reshape(height, width)
+    level = ((argb >> 16 & 255) * 299 + (argb >> 8 & 255) * 587 + (argb & 255) * 114) // 1000
+    rows = np.maximum.reduceat(level, np.arange(0, height, CELL), axis=0)
+    cells = np.maximum.reduceat(rows, np.arange(0, width, CELL), axis=1)
+    return float((cells <= BLACK_LUMA).mean())
+
+
+@F.pandas_udf(T.BooleanType())
+def uninformative_bytes(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """`uninformative` for pixels as little-endian ARGB bytes, four for each, row by row; null pixels count as informative."""
+    shares = [_black_share(*x) for x in zip(pixels, width.fillna(0).astype(int), height.fillna(0).astype(int))]
+    return pd.Series([x is not None and x >= BLACK_SHARE for x in shares], dtype=bool)
+
+
+def _byte_difference(a: bytes | None, b: bytes | None) -> float:
+    if not a or not b or len(a) != len(b):
+        return 255.0
+    x, y = (np.frombuffer(v, dtype=np.uint8).astype(np.int16) for v in (a, b))
+    return float(np.abs(x - y).sum(dtype=np.int64) / len(x))
+
+
+@F.pandas_udf(T.DoubleType())
+def mean_abs_diff_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
+    """`mean_abs_diff` for signatures of one byte a cell; null ones cannot be compared."""
+    return pd.Series([_byte_difference(*x) for x in zip(a, b)], dtype=float)
+
+
+@F.pandas_udf(T.BinaryType())
+def packed(values: pd.Series, size: pd.Series) -> pd.Series:
+    """Numbers of an array as bytes, as many for each as the second column says (1 or 4, little-endian)."""
+    return pd.Series([None if v is None else np.asarray(v).astype("u1" if n == 1 else "<u4").tobytes() for v, n in zip(values, size)])

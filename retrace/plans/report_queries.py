@@ -17,6 +17,7 @@ from retrace.operators import layout, reports
 from retrace.operators import search as S
 from retrace.plans.registry import EVENTS, FRAMES, LINES, SIGNATURES, Tables, query
 from retrace.sources import captures as sources
+from retrace.session import scratch_path
 from retrace.sources import logs, tables
 
 STATUS = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'empty' ELSE 'ok' END"
@@ -86,6 +87,15 @@ def latest_captures(t: Tables):
     return reports.latest(t.events(), 50).select("device", "day", "base")
 
 
+@query("newest_captures", f"WITH {EVENTS} SELECT device, day, base FROM ev ORDER BY day DESC, base DESC, device DESC LIMIT 50")
+def newest_captures(t: Tables):
+    """The same from a stored listing that came in two batches: only the newest days are read."""
+    folder = scratch_path(t.spark, "listing")
+    for half in (0, 1):
+        sources.add_to_listing(t.events().where(F.col("event_id") % 2 == half).select("device", "day", "base", "event_id"), folder, half)
+    return sources.newest(t.spark, folder, 50).select("device", "day", "base")
+
+
 @query("backfill_report", f"WITH {READ} SELECT status, count(*) AS n, CAST(sum(ocr_ms) AS DOUBLE) / count(*) AS mean_ms FROM rd GROUP BY status")
 def backfill_report(t: Tables):
     return reports.backfill_report(readings(t))
@@ -111,14 +121,15 @@ def missing_per_day(t: Tables):
 
 
 @query("secured_frames", f"""WITH {READ} SELECT event_id, status <> 'failed' AS readable, status IN ('ok', 'empty') AS secured,
-  ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06' AS in_range FROM rd WHERE status = 'ok' OR ocr_ms > 100""")
+  ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06' AS in_range FROM rd""")
 def secured_frames(t: Tables):
-    rows = readings(t).where((F.col("status") == "ok") | (F.col("ocr_ms") > 100))
-    inside = rows.select("event_id", "ts")
-    marked = S.in_range(inside, dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 6)).select("event_id", F.lit(True).alias("in_range"))
-    return rows.join(marked, "event_id", "left").select(
-        "event_id", (F.col("status") != "failed").alias("readable"), F.col("status").isin("ok", "empty").alias("secured"),
-        F.coalesce("in_range", F.lit(False)).alias("in_range"),
+    rows = readings(t)
+    frame = ["device", "day", "base"]
+    secured = logs.secured_stems(rows).withColumn("secured", F.lit(True))
+    inside = S.in_range(rows.select("event_id", "ts"), dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 6)).select("event_id", F.lit(True).alias("in_range"))
+    return rows.join(secured, frame, "left").join(inside, "event_id", "left").select(
+        "event_id", (F.col("status") != "failed").alias("readable"),
+        F.coalesce("secured", F.lit(False)).alias("secured"), F.coalesce("in_range", F.lit(False)).alias("in_range"),
     )
 
 
@@ -304,18 +315,38 @@ def signature_brightness(t: Tables):
 CUBE = "range(0, 1024)"
 
 
-@query("uninformative_frames", f"""WITH {SIGNATURES}, px AS (SELECT base, list_transform(range(0, 1024), lambda i: CASE WHEN sig[i // 16 + 1] > 140 THEN 17 ELSE 16 END) AS g FROM sigs),
+BLACK_FRAMES = f"""WITH {SIGNATURES}, px AS (SELECT base, list_transform(range(0, 1024), lambda i: CASE WHEN sig[i // 16 + 1] > 140 THEN 17 ELSE 16 END) AS g FROM sigs),
 c AS (SELECT base, cell, max(g[i + 1]) AS m FROM (SELECT base, g, unnest(range(0, 1024)) AS i, (i // 32 // 8) * 4 + (i % 32 // 8) AS cell FROM px) GROUP BY ALL)
-SELECT base, CAST(count(*) FILTER (WHERE m <= 16) AS DOUBLE) / count(*) >= 0.85 AS uninformative FROM c GROUP BY base""")
+SELECT base, CAST(count(*) FILTER (WHERE m <= 16) AS DOUBLE) / count(*) >= 0.85 AS uninformative FROM c GROUP BY base"""
+
+
+@query("uninformative_frames", BLACK_FRAMES)
 def uninformative_frames(t: Tables):
+    return drawn(t).select("base", P.uninformative(F.col("px"), F.lit(32), F.lit(32)).alias("uninformative"))
+
+
+@query("uninformative_frames_bytes", BLACK_FRAMES)
+def uninformative_frames_bytes(t: Tables):
+    """The same frames with their pixels as bytes."""
+    raw = drawn(t).select("base", P.packed(F.col("px"), F.lit(4)).alias("px"))
+    return raw.select("base", P.uninformative_bytes(F.col("px"), F.lit(32), F.lit(32)).alias("uninformative"))
+
+
+@query("adjacent_differences_bytes", DIFFS + " SELECT device, base, diff FROM df")
+def adjacent_differences_bytes(t: Tables):
+    """Signatures as bytes: what crosses from row to row is a byte a cell."""
+    raw = t.signatures().withColumn("sig", P.packed(F.col("sig"), F.lit(1)))
+    return reports.adjacent_differences(raw, P.mean_abs_diff_bytes).select("device", "base", "diff")
+
+
+def drawn(t: Tables):
     """Signatures drawn as 32x32 gray frames: a value above 140 lights sixteen pixels just enough to count."""
 
     def draw(sig):
         lit = lambda i: F.when(F.get(sig, F.floor(i / 16).cast("int")) > 140, 17).otherwise(16)
         return F.transform(F.transform(F.sequence(F.lit(0), F.lit(1023)), lit), lambda g: g * 65536 + g * 256 + g)
 
-    framed = t.signatures().select("base", X.let(F.col("sig"), draw).alias("px"))
-    return framed.select("base", P.uninformative(F.col("px"), F.lit(32), F.lit(32)).alias("uninformative"))
+    return t.signatures().select("base", X.let(F.col("sig"), draw).alias("px"))
 
 
 @query("latency_profile", f"""WITH {READ}, o AS (SELECT ocr_ms, row_number() OVER (ORDER BY ocr_ms) - 1 AS i, count(*) OVER () AS n FROM rd)

@@ -30,6 +30,46 @@ def listing(spark: SparkSession, root: str, device: str | None = "local", days:
     return describe(files.select("path", "length", "modificationTime"), device, days)
 
 
+def add_to_listing(captures: DataFrame, out: str, batch: int) -> None:
+    """Add a batch of captures to a stored listing: rows in folders by day, and captures per day. A retry overwrites its own."""
+    captures.write.mode("overwrite").partitionBy("day").parquet(f"{out}/rows/batch={batch}")
+    captures.groupBy("day").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/days/batch={batch}")
+
+
+def follow(spark: SparkSession, root: str, out: str, device: str | None = None, files_per_batch: int = 100_000) -> None:
+    """Add the images that are new below `root` since the last call to the listing in `out`.
+
+    The stream remembers what it has seen, so nobody holds all images at once; contents are never read.
+    """
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("pathGlobFilter", "*.[jJ][pP][gG]")
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(root)
+        .select("path", "length", "modificationTime")
+    )
+    add = lambda batch, number: add_to_listing(in_day_directories(describe(batch, device)), out, number)
+    query = files.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(add).start()
+    query.awaitTermination()
+
+
+def newest(spark: SparkSession, out: str, limit: int) -> DataFrame:
+    """The newest `limit` captures of a stored listing; only the days that can hold one of them are read."""
+    if limit <= 0:
+        return spark.read.parquet(f"{out}/rows").limit(0)
+    per_day = spark.read.parquet(f"{out}/days").groupBy("day").agg(F.sum("n").alias("n")).orderBy(F.desc("day"))
+    needed, seen = [], 0
+    for row in per_day.limit(limit).collect():  # one row per calendar day, and no more days than captures wanted
+        if seen >= limit:
+            break
+        needed.append(row["day"])
+        seen += row["n"]
+    rows = spark.read.parquet(f"{out}/rows").where(F.col("day").isin(needed)).withColumn("day", F.col("day").cast("string"))
+    return rows.orderBy(F.desc("day"), F.desc("base"), F.desc("device")).limit(limit)
+
+
 def describe(files: DataFrame, device: str | None = "local", days: list[str] | None = None) -> DataFrame:
     """Day, base name, generation and capture time from the path; names outside the convention have no time."""
     path = F.col("path")

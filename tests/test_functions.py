@@ -1,5 +1,8 @@
 import datetime as dt
+import time
 
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from helpers import at
@@ -98,6 +101,19 @@ def test_uninformative(spark):
     df = spark.createDataFrame([(n, px) for n, (px, _) in cases.items()], "name string, px array<int>")
     got = {r.name: r.u for r in df.select("name", P.uninformative(F.col("px"), F.lit(W), F.lit(H)).alias("u")).collect()}
     assert got == {n: want for n, (_, want) in cases.items()}
+    raw = df.select("name", P.packed("px", F.lit(4)).alias("px"))
+    got = {r.name: r.u for r in raw.select("name", P.uninformative_bytes("px", F.lit(W), F.lit(H)).alias("u")).collect()}
+    assert got == {n: want for n, (_, want) in cases.items()}
+    odd = spark.createDataFrame([(None, 8, 8), (b"", 8, 8), (bytes(4 * 64), 8, 8), (bytes(4 * 63), 8, 8), (bytes(4), 0, 1), (bytes(4), None, 1)], "px binary, w int, h int")
+    assert [r.u for r in odd.select(P.uninformative_bytes("px", "w", "h").alias("u")).collect()] == [False, False, True, False, False, False]
+
+
+def test_whole_screens_take_little_time():
+    screen = np.full((2400, 1080), NEAR & 0xFFFFFFFF, dtype="<u4")
+    screen[::7, ::11] = WHITE & 0xFFFFFFFF
+    raw, start = screen.tobytes(), time.perf_counter()
+    assert all(P._black_share(raw, 1080, 2400) < 0.85 for _ in range(10))
+    assert time.perf_counter() - start < 10  # twenty a second on an idle core
 
 
 def test_signature_difference(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helpers import tuples
 from retrace.operators import reports
 from retrace.sources import captures, logs, tables
+from retrace.streaming import live
 
 
 dumps = functools.partial(json.dumps, separators=(",", ":"))
@@ -112,3 +113,36 @@ def test_append_log(spark, tmp_path):
     tables.append_log(rows, str(tmp_path / "log"))
     tables.append_log(rows, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_listing_grows_and_newest_reads_few_days(spark, tmp_path):
+    def image(day, base):
+        path = tmp_path / "root" / "d" / day / f"{base}.jpg"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x")
+
+    out = str(tmp_path / "out")
+    for number in range(3):
+        image(f"2026-08-1{number}", "090000_000")
+        image(f"2026-08-1{number}", "100000_000")
+        image("2026-08-10", f"11000{number}_000")
+        captures.follow(spark, str(tmp_path / "root"), out)
+    assert spark.read.parquet(f"{out}/rows").count() == 9
+    found = captures.newest(spark, out, 3)
+    assert [(r.day, r.base) for r in found.collect()] == [("2026-08-12", "100000_000"), ("2026-08-12", "090000_000"), ("2026-08-11", "100000_000")]
+    pruned = found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "2026-08-12" in pruned and "2026-08-11" in pruned and "2026-08-10" not in pruned
+    assert captures.newest(spark, out, 99).count() == 9 and captures.newest(spark, out, 0).collect() == []
+
+
+def test_followed_log_reads_new_files_once(spark, tmp_path):
+    root, out = tmp_path / "root", str(tmp_path / "out")
+    write(root / "a" / "2026-01-01" / "gaps.jsonl", ['{"t":"090000_000","state":"sleep"}', "{torn", "", '{"state":"x"}'])
+    first = live.follow(spark, str(root), "gaps", out)
+    assert tuples(first.rows, "device", "base", "state") == [("a", "090000_000", "sleep")]
+    write(root / "b" / "2026-01-02" / "gaps.jsonl", ['{"t":"100000_000","state":"wake"}'])
+    write(root / "b" / "2026-01-02" / "other.jsonl", ['{"t":"100000_000","state":"no"}'])
+    second = live.follow(spark, str(root), "gaps", out)
+    assert tuples(second.rows, "device", "day", "state") == [("a", "2026-01-01", "sleep"), ("b", "2026-01-02", "wake")]
+    assert tuples(second.ledger, "line_no", "reason", "line") == [(2, "invalid", "{torn"), (4, "no t", '{"state":"x"}')]
+    assert live.follow(spark, str(root), "gaps", out).rows.count() == 2
