@@ -299,11 +299,11 @@ def _parities(hashes: np.ndarray, owner: np.ndarray, count: int) -> list[np.ndar
 _SKETCH = ["n", *[f"odd{i}" for i in range(4)], *[f"fp{i}" for i in range(4)]]
 
 
-def shingle_sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int, similarity: float, least: int | None = LEAST) -> DataFrame:
     """Rows (doc_id, digest, node, least hashes, n, odd..., fp...) for every row of `docs`, by its set of shingles.
 
-    Two sets within `similarity` s have a common shingle among their floor((1 - s) n) + 1 least ones. The LEAST least ones
-    are enough for larger sets: a pair has none in common with a probability below (1 - s) ** LEAST.
+    Two sets within `similarity` s have a common shingle among their floor((1 - s) n) + 1 least ones. The `least` least ones
+    are enough for larger sets: a pair has none in common with a probability below (1 - s) ** least. None takes them all.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -311,13 +311,14 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             hashes, owner, n = _distinct(*_shingles(batch.column("text"), words))
             starts = np.cumsum(n) - n
             node = mixed(np.add.reduceat(mixed(hashes + U64(1)), starts) + n.astype(U64)) if len(n) else hashes
-            first = np.minimum(np.floor((1 - similarity) * n + 1e-9).astype(np.int64) + 1, LEAST)
-            least = hashes[np.arange(len(hashes)) - starts[owner] < first[owner]]
+            first = np.floor((1 - similarity) * n + 1e-9).astype(np.int64) + 1
+            first = np.minimum(first, n if least is None else least)
+            lowest = hashes[np.arange(len(hashes)) - starts[owner] < first[owner]]
             sketch, lane = [n.astype(np.int64), *map(signed, _parities(hashes, owner, len(n)))], hashes
             for i in range(4):
                 sketch.append(signed(_majorities(lane, owner, len(n), n)))
                 lane = mixed(lane + U64(i + 1))
-            kept = [batch.column("doc_id"), batch.column("digest"), pa.array(signed(node)), lists(signed(least), first, pa.int64())]
+            kept = [batch.column("doc_id"), batch.column("digest"), pa.array(signed(node)), lists(signed(lowest), first, pa.int64())]
             yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, sketch)], ["doc_id", "digest", "node", "least", *_SKETCH])
 
     own = docs.select(
@@ -396,14 +397,15 @@ def similar_forest(group: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, sim
     return np.concatenate(a), np.concatenate(b)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, least: int | None = LEAST) -> DataFrame:
     """Rows (doc_id, digest, node, component_id) for every row of `docs`.
 
     Texts are linked when the Jaccard similarity of their sets of shingles of lower-case words is `similarity` or more, and
     texts without a word with each other. Sketches only propose groups; in each of them the sets themselves are compared.
+    `least` bounds the hashes by which a text looks for others, see `shingle_sets`; None makes the search sure.
     component_id, odd rows and empty tables are as in `near_groups`.
     """
-    rows = stored(shingle_sets(docs, words, similarity), "sets")
+    rows = stored(shingle_sets(docs, words, similarity, least), "sets")
     maybe = stored(components(candidates(rows, similarity)), "maybe")
     maybe = maybe.union(maybe.select(F.col("root").alias("node"), "root").distinct())
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")
@@ -434,14 +436,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     return rows.select("doc_id", "digest", "node").join(named, "node")
 
 
-def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, least: int | None = LEAST) -> DataFrame:
     """The rows of `docs` without those that have a near copy with a smaller doc_id in their group.
 
     Groups are those of `similar_groups`. One document of each group stays, that of the smallest doc_id, with all its columns;
     if its row is repeated, so it stays. A doc_id that repeats with other texts is judged text by text. Rows without doc_id
     stay only where no document with an id is near.
     """
-    groups = similar_groups(docs, words, similarity)
+    groups = similar_groups(docs, words, similarity, least)
     gone = groups.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_retrace_gone"), F.col("digest").alias("_retrace_text"))
     same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_retrace_gone")) & (text_digest(docs["text"]) == F.col("_retrace_text"))
     return docs.join(gone.distinct(), same, "left_anti")

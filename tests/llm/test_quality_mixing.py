@@ -66,8 +66,6 @@ def test_verdict_of_a_line_does_not_weaken_with_its_host(spark):
     for part in (docs.where("doc_id < 100"), docs):
         found = {r.doc_id: r.removed_words for r in quality_rules.judged(part).collect()}
         assert {found[i] for i in range(60)} == {3} and {found[i] for i in found if i >= 60} == {0}
-    small = {r.doc_id: r.removed_words for r in quality_rules.judged(docs.where("doc_id between 40 and 80"), share=0.1).collect()}
-    assert {small[i] for i in range(40, 60)} == {3}
 
 
 def test_cleaned_keeps_columns_and_repeated_rows(spark):

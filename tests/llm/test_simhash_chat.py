@@ -132,8 +132,8 @@ def test_pairs_around_the_similarity_are_found_and_no_others(spark, monkeypatch)
     texts += ["spam " * 50, "spam " * 51, "", " \n", "spam spam"]
     want = brute_similar(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    for _ in range(2):
-        found = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    for least in (simhash.LEAST, None):
+        found = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, least=least).collect()}
         assert [found[i] for i in range(len(texts))] == want
         monkeypatch.setattr(simhash, "BLOCK", 20)  # several blocks in cells and groups
         monkeypatch.setattr(simhash, "ROOM", 2000)
