@@ -245,14 +245,15 @@ def character_coverage(pairs: DataFrame) -> DataFrame:
     )
 
 
-def layout_effect(pairs: DataFrame) -> DataFrame:
-    """Per frame: lines before, lines and regions after the layout step."""
+def layout_effect(pairs: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Per frame: lines before, lines and regions after the layout step, and boxes that it cut (`layout.cut_counts`)."""
     lines = lambda c: F.size(F.filter(split_lines(c), lambda s: s != "")).cast("bigint")
-    return pairs.select(
+    return pairs.join(cuts, "frame_id", "left").select(
         "frame_id",
         lines("text_a").alias("old_lines"),
         lines("text_b").alias("new_lines"),
         F.size(F.split("text_b", "\n\n", -1)).cast("bigint").alias("regions"),
+        F.coalesce("cut", F.lit(0)).alias("cut"),
     )
 
 

@@ -375,9 +375,30 @@ def character_coverage(t: Tables):
 
 
 @query("layout_effect", f"""WITH {TWO} SELECT frame_id, CAST(len(list_filter(string_split(text_a, chr(10)), lambda s: s <> '')) AS BIGINT) AS old_lines,
-  CAST(len(list_filter(string_split(text_b, chr(10)), lambda s: s <> '')) AS BIGINT) AS new_lines, CAST(len(string_split(text_b, chr(10) || chr(10))) AS BIGINT) AS regions FROM two""")
+  CAST(len(list_filter(string_split(text_b, chr(10)), lambda s: s <> '')) AS BIGINT) AS new_lines, CAST(len(string_split(text_b, chr(10) || chr(10))) AS BIGINT) AS regions,
+  CASE WHEN gen = 'en' AND frame_id % 3 <> 0 THEN 1 ELSE 0 END AS cut FROM two""")
 def layout_effect(t: Tables):
-    return reports.layout_effect(two_readings(t))
+    return reports.layout_effect(two_readings(t), layout.cut_counts(*bordered(t)))
+
+
+def bordered(t: Tables):
+    """A box 120 wide per document, high unless it is English, and a border through two of three."""
+    docs = t.table("documents").select(F.col("doc_id").alias("frame_id"), F.col("source").alias("text"), "lang")
+    middle = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: (i - 0.5) * 120.0 / F.length("text"))
+    high = F.when(F.col("lang") == "en", 10.0).otherwise(30.0)
+    boxes = docs.select("frame_id", "text", F.lit(0.0).alias("x"), F.lit(100.0).alias("y"), F.lit(120.0).alias("w"), high.alias("h"), middle.alias("char_x"))
+    at = (F.lit(10) + F.col("frame_id") % 100).cast("double")
+    borders = docs.where(F.col("frame_id") % 3 != 0).select("frame_id", F.lit("v").alias("axis"), at.alias("at"), F.lit(0.0).alias("lo"), F.lit(1000.0).alias("hi"))
+    return boxes, borders
+
+
+@query("cut_boxes", """WITH b AS (SELECT doc_id AS frame_id, source AS text, lang = 'en' AND doc_id % 3 <> 0 AS cut, CAST(10 + doc_id % 100 AS DOUBLE) AS border FROM documents),
+k AS (SELECT *, CASE WHEN cut THEN len(list_filter(range(1, length(text) + 1), lambda i: (i - 0.5) * 120.0 / length(text) <= border)) ELSE length(text) END AS k FROM b)
+SELECT frame_id, substr(text, 1, k) AS text, 0.0::DOUBLE AS x, CASE WHEN k < length(text) THEN border ELSE 120.0 END AS w FROM k WHERE k > 0
+UNION ALL SELECT frame_id, substr(text, k + 1), border, 120.0 - border FROM k WHERE k < length(text)""")
+def cut_boxes(t: Tables):
+    """Characters on the two sides of a border."""
+    return layout.cut_boxes(*bordered(t)).select("frame_id", "text", "x", "w")
 
 
 @query("version_diff", f"""WITH {TWO}, o AS (SELECT frame_id, text_a AS text, gen FROM two WHERE gen <> 'de'), n AS (SELECT frame_id, text_b AS text, gen FROM two WHERE gen <> 'fr')
