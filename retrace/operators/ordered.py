@@ -3,8 +3,9 @@
 A plain `Window.partitionBy(device)` puts a whole device into one task. Here a key is cut into one slice per SLICE_ROWS of
 its rows along its order, the window runs inside each (key, slice), and what has to cross a slice border (previous row,
 running total, last known value) comes from a table with one row per slice of the keys that were cut: at most two for every
-SLICE_ROWS rows of the input. It is broadcast, and checkpointed as well, so a chain of operators stays a chain and does not
-double with every step. Where every key is one slice there are no borders, and the window alone is left.
+SLICE_ROWS rows of the input. It is checkpointed, so Spark knows its size and broadcasts it only if it is small, and a chain
+of operators stays a chain and does not double with every step. Where every key is one slice there are no borders, and the
+window alone is left.
 
 The layout is found by counting rows per key, once for a chain: a step on rows derived from an earlier step's takes over that
 step's layout (`like`) if its keys are the same, or if no key was cut.
@@ -152,7 +153,8 @@ class Ordered:
         return parts.select(*self.keys, SLICE, *[c.alias(n) for n, c in carried.items()])
 
     def _attach(self, borders: DataFrame) -> DataFrame:
-        return join_same(self.df, F.broadcast(materialise(borders)), self.keys + [SLICE], "left")
+        # stored, so Spark knows its size: broadcast if small, else joined by key and slice, which are even
+        return join_same(self.df, materialise(borders), self.keys + [SLICE], "left")
 
     def _slices(self):
         return Window.partitionBy(*self.keys).orderBy(SLICE)

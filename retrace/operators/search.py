@@ -125,8 +125,7 @@ def search(
         partial = ~found
         lines = lines.where(exact | partial).withColumn("hits", F.array(F.lit(0)))
     ranked = rank_windows(lines, keys, limit)
-    # `ranked` holds at most `limit` rows
-    picked = lines.join(F.broadcast(ranked), [*keys, "win"]) if limit is not None else lines.join(ranked, [*keys, "win"])
+    picked = lines.join(ranked, [*keys, "win"])  # broadcast by Spark if the caller's limit leaves little
     w = Window.partitionBy(*keys, "win").orderBy("last_seen", "line")
     top = picked.withColumn("line_no", F.row_number().over(w))
     if max_lines is not None:
