@@ -109,5 +109,9 @@ def mean_abs_diff_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BinaryType())
 def packed(values: pd.Series, size: pd.Series) -> pd.Series:
-    """Numbers of an array as bytes, as many for each as the second column says (1 or 4, little-endian)."""
+    """Numbers of an array as bytes, as many for each as the second column says (1 or 4, little-endian).
+
+    Like any Python function it must not be handed an expression in which a lambda uses the variable of one around it: Spark
+    looks for that variable among the columns and leaves the call unplanned.
+    """
     return pd.Series([None if v is None else np.asarray(v).astype("u1" if n == 1 else "<u4").tobytes() for v, n in zip(values, size)])

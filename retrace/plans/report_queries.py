@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from retrace.functions import captures as C
 from retrace.functions import keys as K
 from retrace.functions import pixels as P
-from retrace.functions import text as X
 from retrace.operators import attribution as At
 from retrace.operators import dictionary as D
 from retrace.operators import layout, reports
@@ -341,12 +340,14 @@ def adjacent_differences_bytes(t: Tables):
 
 def drawn(t: Tables):
     """Signatures drawn as 32x32 gray frames: a value above 140 lights sixteen pixels just enough to count."""
+    return t.signatures().select("base", drawn_pixels(F.col("sig")).alias("px"))
 
-    def draw(sig):
-        lit = lambda i: F.when(F.get(sig, F.floor(i / 16).cast("int")) > 140, 17).otherwise(16)
-        return F.transform(F.transform(F.sequence(F.lit(0), F.lit(1023)), lit), lambda g: g * 65536 + g * 256 + g)
 
-    return t.signatures().select("base", X.let(F.col("sig"), draw).alias("px"))
+def drawn_pixels(sig):
+    """64 runs of sixteen pixels; values that are missing leave theirs black. No lambda uses another one's variable."""
+    values = F.slice(F.concat(F.coalesce(sig, F.array().cast("array<int>")), F.array_repeat(F.lit(0), 64)), 1, 64)
+    gray = lambda v: F.when(v > 140, 17).otherwise(16)
+    return F.flatten(F.transform(F.transform(values, gray), lambda g: F.array_repeat(g * 65536 + g * 256 + g, 16)))
 
 
 @query("latency_profile", f"""WITH {READ}, o AS (SELECT ocr_ms, row_number() OVER (ORDER BY ocr_ms) - 1 AS i, count(*) OVER () AS n FROM rd)

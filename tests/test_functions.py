@@ -108,6 +108,18 @@ def test_uninformative(spark):
     assert [r.u for r in odd.select(P.uninformative_bytes("px", "w", "h").alias("u")).collect()] == [False, False, True, False, False, False]
 
 
+def test_drawn_frames_are_packed_every_time(spark):
+    from retrace.plans.catalog import QUERIES
+    from retrace.plans.report_queries import drawn_pixels
+
+    want = sorted(map(tuple, QUERIES["uninformative_frames"](spark, "/root/testdata/sf0.001").collect()))
+    for _ in range(3):
+        assert sorted(map(tuple, QUERIES["uninformative_frames_bytes"](spark, "/root/testdata/sf0.001").collect())) == want
+    df = spark.createDataFrame([(1, [0, 141, None]), (2, None), (3, [255] * 70)], "id int, sig array<int>")
+    lit = {r.id: [p & 255 for p in r.px] for r in df.select("id", drawn_pixels(F.col("sig")).alias("px")).collect()}
+    assert lit == {1: [16] * 16 + [17] * 16 + [16] * 992, 2: [16] * 1024, 3: [17] * 1024}
+
+
 def test_whole_screens_take_little_time():
     screen = np.full((2400, 1080), NEAR & 0xFFFFFFFF, dtype="<u4")
     screen[::7, ::11] = WHITE & 0xFFFFFFFF
