@@ -284,11 +284,14 @@ def text_survival(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def stratified_sample(frames: DataFrame, strata: int, per_stratum: int, seed: int = 7, **layout) -> DataFrame:
-    """Frames spread over quantiles of their line count, the same number from each."""
-    o = Ordered.of(frames, [], ["lines", "device", "base"], by="lines", **layout).row_number("_n")
+    """Frames spread over quantiles of their line count, the same number from each.
+
+    Frames of one device at the same time of different days share a digest; their day decides between them.
+    """
+    o = Ordered.of(frames, [], ["lines", "device", "base", "day"], by="lines", **layout).row_number("_n")
     total = frames.agg(_rows().alias("n")).scalar()
     banded = o.done().withColumn("stratum", F.floor((F.col("_n") - 1) * strata / total).cast("bigint"))
-    w = Window.partitionBy("stratum").orderBy(_shuffled(seed, "device", "base"), "device", "base")
+    w = Window.partitionBy("stratum").orderBy(_shuffled(seed, "device", "base"), "device", "base", "day")
     return banded.withColumn("_pick", F.row_number().over(w)).where(F.col("_pick") <= per_stratum).drop("_n", "_pick")
 
 

@@ -218,3 +218,10 @@ def test_cut_at_border(spark):
     wide = boxes(spark, [(chars, 10.0, 90.0, 380.0, centres)])
     cut = layout.cut_boxes(wide, borders(spark, [("v", 199.0, 0.0, 200.0), ("v", 201.0, 0.0, 200.0)]))
     assert tuples(cut, "text", "x", "w") == [("ab cd", 10.0, 190.0), ("ef", 200.0, 190.0)]
+
+
+def test_stratified_sample_does_not_depend_on_the_order_of_rows(spark):
+    rows = [("d", f"2024-01-{day:02}", "120000_000", 5) for day in range(1, 20)]
+    for placed in (rows, rows[::-1]):
+        df = spark.createDataFrame(placed, "device string, day string, base string, lines bigint").coalesce(1)
+        assert [r.day for r in reports.stratified_sample(df, 1, 2).orderBy("day").collect()] == ["2024-01-01", "2024-01-02"]
