@@ -13,30 +13,43 @@ from retrace.streaming import live, machines, stateful, windows
 
 
 BATCHES = 4
+FILE_ROWS = 20_000  # rows of all batches for each file of one
 DELAY_MS, SLICE_MS = 7_200_000, 3_600_000
-_arrivals: dict[tuple, str] = {}
+_arrivals: dict[tuple, tuple[str, int]] = {}
 
 
-def arrivals(t: Tables, name: str, rows) -> str:
-    """Folder with `rows` (arrival time in `_arrival`, in seconds) as one file per batch, in the order of arrival."""
+def arrivals(t: Tables, name: str, rows):
+    """Stream of `rows` in the order of arrival (`_arrival`, in seconds): BATCHES batches of equally many files each."""
     key = (t.spark.sparkContext.applicationId, t.folder, name)
     if key not in _arrivals:
         folder = scratch_path(t.spark, f"{name}-arrivals")
-        first, last = rows.agg(F.min("_arrival"), F.max("_arrival")).first()
+        first, last, n = rows.agg(F.min("_arrival"), F.max("_arrival"), F.count("*")).first()
+        files = max(1, min(-(-n // FILE_ROWS), int(t.spark.conf.get("spark.sql.shuffle.partitions"))))
         width = ((last or 0) - (first or 0)) / BATCHES or 1
         number = F.least(F.floor((F.col("_arrival") - F.lit(first or 0)) / width), F.lit(BATCHES - 1))
-        for i in range(BATCHES):  # one after the other: a stream takes the oldest file first
-            rows.where(number == i).drop("_arrival").coalesce(1).write.parquet(f"{folder}/batch{i}")
-        _arrivals[key] = folder
-    return _arrivals[key]
+        for i in range(BATCHES):  # one after the other: a stream takes the oldest files first
+            write_files(rows.where(number == i).drop("_arrival"), f"{folder}/batch{i}", files)
+        _arrivals[key] = folder, files
+    folder, files = _arrivals[key]
+    return stateful.open_table(t.spark, f"{folder}/*", "*.parquet", rows.drop("_arrival").schema, files)
+
+
+def write_files(rows, folder: str, files: int) -> None:
+    """Exactly `files` files, so that as many for each batch keep batches apart; empty ones stand in for parts without rows."""
+    placed = rows.coalesce(1) if files == 1 else rows.repartition(files)
+    placed.write.parquet(folder)
+    count = lambda: len(rows.sparkSession.read.schema(rows.schema).parquet(folder).inputFiles())
+    for _ in range(files - count()):
+        rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    if count() != files:
+        raise RuntimeError(f"{folder} holds {count()} files, not {files}")
 
 
 def event_stream(t: Tables):
     """Events as they arrive: every third device an hour behind the others, single rows up to 50 minutes late, four batches."""
     raw = t.table("events")
     late = (F.col("user_id") % 3 == 0).cast("long") * 3600 + F.col("event_id") % 6 * 600
-    folder = arrivals(t, "events", raw.withColumn("_arrival", F.unix_seconds(F.col("ts").cast("timestamp")) + late))
-    rows = stateful.open_table(t.spark, f"{folder}/*", "*.parquet", raw.schema, 1)
+    rows = arrivals(t, "events", raw.withColumn("_arrival", F.unix_seconds(F.col("ts").cast("timestamp")) + late))
     ts = F.col("ts").cast("timestamp")
     return rows.select(
         F.col("user_id").alias("device"), ts.alias("ts"), F.date_format(ts, "yyyy-MM-dd").alias("day"), "event_id", "event_type", "value"
@@ -118,8 +131,7 @@ def stream_near_duplicates(t: Tables):
     """Kept frames, each with dwell and end of the one before it; frames come in four batches."""
     raw = t.table("documents")
     ts = F.timestamp_micros((F.lit(1704067200) + F.col("doc_id") * 5) * 1_000_000 + F.col("n_chars") * 1000)
-    folder = arrivals(t, "documents", raw.withColumn("_arrival", F.unix_seconds(ts) + F.col("doc_id") % 4 * 10))
-    stream = stateful.open_table(t.spark, f"{folder}/*", "*.parquet", raw.schema, 1)
+    stream = arrivals(t, "documents", raw.withColumn("_arrival", F.unix_seconds(ts) + F.col("doc_id") % 4 * 10))
     rows = stream.select(F.col("source").alias("device"), ts.alias("ts"), F.date_format(ts, "HHmmss_SSS").alias("base"), "text", "doc_id")
     return stateful.to_files(stateful.run_machine(rows, machines.NearDuplicateLog(0.25), tie="doc_id"), "near-duplicates")
 
@@ -190,8 +202,7 @@ def stream_once(t: Tables):
     raw = t.table("events")
     copies = raw.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     late = (F.col("user_id") % 3 == 0).cast("long") * 3600 + F.col("copy") * (F.col("event_id") % 24) * 3600
-    folder = arrivals(t, "copies", copies.withColumn("_arrival", F.unix_seconds(F.col("ts").cast("timestamp")) + late).drop("copy"))
-    stream = stateful.open_table(t.spark, f"{folder}/*", "*.parquet", raw.schema, 1)
+    stream = arrivals(t, "copies", copies.withColumn("_arrival", F.unix_seconds(F.col("ts").cast("timestamp")) + late).drop("copy"))
     rows = stream.select(F.col("user_id").alias("device"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     return stateful.to_files(windows.once(rows, ["device", "event_id"]).select("device", "event_id"), "once")
 

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from retrace.streaming.machines import Sessions
 from retrace.streaming.stateful import DELAY_MS, SLICE_MS, STATE_STORE, run_machine
 
-MINUTE_US = 60_000_000
-#: hashed parts of the identities; a busy device is spread over all of them
-SPREAD = 64
-
 
 def sessions(stream: DataFrame, gap_seconds: int, delay_ms: int = DELAY_MS, slice_ms: int = SLICE_MS, key: str = "device") -> DataFrame:
     """Sessions of each device, given out once its own horizon is a pause behind them."""
@@ -35,54 +28,15 @@ def last_hour(counts: DataFrame, now) -> DataFrame:
     return recent.groupBy("status").agg(F.sum("n").alias("n"))
 
 
-class OncePerIdentity(StatefulProcessor):
-    """Passes a row unless its identity was seen; identities are kept per minute of event time, each for a while."""
-
-    def __init__(self, keep_ms: int, names: list[str]):
-        self.keep_ms, self.names = keep_ms, names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "minute long", "identities string")
-        self.stamps = handle.getValueState("stamps", "json string")  # minute: clock when it last got an identity
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known, changed = {}, set()
-        for row in rows:
-            minute = row["_minute"]
-            if minute not in known:
-                found = self.seen.getValue((minute,))
-                known[minute] = set(json.loads(found[0])) if found is not None else set()
-            if row["_identity"] not in known[minute]:
-                known[minute].add(row["_identity"])
-                changed.add(minute)
-                yield Row(**{n: row[n] for n in self.names})
-        now = int(time.time() * 1000)
-        stamps = json.loads(self.stamps.get()[0]) if self.stamps.exists() else {}
-        for minute in changed:
-            self.seen.updateValue((minute,), (json.dumps(sorted(known[minute])),))
-            stamps[str(minute)] = now
-        for minute in [m for m, stamp in stamps.items() if now - stamp > self.keep_ms]:
-            self.seen.removeKey((int(minute),))
-            del stamps[minute]
-        self.stamps.update((json.dumps(stamps),))
-
-    def close(self) -> None:
-        pass
-
-
-def once(stream: DataFrame, identity: list[str], keep_ms: int = 3_600_000, spread: int = SPREAD) -> DataFrame:
+def once(stream: DataFrame, identity: list[str], keep_ms: int = 3_600_000) -> DataFrame:
     """Overlapping queries deliver rows twice; each identity passes once.
 
-    `stream` has `ts`; equal identities have equal times. An identity is remembered for `keep_ms` of the machine's clock after
-    the last new one of its minute came, whatever its event time: a device may be as late as it likes.
+    An identity is remembered for `keep_ms` of the machine's clock at least, whatever its event time: a device may be as late as
+    it likes. The watermark is one of the clock, of which all rows of a batch have the same time, so none is too late.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    own = F.to_json(F.struct(*identity), {"ignoreNullFields": "false"})
-    minute = F.floor(F.coalesce(F.unix_micros("ts"), F.lit(0)) / MINUTE_US).cast("bigint")
-    rows = stream.withColumns({"_identity": own, "_minute": minute}).withColumn("_part", F.pmod(F.xxhash64("_identity"), F.lit(spread)))
-    return rows.groupBy("_part").transformWithState(
-        OncePerIdentity(keep_ms, stream.columns), outputStructType=stream.schema, outputMode="append", timeMode="none"
-    )
+    clocked = stream.withColumn("_clock", F.current_timestamp()).withWatermark("_clock", f"{keep_ms} milliseconds")
+    return clocked.dropDuplicatesWithinWatermark(identity).drop("_clock")
 
 
 def ingest(fresh: DataFrame, backlog: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str):

@@ -1,11 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import tuples
 from retrace.sources import tables
 from retrace.streaming import machines as M
 from retrace.streaming import stateful, windows
+from test_queries import FOLDER, SQL, QUERIES, canonical, duck  # noqa: F401
 
 
 def feed(machine, rows):
@@ -191,3 +193,24 @@ def test_running_stats_stop_at_zero_after_each_deletion():
     row = lambda us, n, size: {"us": us, "n": n, "bytes": size}
     out, _ = feed(M.RunningStats(), [row(1, 1, 10), row(2, -5, -50), row(3, 3, 30)])
     assert out == [{"us": 3, "count": 3, "bytes": 30, "first": 1, "last": 3}]
+
+
+@pytest.mark.parametrize("name", ["stream_foreground_log", "stream_once", "stream_near_duplicates"])
+def test_batches_of_many_files_give_the_rows_of_one(spark, duck, monkeypatch, name):  # noqa: F811
+    """No task writes or reads a whole batch, and batches stay apart."""
+    from retrace.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 50)
+    monkeypatch.setattr(stream_queries, "_arrivals", {})
+    df = QUERIES[name](spark, FOLDER)
+    cursor = duck.execute(SQL[name])
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(cursor.fetchall(), [d[0] for d in cursor.description])
+    assert [files for _, files in stream_queries._arrivals.values()] == [4]
+
+
+def test_batches_have_equally_many_files(spark, tmp_path):
+    from retrace.plans.stream_queries import write_files
+
+    for n in (0, 2, 100):
+        write_files(spark.range(n), str(tmp_path / str(n)), 5)
+        assert len(list((tmp_path / str(n)).glob("*.parquet"))) == 5 and spark.read.parquet(str(tmp_path / str(n))).count() == n
