@@ -9,8 +9,10 @@ Fingerprints that share a cell are compared exactly.
 Distinct fingerprints are compared, not documents. A crowded cell is cut into blocks of hashed members and every pair of
 blocks is a task's unit of work. Whatever its size, a unit returns a forest that connects what is linked, not the linked pairs.
 
-Near copies by Jaccard similarity take two steps of the same kind: cells of the least shingle hashes and sketches that never
-tell similar sets apart propose groups, and the sets of shingles of each group are compared exactly.
+Near copies by Jaccard similarity are proposed by the same grids, over two fingerprints of a set of shingles: points that share
+a cell and whose sketches cannot tell their sets apart belong to one proposed group. Fingerprints of sets that are just similar
+enough often share no cell, so groups that the grids left apart are looked up once more by the least hashes of their sets. The
+sets of each proposed group are then compared exactly.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ GROUPS = 8
 BLOCK = 2048
 SMALL = 48
 LEAST = 24
+#: fingerprints of a set of shingles whose grids propose near copies
+LANES = 2
 #: shingles in a block of a proposed group
 ROOM = 1 << 20
 _ODD = 0x5555555555555555
@@ -343,24 +347,58 @@ def _maybe(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray
     return fits & ((a + b < 800) | (turned <= radius))
 
 
-def candidates(rows: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) of forests that connect what pairs of sets with a common cell and fitting sketches connect.
+def grid_candidates(points: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of forests that connect what pairs of points with a common grid cell and fitting sketches connect.
 
-    Of cells with the same members one is enough.
+    `points` has one row (node, sketch) per set.
     """
-    cells = rows.select("node", F.explode("least").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("cell")
+    spread = points.select("node", F.array(*[_counts(f"fp{i}") for i in range(LANES)]).alias("counts"))
+    spread = spread.repartition(int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    masks = F.array(*[_literal(mask) for mask in _masks(4, None)])
+    lane = spread.select("node", F.posexplode("counts").alias("lane", "counts"))
+    grid = lane.select("node", "lane", "counts", F.explode(masks).alias("mask"))
+    cell = grid.select("node", F.xxhash64("lane", "mask", F.col("counts").bitwiseAND(F.col("mask"))).alias("cell"))
+    shared = cell.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    return _fitting(cell.join(shared.hint("merge"), "cell"), points, _SKETCH, partial(_maybe, similarity=similarity))
+
+
+def rest_candidates(rows: DataFrame, points: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between sets that the grids left apart: forests over common least hashes and fitting sketches.
+
+    `joined` has the node (node, root) on which the grids hung a node. Cells all of whose nodes hang on one are left out, and of
+    cells with the same members one is enough.
+    """
+    cell = rows.select("node", "least").join(joined.hint("merge"), "node", "left")
+    cell = cell.select("node", F.explode("least").alias("cell"), F.coalesce("root", "node").alias("root"))
+    shared = cell.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
     # every node once, whatever the number of its documents
-    member = stored(cells.join(shared, "cell").distinct(), "cells")
+    member = stored(cell.join(shared, "cell").distinct(), "cells")
     alike = member.groupBy("cell").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
     )
     kept = alike.groupBy("n", "x", "y").agg(F.min("cell").alias("cell"))
     kept = kept.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    sketches = rows.select("node", *_SKETCH).distinct()
-    dealt = _units(member.join(kept, "cell").join(sketches, "node"), "cell", _SKETCH)
-    fits = partial(_maybe, similarity=similarity)
-    return _edges(dealt, lambda table: link_groups(table.column("unit").to_numpy(), _columns(table, _SKETCH), fits))
+
+    def near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left[..., -1] == right[..., -1]) | _maybe(left[..., :-1], right[..., :-1], similarity)
+
+    return _fitting(member.join(kept, "cell"), points, [*_SKETCH, "root"], near)
+
+
+def _fitting(member: DataFrame, points: DataFrame, columns: list[str], near: Near) -> DataFrame:
+    """Edges of the forests in each cell of `member` (node, cell, parts, ...), by the sketches of its points."""
+    dealt = _units(member.join(points.hint("merge"), "node"), "cell", columns)
+    return _edges(dealt, lambda table: link_groups(table.column("unit").to_numpy(), _columns(table, columns), near))
+
+
+def proposed_groups(rows: DataFrame, similarity: float) -> DataFrame:
+    """Rows (node, root) of all sets in a group of several: what the grids join, joined further by what they left apart."""
+    points = stored(rows.select("node", *_SKETCH).distinct(), "points")
+    edges = stored(grid_candidates(points, similarity), "joined")
+    joined = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    maybe = stored(components(edges.union(rest_candidates(rows, points, joined, similarity))), "maybe")
+    return maybe.union(maybe.select(F.col("root").alias("node"), "root").distinct())
 
 
 def similar_forest(group: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -401,13 +439,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lea
     """Rows (doc_id, digest, node, component_id) for every row of `docs`.
 
     Texts are linked when the Jaccard similarity of their sets of shingles of lower-case words is `similarity` or more, and
-    texts without a word with each other. Sketches only propose groups; in each of them the sets themselves are compared.
-    `least` bounds the hashes by which a text looks for others, see `shingle_sets`; None makes the search sure.
+    texts without a word with each other. Fingerprints, least hashes and sketches only propose groups; in each of them the sets
+    themselves are compared. `least` bounds the hashes by which a text looks for others beside its grid cells, see
+    `shingle_sets`; None makes the search sure.
     component_id, odd rows and empty tables are as in `near_groups`.
     """
     rows = stored(shingle_sets(docs, words, similarity, least), "sets")
-    maybe = stored(components(candidates(rows, similarity)), "maybe")
-    maybe = maybe.union(maybe.select(F.col("root").alias("node"), "root").distinct())
+    maybe = proposed_groups(rows, similarity)
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")
     points = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(own).alias("own"))
     chosen = points.join(maybe, "node").select("node", "root", "own.doc_id", "own.digest", "own.n")

@@ -140,6 +140,41 @@ def test_pairs_around_the_similarity_are_found_and_no_others(spark, monkeypatch)
     assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == set(want)
 
 
+def test_fingerprint_grids_propose_and_least_hashes_look_up_the_rest(spark, monkeypatch):
+    draw, texts = random.Random(17), []
+    for i in range(120):  # pairs of two, similar by about 0.8 to 0.98
+        words = [f"w{draw.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for at in range(1 + i % 6):
+            other[at * 50 + 20] = f"x{i}.{at}"
+        texts += [" ".join(words), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = simhash.shingle_sets(docs, 5, 0.8).localCheckpoint()
+    points = rows.select("node", *simhash._SKETCH).distinct()
+    place = {r.node: r.doc_id for r in rows.collect()}
+    edges = {tuple(sorted((place[r.a], place[r.b]))) for r in simhash.grid_candidates(points, 0.8).collect()}
+    prints, want = {r.node: (r.fp0, r.fp1) for r in points.collect()}, set()
+    for a in prints:
+        for b in prints:
+            lanes = zip(prints[a], prints[b], strict=True)
+            if place[b] == place[a] + 1 and place[a] % 2 == 0 and any(len(equal_groups(x, y)) >= 4 for x, y in lanes):
+                want.add((place[a], place[b]))
+    assert edges == want and 40 < len(edges) < 120
+    joined = simhash.grid_candidates(points, 0.8).toDF("node", "root")
+    found = {tuple(sorted((place[r.a], place[r.b]))) for r in simhash.rest_candidates(rows, points, joined, 0.8).collect()}
+    assert not found & edges
+    assert found | edges >= {(i, i + 1) for i in range(0, 240, 2) if brute_similar(texts[i : i + 2]) == [0, 0]}
+    monkeypatch.setattr(simhash, "rest_candidates", lambda *_: spark.createDataFrame([], "a long, b long"))
+    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert {i for i, c in groups.items() if i != c} <= {b for _, b in edges}
+
+
+def equal_groups(x, y):
+    """Groups of coordinates, of eight, in which two fingerprints have equal bit counts of their 2-bit segments."""
+    differs = {s % 8 for s in range(32) if bin(x >> 2 * s & 3).count("1") != bin(y >> 2 * s & 3).count("1")}
+    return set(range(8)) - differs
+
+
 def test_preference_pairs(spark):
     turns = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "more"), (1, 3, "assistant", "yes"),
