@@ -9,8 +9,8 @@ Fingerprints that share a cell are compared exactly.
 Distinct fingerprints are compared, not documents. A crowded cell is cut into blocks of hashed members and every pair of
 blocks is a task's unit of work. Whatever its size, a unit returns a forest that connects what is linked, not the linked pairs.
 
-Near copies by Jaccard similarity are proposed by the same grids, over two fingerprints of a set of shingles: points that share
-a cell and whose sketches cannot tell their sets apart belong to one proposed group. Fingerprints of sets that are just similar
+Near copies by Jaccard similarity are proposed by such grids, over two fingerprints of a set of shingles, with more groups in a
+cell the more sets there are, so that chance meetings don't grow with their square: points that share a cell and whose sketches cannot tell their sets apart belong to one proposed group. Fingerprints of sets that are just similar
 enough often share no cell, so groups that the grids left apart are looked up once more by the least hashes of their sets. The
 sets of each proposed group are then compared exactly.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ SMALL = 48
 LEAST = 24
 #: fingerprints of a set of shingles whose grids propose near copies
 LANES = 2
+#: random others that a set may meet in its cells
+CHANCE = 0.25
 #: shingles in a block of a proposed group
 ROOM = 1 << 20
 _ODD = 0x5555555555555555
@@ -347,14 +350,28 @@ def _maybe(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray
     return fits & ((a + b < 800) | (turned <= radius))
 
 
+def fineness(points: int) -> int:
+    """Groups that a cell keeps so that of `points` random fingerprints each meets at most CHANCE others in all its cells.
+
+    Two random segments have equal bit counts with a probability of 3/8. With a fixed number of groups chance meetings would grow
+    with the square of the points. At least half of the groups are kept.
+    """
+    for kept in range(GROUPS // 2, GROUPS):
+        if LANES * comb(GROUPS, kept) * (3 / 8) ** (32 // GROUPS * kept) * points <= CHANCE:
+            return kept
+    return GROUPS
+
+
 def grid_candidates(points: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) of forests that connect what pairs of points with a common grid cell and fitting sketches connect.
 
-    `points` has one row (node, sketch) per set.
+    `points` has one row (node, sketch) per set. The more points, the finer the cells; what shares none is left to
+    `rest_candidates`.
     """
+    kept = fineness(points.count())
     spread = points.select("node", F.array(*[_counts(f"fp{i}") for i in range(LANES)]).alias("counts"))
     spread = spread.repartition(int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    masks = F.array(*[_literal(mask) for mask in _masks(4, None)])
+    masks = F.array(*[_literal(mask) for mask in _masks(kept, None)])
     lane = spread.select("node", F.posexplode("counts").alias("lane", "counts"))
     grid = lane.select("node", "lane", "counts", F.explode(masks).alias("mask"))
     cell = grid.select("node", F.xxhash64("lane", "mask", F.col("counts").bitwiseAND(F.col("mask"))).alias("cell"))

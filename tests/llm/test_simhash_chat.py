@@ -3,6 +3,8 @@ from collections import Counter
 
 import fixtures
 import numpy as np
+import pandas as pd
+import pytest
 import xxhash
 
 from retrace.llm import chat_pairs, simhash
@@ -169,6 +171,22 @@ def test_fingerprint_grids_propose_and_least_hashes_look_up_the_rest(spark, monk
     assert {i for i, c in groups.items() if i != c} <= {b for _, b in edges}
 
 
+def test_chance_meetings_in_grids_do_not_grow_with_the_square(spark):
+    assert [simhash.fineness(n) for n in (0, 240, 40_000, 200_000, 10**7, 10**12)] == [4, 4, 5, 5, 6, 8]
+    met = {}
+    for n in (8_000, 40_000):  # random fingerprints, no near ones
+        draw = np.random.default_rng(n)
+        prints = [simhash.signed(draw.integers(0, 1 << 64, n, dtype=np.uint64)) for _ in range(8)]
+        columns = dict(zip(simhash._SKETCH, [np.full(n, 300), *prints], strict=True)) | {"node": np.arange(n)}
+        points = spark.createDataFrame(pd.DataFrame(columns)[["node", *simhash._SKETCH]]).localCheckpoint()
+        seen = []
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(simhash, "_fitting", lambda member, *_: seen.append(member.count()))
+            simhash.grid_candidates(points, 0.8)
+        met[n] = seen[0]
+    assert met[40_000] <= 2 * simhash.CHANCE * 40_000 and met[8_000] <= 2 * simhash.CHANCE * 8_000
+
+
 def equal_groups(x, y):
     """Groups of coordinates, of eight, in which two fingerprints have equal bit counts of their 2-bit segments."""
     differs = {s % 8 for s in range(32) if bin(x >> 2 * s & 3).count("1") != bin(y >> 2 * s & 3).count("1")}
