@@ -23,6 +23,7 @@ from retrace.streaming.machines import Machine, State
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HELD = 50_000  # rows of one device in memory; what comes beyond them waits in the state store
 CHUNK = 2_000  # rows in one entry of the state store
+FEW = 200  # so many waiting rows stay in the device's own entry, which is read and written once a batch
 DELAY_MS, SLICE_MS = 60_000, 60_000
 
 
@@ -30,13 +31,15 @@ class Waiting:
     """Rows of one device that wait for their time slice: some in memory, the rest as chunks in the state store.
 
     `counts` has the number of stored chunks per slice. A slice is read back when its turn comes, so memory holds HELD rows
-    and one slice.
+    and one slice. `few` are the rows that `rest` gave out after the last batch.
     """
 
-    def __init__(self, chunks, counts: dict[int, int], width: int):
+    def __init__(self, chunks, counts: dict[int, int], width: int, few: list = ()):
         self.chunks, self.counts, self.width = chunks, counts, width
         self.held: dict[int, list] = {}
         self.n = 0
+        for row in few:
+            self.add(row)
 
     def add(self, row: list) -> None:
         self.held.setdefault(row[0] // self.width, []).append(row)
@@ -52,6 +55,14 @@ class Waiting:
                 self.counts[slice_] = number + 1
         self.held, self.n = {}, 0
 
+    def rest(self) -> list:
+        """FEW rows at most, to be kept with the device; more of them are stored as chunks."""
+        few = [row for rows in self.held.values() for row in rows]
+        if len(few) <= FEW:
+            return few
+        self.store()
+        return []
+
     def released(self, before: int) -> Iterator[list]:
         """Rows of all slices before `before`, in order; they wait no longer."""
         for slice_ in sorted(s for s in {*self.held, *self.counts} if s < before):
@@ -99,44 +110,42 @@ class MachineProcessor(StatefulProcessor):
         self.names = [part.split(" ")[0] for part in machine.output.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.horizon = handle.getValueState("horizon", "newest long, released long, chunks string")
+        # one entry per device, since every call to the state store is a message to another process
+        self.device = handle.getValueState("device", "newest long, released long, chunks string, few string, json string")
         self.chunks = handle.getMapState("waiting", "slice long, number int", "rows string")
-        self.own = handle.getValueState("machine", "json string")
         self.parts = handle.getMapState("parts", "name string", "json string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest, released, chunks = self.horizon.get() if self.horizon.exists() else (None, None, "{}")
-        waiting = Waiting(self.chunks, {int(s): n for s, n in json.loads(chunks).items()}, self.width)
+        newest, released, chunks, few, own = self.device.get() or (None, None, "{}", "[]", "{}")
+        waiting = Waiting(self.chunks, {int(s): n for s, n in json.loads(chunks).items()}, self.width, json.loads(few))
+        out, at = Row(self.key, *self.names, "late_row"), None
         for row in rows:
-            values = [row[c] for c in self.columns]
+            at = at or [row.__fields__.index(c) for c in self.columns]
+            values = [row[i] for i in at]
             if released is not None and values[0] < released:
-                yield Row(**{self.key: key[0], **dict.fromkeys(self.names), "late_row": json.dumps(dict(zip(self.columns, values)))})
+                yield out(key[0], *[None] * len(self.names), json.dumps(dict(zip(self.columns, values))))
                 continue
             newest = values[0] if newest is None else max(newest, values[0])
             waiting.add(values)
-        state = State(json.loads(self.own.get()[0]) if self.own.exists() else {}, Slots(self.parts))
+        state = State(json.loads(own), Slots(self.parts))
         if newest is not None:
             before = (newest - self.delay) // self.width
             for values in waiting.released(before):
-                yield from self._rows(key, self.machine.step(state, dict(zip(self.columns, values))))
+                for found in self.machine.step(state, dict(zip(self.columns, values))):
+                    yield out(key[0], *[found.get(n) for n in self.names], None)
             released = before * self.width if released is None else max(released, before * self.width)
-            yield from self._rows(key, self.machine.finish(state, released))
-        waiting.store()
-        self.horizon.update((newest, released, json.dumps(waiting.counts)))
-        self.own.update((json.dumps(state),))
+            for found in self.machine.finish(state, released):
+                yield out(key[0], *[found.get(n) for n in self.names], None)
+        few = json.dumps(waiting.rest())
+        self.device.update((newest, released, json.dumps(waiting.counts), few, json.dumps(state)))
         state.slots.save()
 
-    def _rows(self, key, out: list[dict]) -> Iterator[Row]:
-        for found in out:
-            yield Row(**{self.key: key[0], **{n: found.get(n) for n in self.names}, "late_row": None})
-
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         """Start from history read in batch: rows before its newest one count as late from then on."""
         start = json.loads(initialState["json"])
-        self.own.update((json.dumps(start["own"]),))
         for name, part in start["parts"].items():
             self.parts.updateValue((name,), (json.dumps(part),))
-        self.horizon.update((start["newest"], start["newest"], "{}"))
+        self.device.update((start["newest"], start["newest"], "{}", "[]", json.dumps(start["own"])))
 
     def close(self) -> None:
         pass

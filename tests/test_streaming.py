@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from helpers import tuples
@@ -114,6 +115,65 @@ def test_shuffled_batches_give_the_rows_of_one(spark, tmp_path, monkeypatch):
     assert set(tuples(written.rows, "id", "streak")) == streaks(rows, 3, 54) and written.late.count() == 0
 
 
+class Calls:
+    """A state store in memory that counts the messages sent to it."""
+
+    def __init__(self):
+        self.known, self.n = {}, 0
+
+    def getValueState(self, name, *schemas):
+        return Entries(self, name)
+
+    getMapState = getValueState
+
+
+class Entries:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def _call(self, act, key=()):
+        self.store.n += 1
+        return act((self.name, *key))
+
+    def exists(self):
+        return self._call(self.store.known.__contains__)
+
+    def get(self):
+        return self._call(self.store.known.get)
+
+    def update(self, value):
+        self._call(lambda at: self.store.known.__setitem__(at, value))
+
+    def containsKey(self, key):
+        return self._call(self.store.known.__contains__, key)
+
+    def getValue(self, key):
+        return self._call(self.store.known.get, key)
+
+    def updateValue(self, key, value):
+        self._call(lambda at: self.store.known.__setitem__(at, value), key)
+
+    def removeKey(self, key):
+        self._call(lambda at: self.store.known.pop(at), key)
+
+
+def test_a_device_costs_two_messages_to_the_state_store_a_batch():
+    rows = [("d", i, i % 7 != 3) for i in range(300)]
+    for size in (20, 300):  # few waiting rows, and more than stay with the device
+        processor, store, found = stateful.MachineProcessor(M.FailureStreak(3), "device", 250_000, 1_000), Calls(), []
+        processor.init(store)
+        for at in range(0, 300, size):
+            batch = [Row(device="d", us=s * 10**6, tie=s, failed=f, id=s) for _, s, f in rows[at : at + size]]
+            before = store.n
+            found += [(r.id, r.streak) for r in processor.handleInputRows(("d",), iter(batch), None)]
+            if (at + size) <= 200:
+                assert store.n - before == 2
+        batch = [Row(device="d", us=600 * 10**6, tie=600, failed=False, id=600)]
+        found += [(r.id, r.streak) for r in processor.handleInputRows(("d",), iter(batch), None)]
+        assert set(found) == streaks(rows, 3, 300) and len(found) == len(set(found))
+        assert not [at for at in store.known if at[0] == "waiting"]
+
+
 def test_late_devices_lose_nothing(spark, tmp_path):
     """Four one-file batches, the last device an hour behind: sessions, counts, single deliveries and machine rows."""
     rows = [("a", 4000 + i, True) for i in range(20)], [("b", 4000 + i, True) for i in range(20)], [("a", 8000, True), ("b", 8000, True)], [
