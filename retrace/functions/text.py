@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,6 +141,46 @@ def gram_set(text: str | None, n: int = SHINGLE) -> frozenset[str]:
     return frozenset(filter(None, windows))
 
 
+_SHIFTS = np.array([48, 32, 16, 0], dtype=np.uint64)
+_SHORT, _WIDE = np.uint64(0xD800 << 48), np.uint64(0xDC00 << 48)  # no text begins with these units
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_ids(text: str | None) -> np.ndarray:
+    """The grams of `gram_set` as sorted distinct numbers: four 16-bit characters, or the whole of a shorter text.
+
+    Grams with characters beyond 16 bits go by 58 bits of a hash, in a range no other gram is in.
+    """
+    bare = "".join((text or "").split())
+    if not bare:
+        return np.empty(0, dtype=np.uint64)
+    units = np.frombuffer(bare.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    short = len(units) < SHINGLE
+    if short:
+        units = np.concatenate([units, np.zeros(SHINGLE - len(units), dtype=np.uint64)])
+    columns = [units[k : len(units) - SHINGLE + 1 + k] for k in range(SHINGLE)]
+    if short:
+        columns = [_SHORT >> _SHIFTS[0] | np.uint64(len(bare)) + columns[0] * np.uint64(0), *columns[:3]]
+    found = columns[0] << _SHIFTS[0]
+    for column, shift in zip(columns[1:], _SHIFTS[1:]):
+        found |= column << shift
+    if units.max() > 0xFFFF:
+        wide = np.max(columns, axis=0) > 0xFFFF
+        mixed = np.zeros(int(wide.sum()), dtype=np.uint64)
+        for column in columns:
+            mixed = (mixed ^ column[wide]) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+        found[wide] = _WIDE | mixed >> np.uint64(6)
+    found = np.sort(found)
+    return found[np.append(True, found[1:] != found[:-1])]
+
+
+def shared_ids(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted arrays of distinct ones share."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def overlap(a: frozenset[str], b: frozenset[str], both_empty: float) -> tuple[float, int]:
     """Worker-side twin of `jaccard`: similarity of two gram sets and the number of grams they share."""
     union = len(a | b)

@@ -225,3 +225,58 @@ def test_stratified_sample_does_not_depend_on_the_order_of_rows(spark):
     for placed in (rows, rows[::-1]):
         df = spark.createDataFrame(placed, "device string, day string, base string, lines bigint").coalesce(1)
         assert [r.day for r in reports.stratified_sample(df, 1, 2).orderBy("day").collect()] == ["2024-01-01", "2024-01-02"]
+
+
+def test_pauses_are_not_gone_through_per_event_and_none_is_kept_without_a_window():
+    """An hour's pauses leave from the front; without a window their number is all that is kept."""
+    from retrace.operators.activity import ResumedCount, ResumedCounts
+
+    def plain(events, window):
+        resumed, pauses = 0, []
+        for time, kind in events:
+            pauses = [p for p in pauses if window is None or time - p <= window]
+            if kind == "RESUMED":
+                resumed += 1
+            elif kind == "PAUSED":
+                resumed, pauses = max(0, resumed - 1), [*pauses, time]
+            elif pauses:
+                pauses = pauses[1:]
+            else:
+                resumed = max(0, resumed - 1)
+            yield resumed
+
+    events = [(i * 7 % 50 + i * 10, ("RESUMED", "PAUSED", "STOPPED", "PAUSED", "RESUMED")[i * i % 5]) for i in range(400)]
+    events.sort()
+    windows = [None, 0, 95, 1000]
+    expected = list(zip(*[plain(events, w) for w in windows]))
+    fold = ResumedCounts(windows)
+    found = []
+    for at, event in enumerate(events):
+        if at % 37 == 0:  # a slice ends, the next one takes over
+            state = fold.state()
+            fold = ResumedCounts(windows)
+            fold.resume(*state)
+        found.append(tuple(fold.step(*event)))
+    assert found == expected
+    endless = ResumedCount(None)
+    for i in range(100):
+        endless.step(i, "PAUSED")
+    assert not endless.state()[1]
+
+
+def test_worst_packages_fold_the_events_once(spark, monkeypatch):
+    """All windows come from one fold, whose rows are not computed again to count layouts."""
+    from retrace.operators import activity
+
+    rows = [("d", i, i * 3, ("RESUMED", "PAUSED", "STOPPED")[i * i % 3], f"p{i % 2}", "c", f"i{i % 4}") for i in range(60)]
+    events = spark.createDataFrame(rows, "device string, seq bigint, time bigint, type string, pkg string, cls string, instance_id string")
+    folds, plain = [], activity.ordered_fold
+    monkeypatch.setattr(activity, "ordered_fold", lambda *a: folds.append(1) or plain(*a))
+    windows = [None, 5, 20]
+    found = activity.evaluate(events, windows)
+    assert len(folds) == 1
+    got = tuples(found, "window_ms", "pkg", "extra", "missed")
+    each = [activity.evaluate(events, [w]) for w in windows]
+    assert got == sorted([t for e in each for t in tuples(e, "window_ms", "pkg", "extra", "missed")], key=repr)
+    cut = activity.evaluate(events, windows, slice_rows=7)
+    assert got == tuples(cut, "window_ms", "pkg", "extra", "missed")
