@@ -10,6 +10,7 @@ from retrace.functions.text import squeeze, strip_all
 from retrace.operators import folds, intervals
 from retrace.operators.dictionary import split_lines
 from retrace.operators.ordered import Ordered
+from retrace.session import materialise
 
 
 def _rows() -> Column:
@@ -120,7 +121,7 @@ def order_statistics(df: DataFrame, value: str, points: list[float], keys: list[
 
 def loss_report(decisions: DataFrame, worst: int = 3, **layout) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Text lost by folding: percentiles, share above ten percent, and the worst frames per threshold."""
-    dropped = decisions.where(~F.col("kept"))
+    dropped = materialise(decisions.where(~F.col("kept")))  # folded once, read for the layout and for each table
     points = order_statistics(dropped, "loss", [0.5, 0.75, 0.9, 0.95, 0.99, 1.0], ["thr"], cap=0.999, **layout)
     over = dropped.groupBy("thr").agg(
         _rows().alias("dropped"), _count(F.col("loss") > 0.10).alias("over"),
@@ -164,7 +165,7 @@ def latency_profile(frames: DataFrame, **layout) -> DataFrame:
 
 def kept_sessions(decisions: DataFrame, gap: float = 300, keys=["device"], carry: list[str] = [], **layout) -> DataFrame:
     """Collapsed frames with their session; the pause counts from the end of the previous dwell."""
-    kept = folds.collapse(decisions, keys, carry)
+    kept = materialise(folds.collapse(decisions, keys, carry))  # folded once, read for the layout and the sessions
     return intervals.sessions(kept, gap, [*keys, "thr"], until="until", **layout)
 
 

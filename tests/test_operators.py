@@ -280,3 +280,34 @@ def test_worst_packages_fold_the_events_once(spark, monkeypatch):
     assert got == sorted([t for e in each for t in tuples(e, "window_ms", "pkg", "extra", "missed")], key=repr)
     cut = activity.evaluate(events, windows, slice_rows=7)
     assert got == tuples(cut, "window_ms", "pkg", "extra", "missed")
+
+
+def test_reports_on_folds_fold_once(spark, monkeypatch):
+    """Layouts are counted on stored decisions: the fold runs in one job, however often its rows are read."""
+    runs = spark.sparkContext.accumulator(0)
+    plain = folds.NearDuplicate.step
+
+    class Counting(folds.NearDuplicate):
+        def step(self, *values):
+            runs.add(1)
+            return plain(self, *values)
+
+    monkeypatch.setattr(folds, "NearDuplicate", Counting)
+    rows = frames(spark, [("2024-01-01", f"0000{i:02d}_000", "line of text " + "ab" * (i // 3), "ok") for i in range(30)])
+    marks = folds.near_duplicates(rows, [0.9, 0.5])
+    for table in reports.loss_report(marks):
+        table.collect()
+    assert runs.value == 30
+    reports.kept_sessions(marks, 3).collect()
+    assert runs.value == 60
+
+
+def test_gram_numbers_tell_grams_apart():
+    """Numbers of grams say of two texts what their sets of grams say."""
+    from retrace.functions.text import gram_ids, gram_set, overlap, shared_ids
+
+    texts = ["", None, "a", "ab", "abc", "abc\x00", "abcd", " a b　c d ", "a\U0001f600", "a\U0001f600b\U0001f600c", "日本語テキスト", "日本語\U0001f600テキスト日本語テ", "aaaaaaaa", "\x00\x00\x00\x00\x00"]
+    for a in texts:
+        assert len(gram_ids(a)) == len(gram_set(a))
+        for b in texts:
+            assert shared_ids(gram_ids(a), gram_ids(b)) == overlap(gram_set(a), gram_set(b), 1.0)[1]
