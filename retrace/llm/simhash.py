@@ -257,7 +257,8 @@ def links(points: DataFrame, lanes: int = 1, radius: int = 4, kept: int = 4, gri
         counted = counted.where("n > 1")
     counted = counted.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     fps = [f"fp{i}" for i in range(lanes)]
-    dealt = _units(rows.join(counted, "cell"), "cell", fps)
+    # Spark sizes a table by the one before an explode and by compressed files: neither side is broadcast
+    dealt = _units(rows.join(counted.hint("merge"), "cell"), "cell", fps)
     return _edges(dealt, lambda table: link_groups(table.column("unit").to_numpy(), _columns(table, fps), partial(_near, radius=radius)))
 
 
@@ -275,10 +276,10 @@ def near_groups(
     rows = stored(fingerprints(docs, words, lanes).withColumn("node", node), "fingerprints")
     points = rows.groupBy("node", *names).agg(F.min("doc_id").alias("least"))
     roots = components(links(points.select("node", *names), lanes, radius, kept, grids))
-    member = points.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = points.select("node", "least").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.select("node", "root").join(groups, "root").select("node", "component_id")
-    return rows.join(named, "node")
+    named = member.select("node", "root").join(groups.hint("merge"), "root").select("node", "component_id")
+    return rows.join(named.hint("merge"), "node")
 
 
 def digits(fp: str) -> Column:

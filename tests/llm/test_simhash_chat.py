@@ -78,6 +78,15 @@ def test_links_lose_nothing_in_crowds(spark, monkeypatch):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_cells_and_documents_are_never_broadcast(spark):
+    points = spark.range(5000).selectExpr("xxhash64(id) AS node", "xxhash64(id) AS fp0")
+    for found in (simhash.links(points), simhash.near_groups(fixtures.odd_documents(spark))):
+        plan = found._jdf.queryExecution()
+        assert "BroadcastExchange" not in plan.executedPlan().toString()
+        found.collect()
+        assert "BroadcastExchange" not in plan.executedPlan().toString()
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1002), (5, 5), (1002, 1000)]
     random.Random(1).shuffle(edges)
