@@ -13,6 +13,8 @@ SHINGLE = 4
 
 # Whitespace as Unicode defines it, plus the four ASCII separators.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
+# What `\s` means in the SQL of the queries.
+ASCII_SPACES = r"[\t\n\f\r ]+"
 
 # Interest-signal categories and their keywords.
 SIGNALS = {
@@ -39,8 +41,8 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, SPACES, " "), "^ | $", "")
 
 
-def strip_all(text: Column) -> Column:
-    return F.regexp_replace(text, SPACES, "")
+def strip_all(text: Column, spaces: str = SPACES) -> Column:
+    return F.regexp_replace(text, spaces, "")
 
 
 def let(value: Column, use) -> Column:
@@ -59,14 +61,14 @@ def grams(text: Column, n: int) -> Column:
     return let(F.filter(F.split(text, ""), lambda c: c != ""), from_chars)
 
 
-def shingles(text: Column, n: int = SHINGLE) -> Column:
+def shingles(text: Column, n: int = SHINGLE, spaces: str = SPACES) -> Column:
     """Distinct character n-grams of the text without whitespace; short text is its own gram."""
 
     def of(s: Column) -> Column:
         short = F.when(s == "", F.array().cast("array<string>")).otherwise(F.array(s))
         return F.when(F.length(s) < n, short).otherwise(grams(s, n))
 
-    return let(strip_all(F.coalesce(text, F.lit(""))), of)
+    return let(strip_all(F.coalesce(text, F.lit("")), spaces), of)
 
 
 def jaccard(a: Column, b: Column, both_empty: float) -> Column:
