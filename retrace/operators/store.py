@@ -8,13 +8,16 @@ which lines and texts there are (`keys`, `text_keys`: 128-bit digests with their
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrace.functions.text import contains_term, grams, text_key
+from retrace.functions.text import contains_term, text_key
 from retrace.operators import dictionary as D
 from retrace.session import materialise
 
@@ -27,6 +30,14 @@ SCHEMAS = {
     "appends": "last_line bigint, last_text bigint, append int",
 }
 
+#: lines in one packed row of a trigram, and bytes of lines whose trigrams are packed together
+GRAM_LINES = 1024
+GRAM_BYTES = 4 << 20
+#: ids that rise within a trigram are stored as differences
+RISING = {"parquet.writer.version": "v2", "parquet.enable.dictionary#line_id": "false"}
+_HIGH, _MIDDLE, _CHAR = np.uint64(42), np.uint64(21), np.uint64((1 << 21) - 1)
+
+
 def digest(text: Column) -> Column:
     """128 bits of SHA-256: equal digests are taken as equal texts."""
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
@@ -78,26 +89,28 @@ def append(spark: SparkSession, folder: str, fresh: DataFrame, rank: list[str] =
     store = open_store(spark, folder)
     number = store.append + 1
 
-    def write(rows: DataFrame, name: str, *by: str) -> DataFrame:
-        writer = rows.write.mode("overwrite")
+    def write(rows: DataFrame, name: str, *by: str, **options: str) -> DataFrame:
+        writer = rows.write.mode("overwrite").options(compression="zstd", **options)
         (writer.partitionBy(*by) if by else writer).parquet(f"{folder}/{name}/append={number}")
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}/append={number}")
 
-    seen = D.first_lines(fresh, rank).select(F.col("line").alias("text"), "first", digest(F.col("line")).alias("digest"))
-    seen = materialise(seen.join(store.table("keys"), "digest", "left"))
-    added = D.dense_ids(seen.where("line_id is null").drop("line_id"), ["first"], "line_id", store.last_line + 1)
+    written = fresh.where(F.col("text") != "")
+    place = written.select(*rank, F.posexplode(D.split_lines(F.col("text"))).alias("pos", "line"))
+    seen = place.groupBy(digest(F.col("line")).alias("digest")).agg(F.min(F.struct(*rank, "pos")).alias("first"), F.first("line").alias("text"))
+    unseen = seen.join(store.table("keys"), "digest", "left_anti").drop("digest")
+    added = D.dense_ids(unseen, ["first"], "line_id", store.last_line + 1)
     lines = write(added.select("line_id", text_key("text").alias("key"), "text"), "lines")
-    write(lines.select(digest(F.col("text")).alias("digest"), "line_id"), "keys")
-    line_ids = seen.where("line_id is not null").select("line_id", "text").unionByName(lines.select("line_id", "text"))
-
-    distinct = fresh.where(F.col("text") != "").groupBy("text").agg(F.min(F.struct(*rank)).alias("first"))
-    distinct = distinct.withColumn("digest", digest(F.col("text")))
-    distinct = materialise(distinct.join(store.table("text_keys"), "digest", "left"))
-    new_texts = D.dense_ids(distinct.where("text_id is null").drop("text_id"), ["first"], "text_id", store.last_text + 1)
-    write(new_texts.select("digest", "text_id"), "text_keys")
-    texts = write(D.with_line_ids(new_texts.select("text_id", "text"), line_ids), "texts")
-    text_ids = distinct.where("text_id is not null").select("text_id", "text").unionByName(new_texts.select("text_id", "text"))
-    write(D.point_frames(fresh, text_ids), "frames", "day")
+    keys = write(lines.select(digest(F.col("text")).alias("digest"), "line_id"), "keys")
+
+    # of a text only its digest and those of its lines are moved and kept
+    listed = F.transform(D.split_lines(F.col("text")), digest)
+    body = written.select(*rank, digest(F.col("text")).alias("digest"), text_key("text").alias("key"), listed.alias("listed"))
+    distinct = body.groupBy("digest").agg(F.min(F.struct(*rank)).alias("first"), F.first("key").alias("key"), F.first("listed").alias("listed"))
+    unseen = distinct.join(store.table("text_keys"), "digest", "left_anti")
+    new_texts = D.dense_ids(unseen, ["first"], "text_id", store.last_text + 1)
+    text_keys = write(new_texts.select("digest", "text_id"), "text_keys")
+    texts = write(with_line_ids(new_texts, store.table("keys").unionByName(keys)), "texts")
+    write(point_frames(fresh, store.table("text_keys").unionByName(text_keys)), "frames", "day")
 
     ends = lines.agg(F.max("line_id")).first()[0], texts.agg(F.max("text_id")).first()[0]
     last_line, last_text = ends[0] or store.last_line, ends[1] or store.last_text
@@ -106,16 +119,97 @@ def append(spark: SparkSession, folder: str, fresh: DataFrame, rank: list[str] =
     write(runs.where(~still_open).repartitionByRange("line_id").sortWithinPartitions("line_id"), "runs")
     write(runs.where(still_open), "tail")
 
-    found = lines.where(F.length("text") >= 3).select(F.explode(grams(F.lower("text"), 3)).alias("gram"), "line_id")
-    found = materialise(found)
     # sorted ranges: a search skips files and row groups by their least and largest gram, and a gram that most lines have is
     # cut like any other stretch of rows
-    postings = write(found.repartitionByRange("gram", "line_id").sortWithinPartitions("gram", "line_id"), "grams")
+    packed = packed_grams(lines).repartitionByRange("gram", "line_id").sortWithinPartitions("gram", "line_id")
+    postings = write(unpacked_grams(packed), "grams", **RISING)
     write(postings.groupBy("gram").agg(F.count("*").alias("lines")).repartitionByRange("gram").sortWithinPartitions("gram"), "gram_counts")
     write(spark.createDataFrame([(last_line, last_text)], "last_line bigint, last_text bigint"), "appends")
     return Store(spark, folder, number, last_line, last_text)
 
 
+def with_line_ids(texts: DataFrame, line_ids: DataFrame) -> DataFrame:
+    """Texts (text_id, key, line_ids) of (text_id, key, listed), `listed` holding the digests of the lines in order."""
+    words = texts.select("text_id", F.posexplode("listed").alias("pos", "digest"))
+    items = F.array_sort(F.collect_list(F.struct("pos", "line_id"))).alias("items")
+    per_text = words.join(line_ids, "digest").groupBy("text_id").agg(items)
+    return texts.select("text_id", "key").join(per_text, "text_id").select("text_id", "key", F.col("items.line_id").alias("line_ids"))
+
+
+def point_frames(frames: DataFrame, text_ids: DataFrame) -> DataFrame:
+    """Frames carry text_id instead of text."""
+    left = frames.withColumn("_digest", F.when(F.col("text") != "", digest(F.col("text")))).drop("text")
+    return left.join(text_ids.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
+
+
+def _pack(rows: pa.Table) -> pa.RecordBatch:
+    """The distinct trigrams of some lines; a trigram's row ends with GRAM_LINES lines or where their ids pass 16 bits."""
+    rows = rows.sort_by("line_id")
+    ids, texts = rows.column("line_id").to_numpy(), rows.column("text").to_pylist()
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    whole = owner[:-2] == owner[2:]
+    code = (chars[:-2] << _HIGH | chars[1:-1] << _MIDDLE | chars[2:])[whole]
+    order = np.argsort(code, kind="stable")
+    code, line = code[order], ids[owner[:-2][whole][order]]
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = (code[1:] != code[:-1]) | (line[1:] != line[:-1])
+    code, line = code[new], line[new]
+    place, begins = np.arange(len(code)), np.ones(len(code), dtype=bool)
+    begins[1:] = code[1:] != code[:-1]
+    begins |= (place - np.maximum.accumulate(np.where(begins, place, 0))) % GRAM_LINES == 0
+    begins[1:] |= (line[1:] - ids[0]) >> 16 != (line[:-1] - ids[0]) >> 16
+    starts = np.flatnonzero(begins)
+    bounds = np.append(starts, len(code))
+    step = np.where(begins, 0, np.diff(line, prepend=0)).astype("<u2").view(np.uint8).reshape(-1, 2)
+    away = np.empty(2 * len(code), dtype=np.uint8)  # the low bytes of a row, then its high ones, which are mostly zero
+    low = place + np.repeat(starts, np.diff(bounds))
+    away[low], away[low + np.repeat(np.diff(bounds), np.diff(bounds))] = step[:, 0], step[:, 1]
+    heads = np.stack([code[starts] >> _HIGH, code[starts] >> _MIDDLE & _CHAR, code[starts] & _CHAR], axis=1)
+    text = heads.astype("<u4").tobytes().decode("utf-32-le")
+    lines = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(away.tobytes())])
+    found = [text[i : i + 3] for i in range(0, len(text), 3)]
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(line[starts]), lines], ["gram", "line_id", "away"])
+
+
+def packed_grams(lines: DataFrame) -> DataFrame:
+    """Rows (gram, line_id, away) of lines of three characters or more, case folded: a trigram, the first of several lines that hold
+    it, and the steps from id to id, from zero, two bytes each. So a posting moves as two bytes, not as a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                held.append(batch.slice(at, 256))
+                size += held[-1].nbytes
+                if size >= GRAM_BYTES:
+                    yield _pack(pa.Table.from_batches(held))
+                    held, size = [], 0
+        if held:
+            yield _pack(pa.Table.from_batches(held))
+
+    folded = lines.where(F.length("text") >= 3).select("line_id", F.lower("text").alias("text"))
+    return folded.mapInArrow(run, "gram string, line_id bigint, away binary")
+
+
+def unpacked_grams(packed: DataFrame) -> DataFrame:
+    """Rows (gram, line_id) in the order of the packed ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                away = part.column("away").to_pylist()
+                sizes = np.array([len(a) // 2 for a in away])
+                starts, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(away)), sizes)
+                planes, low = np.frombuffer(b"".join(away), dtype=np.uint8).astype(np.int64), np.arange(len(row)) + starts[row]
+                gone = np.cumsum(planes[low] + 256 * planes[low + sizes[row]])  # a row's first step is zero
+                line = part.column("line_id").to_numpy()[row] + gone - gone[starts][row]
+                yield pa.RecordBatch.from_arrays([part.column("gram").take(pa.array(row)), pa.array(line)], ["gram", "line_id"])
+
+    return packed.mapInArrow(run, "gram string, line_id bigint")
+
+
 def grown_runs(store: Store, fresh: DataFrame) -> DataFrame:
     """Runs of the new texts, joined to the tail's where they go on, and the tail's own."""
     begins = F.col("first_text") == store.last_text + 1

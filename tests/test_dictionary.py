@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import frames, tuples
-from retrace.functions.text import contains_term
+from retrace import session
+from retrace.functions.text import contains_term, grams
 from retrace.operators import dictionary as D
 from retrace.operators import search as S
 from retrace.operators import store as stores
@@ -165,3 +166,27 @@ def test_appends_read_digests_and_tail_only(spark, tmp_path):
     again = stores.append(spark, str(folder), f.where("day = '2026-01-02'"))  # nothing new but frames
     assert (again.append, again.last_line, again.last_text) == (3, store.last_line, store.last_text)
     assert again.dictionary().runs.count() == whole.runs.count() and again.dictionary().frames.count() == 48
+
+
+def test_packed_trigrams_are_those_of_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(stores, "GRAM_LINES", 3)
+    monkeypatch.setattr(stores, "GRAM_BYTES", 400)
+    odd = ["abc", "ABCabcAbc", "ab", "", "İst", "a\x00b\x00c", "\U0001f600x\U0001f600x", "日本語の行", "   ", "ẞẞẞẞ"]
+    ids = [1, 2, 3, 4, 70_000, 70_001, 70_002, 200_000, 1 << 40, (1 << 40) + 1]
+    rows = [*zip(ids, odd), *[((1 << 40) + 1000 * i, f"line {i % 7} of abc") for i in range(1, 300)]]
+    lines = spark.createDataFrame(rows, "line_id long, text string")
+    want = lines.where(F.length("text") >= 3).select(F.explode(grams(F.lower("text"), 3)).alias("gram"), "line_id")
+    packed = stores.packed_grams(lines).sortWithinPartitions("gram", "line_id")
+    assert tuples(stores.unpacked_grams(packed), "gram", "line_id") == tuples(want, "gram", "line_id")
+    assert stores.unpacked_grams(stores.packed_grams(lines.where("line_id < 0"))).collect() == []
+
+
+def test_an_append_writes_its_texts_few_times(spark, tmp_path, monkeypatch):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(2, 9)))
+    rows = [("2026-01-01", f"09{m:02}{s:02}_000", "\n".join(" ".join(word() for _ in range(40)) for _ in range(5)), "ok") for m in range(20) for s in range(60)]
+    raw = sum(len(r[2]) for r in rows)
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path / "scratch"))
+    stores.append(spark, str(tmp_path / "store"), frames(spark, rows))
+    written = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert written < 4 * raw, written / raw
